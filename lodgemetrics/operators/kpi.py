@@ -13,7 +13,9 @@ from lodgemetrics.functions.exprs import (
 )
 from lodgemetrics.schema import TOP_CUSTOMER_TYPES
 
-WHOLE = W.partitionBy(F.lit(1))
+def whole():
+    """One window over an already aggregated, small table."""
+    return W.partitionBy(F.lit(1))
 
 
 def weighted_kpis() -> list[Column]:
@@ -52,7 +54,7 @@ def monthly_baseline(df: DataFrame) -> DataFrame:
 def monthly_revenue_mom(monthly: DataFrame) -> DataFrame:
     m = monthly.groupBy("year_month").agg(F.sum("total_bookings").alias("bookings"),
                                           F.sum("total_revenue").alias("revenue"))
-    before = F.lag("revenue").over(WHOLE.orderBy("year_month"))
+    before = F.lag("revenue").over(whole().orderBy("year_month"))
     return m.withColumn("revenue_mom_pct", pct_change("revenue", before))
 
 
@@ -72,7 +74,7 @@ def monthly_trends(monthly: DataFrame) -> DataFrame:
 
 
 def _share(value: str) -> Column:
-    return 100.0 * ratio(value, F.sum(value).over(WHOLE))
+    return 100.0 * ratio(value, F.sum(value).over(whole()))
 
 
 def revenue_share_by(df: DataFrame, dim: str, flag_at: float = 50.0) -> DataFrame:
@@ -156,7 +158,7 @@ def weekend_vs_weekday_stay(df: DataFrame) -> DataFrame:
 def status_mix(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Bookings per status with the share inside ``by`` (all bookings when empty)."""
     out = df.groupBy(*by, "reservation_status").agg(bookings())
-    total = W.partitionBy(*by) if by else WHOLE
+    total = W.partitionBy(*by) if by else whole()
     return out.withColumn("share_pct", 100.0 * ratio("bookings", F.sum("bookings").over(total)))
 
 

@@ -12,7 +12,7 @@ from lodgemetrics.functions import bands
 from lodgemetrics.functions.exprs import (
     bookings, cancel_rate, count_if, lost_revenue, pct_change, ratio, revenue_sum, stayed, wavg,
 )
-from lodgemetrics.operators.kpi import WHOLE, weighted_kpis
+from lodgemetrics.operators.kpi import weighted_kpis, whole
 from lodgemetrics.schema import CITY, RESORT
 
 
@@ -58,7 +58,7 @@ def revpar_bridge_latest(monthly: DataFrame) -> DataFrame:
         wavg("adr", "successful_bookings").alias("adr"),
         wavg("occupancy_rate", "total_bookings").alias("occupancy_rate"),
         wavg("revpar", "total_bookings").alias("revpar"))
-    w = WHOLE.orderBy(F.desc("year_month"))
+    w = whole().orderBy(F.desc("year_month"))
     last = m.select("year_month", "adr", "occupancy_rate", "revpar",
                     F.lead("adr").over(w).alias("adr_pm"),
                     F.lead("occupancy_rate").over(w).alias("occ_pm"),
@@ -76,7 +76,7 @@ def season_heatmap(monthly: DataFrame, scaled: bool = False) -> DataFrame:
            .agg(wavg("revpar", "total_bookings").alias("revpar_wtd"))
            .withColumn("season", bands.season("month_number")))
     if scaled:
-        low, high = F.min("revpar_wtd").over(WHOLE), F.max("revpar_wtd").over(WHOLE)
+        low, high = F.min("revpar_wtd").over(whole()), F.max("revpar_wtd").over(whole())
         out = out.withColumn("heat", ratio(F.col("revpar_wtd") - low, high - low))
     return out
 
@@ -144,7 +144,7 @@ def _by_role(panel: DataFrame, role: Column, roles: list[str], by: list[str],
 
 def _year_role(panel: DataFrame) -> DataFrame:
     """Mark rows CY (last year) or PY (year before, only months present in CY)."""
-    cy = F.max("year").over(WHOLE)
+    cy = F.max("year").over(whole())
     tagged = panel.withColumn("_cy", cy)
     in_cy = F.max(F.when(F.col("year") == F.col("_cy"), 1)).over(W.partitionBy("month_number"))
     role = (F.when(F.col("year") == F.col("_cy"), "cy")
@@ -170,7 +170,7 @@ def cy_py_by_month(panel: DataFrame, measures: list[str] | None = None) -> DataF
 def same_month_py(panel: DataFrame, measures: list[str] | None = None) -> DataFrame:
     """Last fact month against the previous month (pm) and the same month last year (py)."""
     idx = F.col("year") * 12 + F.col("month_number")
-    tagged = panel.withColumn("_idx", idx).withColumn("_back", F.max("_idx").over(WHOLE) - F.col("_idx"))
+    tagged = panel.withColumn("_idx", idx).withColumn("_back", F.max("_idx").over(whole()) - F.col("_idx"))
     role = (F.when(F.col("_back") == 0, "current").when(F.col("_back") == 1, "pm")
             .when(F.col("_back") == 12, "py"))
     out = _by_role(tagged, role, ["current", "pm", "py"], [], measures)

@@ -8,10 +8,12 @@ from functools import lru_cache
 @lru_cache(maxsize=1)
 def build_catalog():
     """All queries with their oracle SQL, in operator order."""
-    from lodgemetrics.plans import prepare_queries
+    from lodgemetrics.plans import (
+        adr_queries, cancel_queries, kpi_queries, prepare_queries, revpar_queries,
+    )
     from lodgemetrics.plans.catalog import Catalog
 
     catalog = Catalog()
-    for area in (prepare_queries,):
+    for area in (prepare_queries, kpi_queries, revpar_queries, cancel_queries, adr_queries):
         area.register(catalog)
     return catalog
