@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from lodgemetrics.functions.exprs import any_of
 
 
-def value_counts(df: DataFrame, by: list[str], value: str, width: float = 1.0) -> DataFrame:
-    """(by, bucket, value, cnt) with NULL values left out."""
+def value_counts(df: DataFrame, by: list[str], value: str, width: float = 1.0,
+                 extra: list[Column] = ()) -> DataFrame:
+    """(by, bucket, value, cnt, extra aggregates) with NULL values left out."""
     v = F.col(value).cast("double")
     return (df.where(v.isNotNull())
             .groupBy(*by, F.floor(v / width).cast("long").alias("_bucket"), v.alias("_value"))
-            .agg(F.count(F.lit(1)).alias("_cnt")))
+            .agg(F.count(F.lit(1)).alias("_cnt"), *extra))
 
 
 def _histogram(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -91,3 +92,18 @@ def describe_by(df: DataFrame, by: list[str], value: str, probs: dict[str, float
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((low + (high - low) * (position(p) - F.floor(position(p)))).alias(name))
     return stats.select(*by, *out)
+
+
+def ranked_rows(df: DataFrame, by: list[str], first: str, then: list[Column], name: str = "rank",
+                width: float = 1.0) -> DataFrame:
+    """row_number over (by) ordered by ``first`` and ``then``, without one task per group.
+
+    Rows are numbered inside (by, bucket of first); the bucket histogram supplies the offset.
+    """
+    keyed = df.withColumn("_bucket", F.floor(F.col(first).cast("double") / width).cast("long"))
+    hist = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = hist.select(*by, "_bucket", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(F.col(first), *then))
+    return (keyed.withColumn("_rn", inside).join(offsets, [*by, "_bucket"])
+            .withColumn(name, F.col("_before") + F.col("_rn")).drop("_rn", "_before", "_bucket"))

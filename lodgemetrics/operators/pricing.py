@@ -399,7 +399,7 @@ def dual_optimize(panel: DataFrame, slopes: DataFrame, alphas: list[float] = (0.
         return F.struct(price.alias("price"), rev.alias("rev"), risk.alias("risk"))
 
     rows = rows.withColumn("_g", F.transform(_grid_prices(p0), point))
-    rows = rows.withColumns({f"_{f}_{name}": fn(F.transform("_g", lambda g, k=f: g[k]))
+    rows = rows.withColumns({f"_{f}_{name}": fn(F.col("_g")[f])
                              for f in ("rev", "risk") for name, fn in (("lo", F.array_min), ("hi", F.array_max))})
 
     def norm(g: Column, f: str) -> Column:

@@ -78,6 +78,20 @@ FROM b GROUP BY hotel, year_month, arrival_date_year, arrival_month_number"""
 PAID = "CASE WHEN is_canceled = 0 AND adr > 0 THEN adr END"
 STAYED = "CASE WHEN is_canceled = 0 THEN adr END"
 
+
+
+def naive(source: str, h: int) -> str:
+    """Seasonal naive forecast of the series in ``source``."""
+    return f"""
+WITH e AS (SELECT hotel, metric, max(t) AS last_t FROM {source} GROUP BY hotel, metric),
+  x AS (SELECT hotel, metric, CAST(unnest(generate_series(1, {h})) AS INTEGER) AS step, last_t FROM e)
+SELECT x.hotel, x.metric, x.step, x.last_t + x.step AS t, y.value AS forecast,
+  (x.last_t + x.step - 1) % 12 + 1 AS month_number,
+  printf('%04d-%02d', (x.last_t + x.step - 1) // 12, (x.last_t + x.step - 1) % 12 + 1) AS year_month
+FROM x LEFT JOIN {source} y ON y.hotel = x.hotel AND y.metric = x.metric
+  AND y.t = x.last_t + x.step - 12 * CAST(ceil(x.step / 12) AS INTEGER)"""
+
+
 CTES = {
     "b": BOOKINGS,
     "stays": "SELECT * FROM b WHERE is_canceled = 0 AND adr > 0",
@@ -134,4 +148,47 @@ SELECT year, month_number, sum(total_bookings) AS tb, sum(successful_bookings) A
   sum(adr * successful_bookings) AS adr_w, sum(occupancy_rate * total_bookings) AS occ_w,
   sum(revpar * total_bookings) AS rp_w
 FROM mon GROUP BY year, month_number""",
+    "pan": f"""
+SELECT *, ln(greatest(demand, 1)) AS log_demand, ln(greatest(adr, 0.001)) AS log_adr, ln(greatest(revpar, 0.001)) AS log_revpar
+FROM (SELECT hotel, year_month, arrival_month_number AS month_number, {season_of('arrival_month_number')} AS season,
+  count({PAID}) AS demand, avg({PAID}) AS adr, avg(1.0 - is_canceled) AS occ,
+  avg({STAYED}) * avg(1.0 - is_canceled) AS revpar, avg(lead_time) FILTER (is_canceled = 0 AND adr > 0) AS lead_mean,
+  avg(total_nights) FILTER (is_canceled = 0 AND adr > 0) AS los_mean,
+  avg(total_of_special_requests) FILTER (is_canceled = 0 AND adr > 0) AS special_req,
+  avg(CASE WHEN market_segment = 'Online TA' THEN 1.0 ELSE 0.0 END) FILTER (is_canceled = 0 AND adr > 0) AS share_online_ta,
+  avg(CASE WHEN market_segment = 'Groups' THEN 1.0 ELSE 0.0 END) FILTER (is_canceled = 0 AND adr > 0) AS share_groups,
+  avg(CASE WHEN customer_type = 'Transient' THEN 1.0 ELSE 0.0 END) FILTER (is_canceled = 0 AND adr > 0) AS share_transient,
+  count(*) AS n_bookings, avg(is_canceled) AS cancel_rate
+FROM b GROUP BY hotel, year_month, arrival_month_number) WHERE demand > 0""",
+    "segpan": """
+SELECT *, ln(greatest(demand, 1)) AS log_demand, ln(greatest(adr, 0.001)) AS log_adr FROM (
+SELECT hotel, market_segment, year_month, arrival_month_number AS month_number, count(*) AS demand, avg(adr) AS adr
+FROM stays GROUP BY ALL)""",
+    "ser": f"""
+WITH w AS (SELECT hotel, arrival_date_year * 12 + arrival_month_number AS t,
+    CAST(count(*) FILTER (is_canceled = 0) AS DOUBLE) AS demand, avg({PAID}) AS adr,
+    avg({PAID}) * avg(1.0 - is_canceled) AS revpar,
+    CAST(sum(CASE WHEN is_canceled = 0 THEN total_nights END) AS DOUBLE) AS room_nights FROM b GROUP BY 1, 2),
+  s AS (SELECT hotel, CAST(unnest(generate_series(min(t), max(t))) AS INTEGER) AS t FROM w GROUP BY hotel),
+  f AS (SELECT s.hotel, s.t, demand, adr, revpar, room_nights FROM s LEFT JOIN w ON s.hotel = w.hotel AND s.t = w.t)
+SELECT hotel, metric, t, (t - 1) % 12 + 1 AS month_number, printf('%04d-%02d', (t - 1) // 12, (t - 1) % 12 + 1) AS year_month, value
+FROM (SELECT hotel, t, 'demand' AS metric, demand AS value FROM f UNION ALL SELECT hotel, t, 'adr', adr FROM f
+  UNION ALL SELECT hotel, t, 'revpar', revpar FROM f UNION ALL SELECT hotel, t, 'room_nights', room_nights FROM f)""",
+    "naive": naive("ser", 6),
+    "fcb": """
+WITH m AS (SELECT hotel, metric, month_number, avg(value) AS mm FROM ser GROUP BY ALL),
+  i AS (SELECT *, avg(mm) OVER (PARTITION BY hotel, metric) AS grand FROM m),
+  p AS (SELECT n.*, i.mm / i.grand AS season_index, n.forecast / i.grand AS level_index,
+    0.5 * i.mm / i.grand + 0.5 * n.forecast / i.grand AS pressure FROM naive n JOIN i ON i.hotel = n.hotel
+    AND i.metric = n.metric AND i.month_number = n.month_number),
+  q AS (SELECT *, CASE WHEN pressure >= 1.15 THEN 'PROTECT' WHEN pressure <= 0.90 THEN 'STIMULATE' ELSE 'NEUTRAL' END AS stance FROM p)
+SELECT * FROM q""",
+    "bundle": """
+SELECT hotel, t, year_month, month_number,
+  max(forecast) FILTER (metric = 'demand') AS fc_demand, max(forecast) FILTER (metric = 'adr') AS fc_adr,
+  max(forecast) FILTER (metric = 'revpar') AS fc_revpar, max(pressure) FILTER (metric = 'demand') AS pressure_demand,
+  max(pressure) FILTER (metric = 'adr') AS pressure_adr, max(pressure) FILTER (metric = 'revpar') AS pressure_revpar,
+  max(stance) FILTER (metric = 'demand') AS stance_demand, max(stance) FILTER (metric = 'adr') AS stance_adr,
+  max(stance) FILTER (metric = 'revpar') AS stance_revpar FROM fcb GROUP BY hotel, t, year_month, month_number""",
+    "slopes": "SELECT hotel, regr_slope(cancel_rate, log_adr) AS risk_slope FROM pan GROUP BY hotel",
 }
