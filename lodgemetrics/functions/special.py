@@ -120,6 +120,18 @@ def fisher_two_sided(a, b, c, d):
     return run(a, b, c, d)
 
 
+def mcnemar_exact(n01, n10):
+    """Exact two-sided binomial p of discordant counts."""
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(_series(a), _series(b)):
+            low, n = min(x, y), x + y
+            out.append(min(1.0, 2 * _beta_inc(n - low, low + 1, 0.5)) if n > 0 else 1.0)
+        return pd.Series(out)
+    return run(n01, n10)
+
+
 def poisson_draw(lam, u, v):
     """Poisson counts with mean lam from two uniform columns: same inputs, same draw.
 

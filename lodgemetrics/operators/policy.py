@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodgemetrics.functions import bands
 from lodgemetrics.functions.distribution import ranked_counts, ranked_rows, value_counts
 from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, literal_rows, ratio
-from lodgemetrics.functions.special import chi2_sf, normal_two_sided, poisson_draw
+from lodgemetrics.functions.special import mcnemar_exact, normal_two_sided, poisson_draw
 
 LABEL = "is_canceled"
 
@@ -145,7 +145,7 @@ def model_compare(df: DataFrame, score_a: str, t_a: float, score_b: str, t_b: fl
         fa.alias("fpr_a"), fb.alias("fpr_b"), ratio(fb - fa, F.sqrt(pool * (1 - pool) * 2 / n)).alias("fpr_z"))
     if not p_value:
         return out
-    return out.withColumns({"mcnemar_p": chi2_sf("mcnemar_chi2", F.lit(1.0)), "fpr_p": normal_two_sided("fpr_z")})
+    return out.withColumns({"mcnemar_p": mcnemar_exact("n01", "n10"), "fpr_p": normal_two_sided("fpr_z")})
 
 
 def bootstrap_delta_auc(df: DataFrame, score_a: str, score_b: str, n_boot: int = 500, bins: int = 100, seed: int = 42

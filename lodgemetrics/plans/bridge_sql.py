@@ -191,4 +191,8 @@ SELECT hotel, t, year_month, month_number,
   max(stance) FILTER (metric = 'demand') AS stance_demand, max(stance) FILTER (metric = 'adr') AS stance_adr,
   max(stance) FILTER (metric = 'revpar') AS stance_revpar FROM fcb GROUP BY hotel, t, year_month, month_number""",
     "slopes": "SELECT hotel, regr_slope(cancel_rate, log_adr) AS risk_slope FROM pan GROUP BY hotel",
+    "scored": """
+SELECT *, 0.30::DOUBLE * is_canceled + 0.25::DOUBLE * lead_time / 366 + 0.45::DOUBLE * (((booking_key * 7919) % 10007) / 10007.0::DOUBLE) AS p,
+  0.25::DOUBLE * is_canceled + 0.25::DOUBLE * lead_time / 366 + 0.50::DOUBLE * (((booking_key * 104729) % 10009) / 10009.0::DOUBLE) AS p2
+FROM b""",
 }
