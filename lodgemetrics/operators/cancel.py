@@ -153,7 +153,7 @@ def density_histogram(df: DataFrame, by: list[str], value: str = "lead_time", bi
     top = describe_by(df, [], value, {"p": tail}).select(F.least("p", F.lit(float(cap)))).scalar()
     capped = df.withColumn("_top", top).where(F.col(value) <= F.col("_top"))
     width = F.col("_top") / bins
-    slot = F.least(F.floor(F.col(value) / width), F.lit(bins - 1)).cast("int")
+    slot = F.least(F.floor(F.coalesce(ratio(value, width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
     out = capped.groupBy(*by, slot.alias("bin"), width.alias("bin_width")).agg(
         F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(*by))

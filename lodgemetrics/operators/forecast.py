@@ -89,7 +89,7 @@ def acf(series: DataFrame, lags: int = 18, value: str = "value") -> DataFrame:
 def ljung_box(correlations: DataFrame, lags: list[int] = (3, 6, 12), p_value: bool = True) -> DataFrame:
     """Portmanteau statistic at the given lags, with its chi-square p-value."""
     n = F.col("n").cast("double")
-    term = F.col("acf") * F.col("acf") / (n - F.col("lag"))
+    term = ratio(F.col("acf") * F.col("acf"), n - F.col("lag"))
     q = [(n * (n + 2) * F.sum(F.when(F.col("lag") <= k, term)).over(W.partitionBy(*SERIES)))
          for k in lags]
     out = correlations.withColumns({f"_q{k}": c for k, c in zip(lags, q)})
@@ -132,7 +132,7 @@ def holt_fit(series: DataFrame, grid: list[float] = tuple(i / 10 for i in range(
                         (s["sse"] + error * error).alias("sse"))
 
     rest = F.slice("_y", 2, F.size("_y") - 1)
-    fits = runs.select(*SERIES, "last_t", "alpha", "beta", F.size("_y").alias("n"),
+    fits = runs.select(*SERIES, "last_t", "alpha", "beta", F.size("_y").cast("long").alias("n"),
                        F.aggregate(rest, start, step).alias("_s"))
     best = F.min_by(F.struct("alpha", "beta", "n", "last_t", "_s"), F.struct(F.col("_s.sse"), a, b))
     return (fits.groupBy(*SERIES).agg(best.alias("_b"))

@@ -137,12 +137,12 @@ def model_compare(df: DataFrame, score_a: str, t_a: float, score_b: str, t_b: fl
                count_if(y == 0).cast("double").alias("n_negatives"),
                count_if((y == 0) & (a == 1)).cast("double").alias("_fa"),
                count_if((y == 0) & (b == 1)).cast("double").alias("_fb"))
-    n, fa, fb = F.col("n_negatives"), F.col("_fa") / F.col("n_negatives"), F.col("_fb") / F.col("n_negatives")
-    pool = (F.col("_fa") + F.col("_fb")) / (2 * n)
+    n, fa, fb = F.col("n_negatives"), ratio("_fa", "n_negatives"), ratio("_fb", "n_negatives")
+    pool = ratio(F.col("_fa") + F.col("_fb"), 2 * n)
     gap = F.greatest(F.abs(F.col("n01") - F.col("n10")) - 1, F.lit(0.0))
     out = g.select(
         "n01", "n10", ratio(gap * gap, F.col("n01") + F.col("n10")).alias("mcnemar_chi2"), "n_negatives",
-        fa.alias("fpr_a"), fb.alias("fpr_b"), ratio(fb - fa, F.sqrt(pool * (1 - pool) * 2 / n)).alias("fpr_z"))
+        fa.alias("fpr_a"), fb.alias("fpr_b"), ratio(fb - fa, F.sqrt(ratio(pool * (1 - pool) * 2, n))).alias("fpr_z"))
     if not p_value:
         return out
     return out.withColumns({"mcnemar_p": mcnemar_exact("n01", "n10"), "fpr_p": normal_two_sided("fpr_z")})

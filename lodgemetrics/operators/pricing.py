@@ -190,7 +190,7 @@ def iso_elastic_curve(panel: DataFrame, primary: DataFrame, points: int = 80) ->
 
 def local_demand(p: Column, p0: Column, q0: Column, eps: Column) -> Column:
     """Linear demand around (p0, q0), between 5 % and 115 % of q0."""
-    linear = q0 * (1.0 + eps * (p - p0) / p0)
+    linear = q0 * (1.0 + F.try_divide(eps * (p - p0), p0))
     return F.least(F.greatest(linear, 0.05 * q0), 1.15 * q0)
 
 
@@ -217,9 +217,9 @@ def price_grid_optimize(df: DataFrame, p0: str = "adr", q0: str = "demand", eps:
     out = rows.withColumns({
         "elasticity": e, "p_star": F.col("_best.price"), "q_star": F.col("_best.demand"),
         "rev_star": F.col("_best.rev"), "rev_baseline": p * F.least(q, 1.15 * q),
-        "p_analytic": F.when(e < 0, p * (e - 1.0) / (2.0 * e)).otherwise(reference)})
-    out = out.withColumn("delta_price_pct", (F.col("p_star") / p - 1) * 100)
-    out = out.withColumn("delta_revenue_pct", (F.col("rev_star") / F.col("rev_baseline") - 1) * 100)
+        "p_analytic": F.when(e < 0, F.try_divide(p * (e - 1.0), 2.0 * e)).otherwise(reference)})
+    out = out.withColumn("delta_price_pct", (ratio("p_star", p) - 1) * 100)
+    out = out.withColumn("delta_revenue_pct", (ratio("rev_star", "rev_baseline") - 1) * 100)
     return out.withColumn("action", bands.action_from_delta("delta_price_pct")).drop("_p0", "_q0", "_e", "_best")
 
 

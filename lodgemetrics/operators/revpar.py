@@ -263,17 +263,25 @@ def revpar_by_room(df: DataFrame, role: str = "reserved") -> DataFrame:
 def room_type_both_sides(df: DataFrame) -> DataFrame:
     """Reserved and assigned view per hotel and year; revenue per booked night.
 
-    Needs add_monthly_context: without nights the hotel-month RevPAR mean stands in. Both roles
-    come from one pass over the bookings.
+    Without nights the mean hotel-month RevPAR of the bookings stands in. Bookings collapse once
+    to hotel, month and room pair; the hotel-month context and both roles come from that table.
     """
+    pairs = df.groupBy("hotel", F.col("arrival_date_year").alias("year"), "year_month",
+                       "reserved_room_type", "assigned_room_type").agg(
+        bookings(), F.sum("revenue").alias("revenue"), F.sum("total_nights").alias("room_nights"),
+        F.sum("adr").alias("_adr"), count_if(stayed()).alias("_stays"),
+        F.sum(F.when(stayed(), F.col("adr"))).alias("_stay_adr"))
+    month = W.partitionBy("hotel", "year_month")
+    context = ratio(F.sum("_stay_adr").over(month), F.sum("_stays").over(month)) * ratio(
+        F.sum("_stays").over(month), F.sum("bookings").over(month))
     sides = F.explode(F.array(*[
         F.struct(F.lit(r).alias("side"), F.col(f"{r}_room_type").alias("room_type"))
         for r in ("reserved", "assigned")])).alias("s")
-    rows = df.select("hotel", F.col("arrival_date_year").alias("year"), "revenue", "total_nights",
-                     "adr", "revpar", sides)
+    rows = pairs.withColumn("_rp", context * F.col("bookings")).select("*", sides)
+    n = F.sum("bookings")
     out = rows.groupBy("hotel", "year", "s.side", "s.room_type").agg(
-        bookings(), F.sum("revenue").alias("revenue"), F.sum("total_nights").alias("room_nights"),
-        F.avg("adr").alias("avg_adr"), F.avg("revpar").alias("avg_revpar"))
+        n.alias("bookings"), F.sum("revenue").alias("revenue"), F.sum("room_nights").alias("room_nights"),
+        ratio(F.sum("_adr"), n).alias("avg_adr"), ratio(F.sum("_rp"), n).alias("avg_revpar"))
     return out.withColumn("revpar", F.coalesce(ratio("revenue", "room_nights"), "avg_revpar"))
 
 

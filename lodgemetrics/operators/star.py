@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
-from lodgemetrics.functions.exprs import bookings, count_if, paid_stay, stayed
+from lodgemetrics.functions.exprs import bookings, count_if, paid_stay, ratio, stayed
 
 
 def build_dim(df: DataFrame, cols: list[str], key: str) -> DataFrame:
@@ -88,20 +88,23 @@ def build_fact_daily(df: DataFrame, variant: str = "warehouse") -> DataFrame:
     """Hotel x arrival day fact.
 
     warehouse: paid-stay ADR and the day's own occupancy. context: mean rate of all rows and the
-    hotel-month occupancy carried by each booking (needs add_monthly_context).
+    occupancy of the whole hotel-month. The month is rolled up from the daily rows, so both
+    variants read the bookings once.
     """
-    warehouse = variant == "warehouse"
-    occupancy = (F.avg(1.0 - F.col("is_canceled")) if warehouse else F.avg("occupancy_rate"))
-    adr = F.avg(F.when(paid_stay(), F.col("adr"))) if warehouse else F.avg("adr")
-    extra = [] if warehouse else [F.sum("total_nights").alias("available_room_nights")]
-    out = df.groupBy("hotel", "arrival_date", "year_month",
-                     F.col("arrival_date_year").alias("year")).agg(
+    adr = F.avg(F.when(paid_stay(), F.col("adr"))) if variant == "warehouse" else F.avg("adr")
+    daily = df.groupBy("hotel", "arrival_date", "year_month", F.col("arrival_date_year").alias("year")).agg(
         bookings(), count_if(F.col("is_canceled") == 1).alias("canceled"),
-        count_if(stayed()).alias("successful"),
-        occupancy.alias("occupancy_rate"), adr.alias("adr"),
+        count_if(stayed()).alias("successful"), adr.alias("adr"),
         F.sum(F.when(stayed(), F.col("total_nights")).otherwise(0)).alias("room_nights_sold"),
-        F.sum("revenue").alias("revenue"), *extra)
-    return out.withColumn("revpar", F.col("adr") * F.col("occupancy_rate"))
+        F.sum("revenue").alias("revenue"), F.sum("total_nights").alias("available_room_nights"))
+    if variant == "warehouse":
+        daily = daily.drop("available_room_nights")
+        occupancy = ratio("successful", "bookings")
+    else:
+        month = W.partitionBy("hotel", "year_month")
+        occupancy = ratio(F.sum("successful").over(month), F.sum("bookings").over(month))
+    return (daily.withColumn("occupancy_rate", occupancy)
+            .withColumn("revpar", F.col("adr") * F.col("occupancy_rate")))
 
 
 def fk_check(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, name: str) -> DataFrame:

@@ -214,10 +214,10 @@ def mann_whitney(df: DataFrame, x: str, group: str, by: list[str] = (), width: f
     n0, n1 = F.col("n0"), F.col("n1")
     n = n0 + n1
     u = F.col("_r0") - n0 * (n0 + 1) / 2
-    sigma = F.sqrt(n0 * n1 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sigma = F.sqrt(n0 * n1 / 12 * ((n + 1) - ratio("_ties", n * (n - 1))))
     g = g.withColumn("u_stat", u)
     z = ratio(F.greatest(F.col("u_stat"), n0 * n1 - F.col("u_stat")) - n0 * n1 / 2 - 0.5, sigma)
-    g = g.withColumn("z_stat", z).withColumn("rank_biserial", 1 - 2 * F.col("u_stat") / (n0 * n1))
+    g = g.withColumn("z_stat", z).withColumn("rank_biserial", 1 - ratio(2 * F.col("u_stat"), n0 * n1))
     g = g.drop("_r0", "_ties")
     return g.withColumn("p_value", F.least(normal_two_sided("z_stat"), F.lit(1.0))) if p_value else g
 
@@ -229,9 +229,9 @@ def welch_t(df: DataFrame, x: str, group: str, by: list[str] = (), p_value: bool
         return [F.count(v).cast("double").alias(f"n{flag}"), F.avg(v).alias(f"mean{flag}"),
                 F.var_samp(v).alias(f"_v{flag}")]
     g = df.groupBy(*by).agg(*part(0), *part(1)) if by else df.agg(*part(0), *part(1))
-    a, b = F.col("_v0") / F.col("n0"), F.col("_v1") / F.col("n1")
+    a, b = ratio("_v0", "n0"), ratio("_v1", "n1")
     g = g.withColumn("t_stat", ratio(F.col("mean1") - F.col("mean0"), F.sqrt(a + b)))
-    g = g.withColumn("dof", ratio((a + b) * (a + b), a * a / (F.col("n0") - 1) + b * b / (F.col("n1") - 1)))
+    g = g.withColumn("dof", ratio((a + b) * (a + b), ratio(a * a, F.col("n0") - 1) + ratio(b * b, F.col("n1") - 1)))
     g = g.drop("_v0", "_v1")
     return g.withColumn("p_value", t_two_sided("t_stat", "dof")) if p_value else g
 

@@ -32,10 +32,7 @@ class Inputs:
         return star.build_fact_monthly(self.bookings(), variant)
 
     def daily(self, variant: str = "warehouse") -> DataFrame:
-        b = self.bookings()
-        if variant == "context":
-            b = prepare.add_monthly_context(b)
-        return star.build_fact_daily(b, variant)
+        return star.build_fact_daily(self.bookings(), variant)
 
     def panel(self) -> DataFrame:
         return revpar.measure_panel(self.monthly())

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lodgemetrics.functions.bands import RATING_BANDS, RATING_LABELS
 from lodgemetrics.operators import kpi as K
-from lodgemetrics.operators import prepare as P
 from lodgemetrics.operators import revpar as R
 from lodgemetrics.plans.bridge_sql import season_of
 from lodgemetrics.plans.catalog import Catalog
@@ -60,9 +59,7 @@ def _rating_sql(kpi: str) -> str:
 
 
 def _points(x):
-    b = P.add_monthly_context(x.bookings())
-    daily = x.daily("context")
-    out = R.daily_points(daily, R.daily_segments(b))
+    out = R.daily_points(x.daily("context"), R.daily_segments(x.bookings()))
     pairs = F.transform(F.map_entries("segments"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return out.withColumn("segments", F.array_join(pairs, ";"))
 
@@ -163,10 +160,10 @@ def register(cat: Catalog) -> None:
     for role in ("reserved", "assigned"):
         add(f"revpar_by_room_{role}", lambda x, r=role: R.revpar_by_room(x.bookings(part=True), r), _room_sql(role),
             r6=f"revpar_{role}", r4="revenue")
-    add("room_type_both_sides", lambda x: R.room_type_both_sides(P.add_monthly_context(x.bookings(part=True))), SIDES,
+    add("room_type_both_sides", lambda x: R.room_type_both_sides(x.bookings(part=True)), SIDES,
         r6="avg_adr avg_revpar revpar", r4="revenue")
     add("room_type_grouped", lambda x: R.room_type_grouped(
-            R.room_type_both_sides(P.add_monthly_context(x.bookings(part=True)))),
+            R.room_type_both_sides(x.bookings(part=True))),
         f"""SELECT room_type, sum(bookings)::BIGINT AS bookings,
         coalesce(sum(revpar * bookings) FILTER (side = 'reserved') / sum(bookings) FILTER (side = 'reserved'), 0.0) AS reserved,
         coalesce(sum(revpar * bookings) FILTER (side = 'assigned') / sum(bookings) FILTER (side = 'assigned'), 0.0) AS assigned
