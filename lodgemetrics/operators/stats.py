@@ -166,12 +166,13 @@ def two_prop_ztest_pairwise(df: DataFrame, var: str, target: str = "is_canceled"
 
     Pairs are formed between categories, after the bookings are reduced to two counts each.
     """
-    g = df.where(F.col(var).isNotNull()).groupBy(F.col(var).cast("string").alias("g")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(target)).cast("double").alias("c")).withColumn(
-        "one", F.lit(1))
-    a = g.select("one", F.col("g").alias("group_a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = g.select("one", F.col("g").alias("group_b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = a.join(b, "one").where("group_a < group_b")
+    counts = df.where(F.col(var).isNotNull()).groupBy(F.col(var).cast("string").alias("g")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(target)).cast("double").alias("c"))
+    groups = counts.agg(F.array_sort(F.collect_list(F.struct("g", "n", "c"))).alias("all"))
+    first = groups.select("all", F.posexplode("all").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b")).select(
+        F.col("a.g").alias("group_a"), F.col("b.g").alias("group_b"), F.col("a.n").alias("na"), F.col("a.c").alias("ca"),
+        F.col("b.n").alias("nb"), F.col("b.c").alias("cb"))
     p1, p2 = F.col("ca") / F.col("na"), F.col("cb") / F.col("nb")
     pool = (F.col("ca") + F.col("cb")) / (F.col("na") + F.col("nb"))
     se = F.sqrt(pool * (1 - pool) * (1 / F.col("na") + 1 / F.col("nb")))
