@@ -24,6 +24,11 @@ def value_counts(df: DataFrame, by: list[str], value: str, width: float = 1.0,
             .agg(F.count(F.lit(1)).alias("_cnt"), *extra))
 
 
+def merge_counts(counts: DataFrame, by: list[str], extra: list[Column] = ()) -> DataFrame:
+    """Roll value counts up to coarser groups."""
+    return counts.groupBy(*by, "_bucket", "_value").agg(F.sum("_cnt").alias("_cnt"), *extra)
+
+
 def _histogram(counts: DataFrame, by: list[str]) -> DataFrame:
     """Bucket totals with running totals and group moments: one row per (group, bucket)."""
     v, c = F.col("_value"), F.col("_cnt")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
-from lodgemetrics.functions.distribution import describe_by, value_counts
+from lodgemetrics.functions.distribution import describe_by, merge_counts, value_counts
 from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, ratio, stayed
 from lodgemetrics.schema import CITY, RESORT
 
@@ -101,14 +101,21 @@ def rolling_median_by_lead(stays: DataFrame, by: list[str] = ("hotel",), min_win
                     "rolling_median"))
 
 
-def room_price_ladder(stays: DataFrame, by: list[str] = ()) -> DataFrame:
+def room_counts(stays: DataFrame, by: list[str] = ()) -> DataFrame:
+    """ADR value counts per (reserved, assigned) pair: ladder and pairs both come from these."""
+    return value_counts(stays, [*by, "reserved_room_type", "assigned_room_type"], "adr",
+                        extra=[F.sum("total_nights").alias("_nights")])
+
+
+def room_price_ladder(counts: DataFrame, by: list[str] = ()) -> DataFrame:
     """Room types ranked by median reserved ADR (assigned where never reserved)."""
     by = list(by)
     side = F.explode(F.array(*[
         F.struct(F.lit(r).alias("side"), F.col(f"{r}_room_type").alias("room_type"))
         for r in ("reserved", "assigned")])).alias("s")
-    rows = stays.select(*by, "adr", side).select(*by, "adr", "s.side", "s.room_type")
-    stats = describe_by(rows, [*by, "side", "room_type"], "adr", {"median": 0.5})
+    keys = [*by, "side", "room_type"]
+    sided = counts.select("*", side).select(*by, "s.side", "s.room_type", "_bucket", "_value", "_cnt")
+    stats = describe_by(sided, keys, "adr", {"median": 0.5}, counts=merge_counts(sided, keys))
 
     def pick(role: str, c: str) -> Column:
         return F.max(F.when(F.col("side") == role, F.col(c)))
@@ -116,26 +123,27 @@ def room_price_ladder(stays: DataFrame, by: list[str] = ()) -> DataFrame:
     ladder = stats.groupBy(*by, "room_type").agg(
         F.coalesce(pick("reserved", "median"), pick("assigned", "median")).alias("median_adr"),
         F.coalesce(pick("reserved", "n"), F.lit(0)).alias("bookings_reserved"))
-    w = W.partitionBy(*(by or [F.lit(1)])).orderBy("median_adr", "room_type")
+    group = W.partitionBy(*(by or [F.lit(1)]))
+    w = group.orderBy("median_adr", "room_type")
     step = F.col("median_adr") - F.lag("median_adr").over(w)
-    reserved_first = W.partitionBy(*(by or [F.lit(1)])).orderBy(
-        F.desc(F.col("bookings_reserved") > 0), "median_adr", "room_type")
+    reserved_first = group.orderBy(F.desc(F.col("bookings_reserved") > 0), "median_adr", "room_type")
     return (ladder.withColumn("rank", F.row_number().over(w))
             .withColumn("premium_vs_prev", F.coalesce(step, F.lit(0.0)))
             .withColumn("is_cheap", ((F.row_number().over(reserved_first) <= 2)
                                      & (F.col("bookings_reserved") > 0)).cast("int")))
 
 
-def room_pairs(stays: DataFrame, ladder: DataFrame, by: list[str] = (), ties: str = "lateral"
-               ) -> DataFrame:
+def room_pairs(counts: DataFrame, by: list[str] = (), ties: str = "lateral") -> DataFrame:
     """Stays per (reserved, assigned) pair with shift type, premium gap and rank change.
 
-    Stays collapse to room pairs before the ladder is joined. ``ties`` names the shift of two
-    types with equal medians: lateral or downgrade.
+    Takes room_counts. ``ties`` names the shift of two types with equal medians: lateral or
+    downgrade.
     """
     by = list(by)
-    pairs = stays.groupBy(*by, "reserved_room_type", "assigned_room_type").agg(
-        bookings(), F.sum("adr").alias("sum_adr"), F.sum("total_nights").alias("nights"))
+    ladder = room_price_ladder(counts, by)
+    pairs = counts.groupBy(*by, "reserved_room_type", "assigned_room_type").agg(
+        F.sum("_cnt").alias("bookings"), F.sum(F.col("_value") * F.col("_cnt")).alias("sum_adr"),
+        F.sum("_nights").alias("nights"))
     for role, tag in (("reserved", "r"), ("assigned", "a")):
         side = ladder.select(*by, F.col("room_type").alias(f"{role}_room_type"),
                              F.col("median_adr").alias(f"{tag}_med"), F.col("rank").alias(f"{tag}_rank"),
@@ -221,20 +229,31 @@ def slope_table(stays: DataFrame, dim: str, min_n: int = 50) -> DataFrame:
 def kpi_scorecard(stays: DataFrame) -> DataFrame:
     """Seven rate KPIs per hotel in long form with a min-max position (0.5 when flat).
 
-    ``stays`` needs the room columns.
+    ``stays`` needs the room columns. All price KPIs are roll-ups of one table of value counts,
+    the room KPIs of another.
     """
-    level = describe_by(stays, ["hotel"], "adr", {"median": 0.5}).select(
-        "hotel", F.col("mean").alias("mean_adr"), F.col("median").alias("median_adr"))
-    weekend = weekend_premium(stays, ["hotel"]).select("hotel", F.col("premium").alias("weekend_premium"))
-    months = stays.groupBy("hotel", "arrival_month_number").agg(F.avg("adr").alias("m"))
-    spread = months.groupBy("hotel").agg((ratio(F.max("m"), F.min("m")) - 1).alias("season_spread"))
-    leads = lead_bin_adr(stays, ["hotel"])
-    early = leads.groupBy("hotel").agg(
-        (F.max(F.when(F.col("lead_bin") == "0-7", F.col("median")))
-         - F.max(F.when(F.col("lead_bin") == "180+", F.col("median")))).alias("last_min_vs_early_gap"))
-    rooms = upsell_kpi(room_pairs(stays, room_price_ladder(stays, ["hotel"]), ["hotel"], "downgrade"),
-                       ["hotel"]).select("hotel", (F.col("mismatch_rate") * 100).alias("mismatch_rate_pct"),
-                                         (F.col("upsell_opp") / 1000).alias("upsell_opp_k"))
+    fine = value_counts(stays.withColumn("_we", bands.is_weekend().cast("int")).withColumn(
+        "lead_bin", bands.lead_time_bin("lead_time", "strategy")),
+        ["hotel", "arrival_month_number", "_we", "lead_bin"], "adr")
+
+    def medians(by: list[str]) -> DataFrame:
+        return describe_by(stays, by, "adr", {"median": 0.5}, counts=merge_counts(fine, by))
+
+    def means(by: list[str]) -> DataFrame:
+        n = F.sum("_cnt")
+        return fine.groupBy(*by).agg((F.sum(F.col("_value") * F.col("_cnt")) / n).alias("m"))
+
+    def at(key: str, value, c: str) -> Column:
+        return F.max(F.when(F.col(key) == value, F.col(c)))
+
+    level = medians(["hotel"]).select("hotel", F.col("mean").alias("mean_adr"), F.col("median").alias("median_adr"))
+    weekend = means(["hotel", "_we"]).groupBy("hotel").agg((at("_we", 1, "m") - at("_we", 0, "m")).alias("weekend_premium"))
+    spread = means(["hotel", "arrival_month_number"]).groupBy("hotel").agg(
+        (ratio(F.max("m"), F.min("m")) - 1).alias("season_spread"))
+    early = medians(["hotel", "lead_bin"]).groupBy("hotel").agg(
+        (at("lead_bin", "0-7", "median") - at("lead_bin", "180+", "median")).alias("last_min_vs_early_gap"))
+    rooms = upsell_kpi(room_pairs(room_counts(stays, ["hotel"]), ["hotel"], "downgrade"), ["hotel"]).select(
+        "hotel", (F.col("mismatch_rate") * 100).alias("mismatch_rate_pct"), (F.col("upsell_opp") / 1000).alias("upsell_opp_k"))
     wide = reduce(lambda a, b: a.join(b, "hotel"), [level, weekend, spread, early, rooms])
     names = [c for c in wide.columns if c != "hotel"]
     long = wide.unpivot("hotel", names, "metric", "value")

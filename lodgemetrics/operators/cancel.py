@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
-from lodgemetrics.functions.distribution import describe_by
+from lodgemetrics.functions.distribution import describe_by, merge_counts, value_counts
 from lodgemetrics.functions.exprs import (
     CANCELED, CHECK_OUT, NO_SHOW, bookings, cancel_rate, count_if, lost_revenue, ratio,
     revenue_sum, stay_adr, stayed,
@@ -150,12 +150,13 @@ def lead_time_stats_by_status(df: DataFrame) -> DataFrame:
 def density_histogram(df: DataFrame, by: list[str], value: str = "lead_time", bins: int = 40,
                       cap: float = 365.0, tail: float = 0.99) -> DataFrame:
     """Equal-width histogram from 0 to min(cap, p99) with counts and densities per group."""
-    top = describe_by(df, [], value, {"p": tail}).select(F.least("p", F.lit(float(cap)))).scalar()
-    capped = df.withColumn("_top", top).where(F.col(value) <= F.col("_top"))
+    counts = value_counts(df, by, value)
+    overall = describe_by(df, [], value, {"p": tail}, counts=merge_counts(counts, []))
+    top = overall.select(F.least("p", F.lit(float(cap)))).scalar()
+    capped = counts.withColumn("_top", top).where(F.col("_value") <= F.col("_top"))
     width = F.col("_top") / bins
-    slot = F.least(F.floor(F.coalesce(ratio(value, width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
-    out = capped.groupBy(*by, slot.alias("bin"), width.alias("bin_width")).agg(
-        F.count(F.lit(1)).alias("n"))
+    slot = F.least(F.floor(F.coalesce(ratio("_value", width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
+    out = capped.groupBy(*by, slot.alias("bin"), width.alias("bin_width")).agg(F.sum("_cnt").alias("n"))
     total = F.sum("n").over(W.partitionBy(*by))
     return out.select(*by, "bin", (F.col("bin") * F.col("bin_width")).alias("bin_start"), "n",
                       ratio("n", total * F.col("bin_width")).alias("density"))

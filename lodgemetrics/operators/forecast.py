@@ -35,8 +35,12 @@ def monthly_series(df: DataFrame, by_hotel: bool = True, metrics: list[str] = ME
         F.avg(1.0 - F.col("is_canceled")).alias("_occ"),
         F.sum(F.when(stayed(), F.greatest("total_nights", F.lit(0)))).cast("double").alias("room_nights"))
     wide = wide.withColumn("revpar", F.col("adr") * F.col("_occ"))
-    spine = wide.groupBy("hotel").agg(F.sequence(F.min("t"), F.max("t")).alias("t"))
-    full = spine.select("hotel", F.explode("t").alias("t")).join(wide, ["hotel", "t"], "left")
+    # a month is followed by empty rows up to the next month present
+    following = F.lead("t").over(W.partitionBy("hotel").orderBy("t")) - 1
+    filled = wide.withColumn("_m", F.sequence("t", F.coalesce(following, "t")))
+    filled = filled.select("*", F.explode("_m").alias("_t"))
+    full = filled.select("hotel", F.col("_t").alias("t"), *[
+        F.when(F.col("_t") == F.col("t"), F.col(m)).alias(m) for m in metrics])
     return full.unpivot(["hotel", "t"], metrics, "metric", "value").withColumns(calendar())
 
 
@@ -100,15 +104,16 @@ def ljung_box(correlations: DataFrame, lags: list[int] = (3, 6, 12), p_value: bo
 
 def seasonal_naive(series: DataFrame, h: int = 6, period: int = SEASON) -> DataFrame:
     """Repeat the last season; with less than a season of history, the mean."""
-    ends = series.groupBy(*SERIES).agg(F.max("t").alias("_end"), F.count("value").alias("_n"),
-                                       F.avg("value").alias("_mean"))
+    known = F.when(F.col("value").isNotNull(), F.struct("t", "value"))
+    ends = series.groupBy(*SERIES).agg(
+        F.max("t").alias("_end"), F.count("value").alias("_n"), F.avg("value").alias("_mean"),
+        F.map_from_entries(F.collect_list(known)).alias("_past"))
     steps = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
-    back = F.lit(period) * F.ceil(F.col("step") / period)
-    steps = steps.withColumn("t", F.col("_end") + F.col("step")).withColumn("_src", F.col("t") - back)
-    past = series.select(*SERIES, F.col("t").alias("_src"), F.col("value").alias("_past"))
-    value = F.when(F.col("_n") < period, F.col("_mean")).otherwise(F.col("_past"))
-    return (steps.join(past, [*SERIES, "_src"], "left")
-            .select(*SERIES, "step", "t", value.alias("forecast")).withColumns(calendar()))
+    back = (F.lit(period) * F.ceil(F.col("step") / period)).cast("int")
+    steps = steps.withColumn("t", F.col("_end") + F.col("step"))
+    past = F.try_element_at("_past", F.col("t") - back)
+    value = F.when(F.col("_n") < period, F.col("_mean")).otherwise(past)
+    return steps.select(*SERIES, "step", "t", value.alias("forecast")).withColumns(calendar())
 
 
 def holt_fit(series: DataFrame, grid: list[float] = tuple(i / 10 for i in range(1, 10))) -> DataFrame:

@@ -87,23 +87,25 @@ def _sums(x: str, y: str) -> list[Column]:
 
 
 def elasticity_loglog_fe(panel: DataFrame, by: list[str] = ("hotel",),
-                         method: str = "loglog_ols_month_fe") -> DataFrame:
+                         method: str = "loglog_ols_month_fe", min_demand: int = 0) -> DataFrame:
     """OLS of log demand on log ADR with month-of-year effects.
 
     The effects are swept out first (within-month sums), which gives the same slope and
     residuals as the dummy regression from two small aggregates.
     """
     by = list(by)
-    per_month = panel.groupBy(*by, "month_number").agg(*_sums("log_adr", "log_demand"))
+    per_month = panel.groupBy(*by, "month_number").agg(*_sums("log_adr", "log_demand"), F.sum("demand").alias("_d"))
 
     def within(a: str, b: str, ab: str) -> Column:
         return F.sum(F.col(ab) - F.col(a) * F.col(b) / F.col("_n"))
 
     fit = per_month.groupBy(*by).agg(
-        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("months"), within("_x", "_x", "_xx").alias("sxx"),
+        F.sum("_n").alias("n"), F.sum("_d").alias("stays"), F.count(F.lit(1)).alias("months"),
+        within("_x", "_x", "_xx").alias("sxx"),
         within("_y", "_y", "_yy").alias("syy"), within("_x", "_y", "_xy").alias("sxy"),
         (F.sum("_yy") - F.sum("_y") * F.sum("_y") / F.sum("_n")).alias("sst"))
     fit = fit.withColumn("sxx", F.when(F.col("sxx") > 1e-12, F.col("sxx")))
+    fit = fit.where(F.col("stays") >= min_demand) if min_demand else fit
     return _fit_columns(fit, by, method, F.greatest(F.col("n") - F.col("months") - 1, F.lit(1)))
 
 
@@ -142,11 +144,8 @@ def elasticity_pooled_segments(df: DataFrame, min_demand: int = 20, min_cells: i
 
 def elasticity_by_segment(df: DataFrame, min_stays: int = 200, min_months: int = 8) -> DataFrame:
     """Per hotel and segment, with the prior when the slope is unusable."""
-    cells = segment_cells(df)
     by = ["hotel", "market_segment"]
-    size = cells.groupBy(*by).agg(F.sum("demand").alias("stays"), F.count(F.lit(1)).alias("_m"))
-    fit = elasticity_loglog_fe(cells, by).join(size, by)
-    fit = fit.where((F.col("stays") >= min_stays) & (F.col("_m") >= min_months))
+    fit = elasticity_loglog_fe(segment_cells(df), by, min_demand=min_stays).where(F.col("n_obs") >= min_months)
     hat = F.col("elasticity")
     unusable = hat.isNull() | F.isnan(hat) | (hat >= 0) | (F.col("n_obs") < 10)
     out = fit.withColumn("elasticity_ops", F.when(unusable, prior()).otherwise(hat))
@@ -387,9 +386,20 @@ def risk_slope(panel: DataFrame, min_rows: int = 8, fallback: float = 0.05) -> D
     return panel.groupBy("hotel").agg(F.when(usable, slope).otherwise(F.lit(fallback)).alias("risk_slope"))
 
 
-def dual_optimize(panel: DataFrame, slopes: DataFrame, alphas: list[float] = (0.7,)) -> DataFrame:
-    """Price that balances normalised revenue against normalised cancel risk."""
-    rows = panel.join(slopes, "hotel").withColumn("_e", prior())
+def with_risk_slope(panel: DataFrame, min_rows: int = 8, fallback: float = 0.05) -> DataFrame:
+    """risk_slope as a panel column: a window over a hotel's months instead of a second pass."""
+    w = W.partitionBy("hotel")
+    usable = (F.count(F.lit(1)).over(w) >= min_rows) & (F.stddev_pop("log_adr").over(w) > 0)
+    slope = F.when(usable, F.regr_slope("cancel_rate", "log_adr").over(w)).otherwise(F.lit(fallback))
+    return panel.withColumn("risk_slope", slope)
+
+
+def dual_optimize(panel: DataFrame, alphas: list[float] = (0.7,)) -> DataFrame:
+    """Price that balances normalised revenue against normalised cancel risk.
+
+    ``panel`` carries risk_slope.
+    """
+    rows = panel.withColumn("_e", prior())
     rows = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     p0, q0 = F.col("adr"), F.col("demand").cast("double")
 
@@ -422,21 +432,20 @@ def dual_optimize(panel: DataFrame, slopes: DataFrame, alphas: list[float] = (0.
         F.col("_rev.rev").alias("rev_revopt"), F.col("_dual.rev").alias("rev_dual"))
 
 
-def dual_alpha_sensitivity(panel: DataFrame, slopes: DataFrame, alphas: list[float] = (0.5, 0.7, 0.9)) -> DataFrame:
+def dual_alpha_sensitivity(panel: DataFrame, alphas: list[float] = (0.5, 0.7, 0.9)) -> DataFrame:
     """The busiest peak month of each hotel under different weights."""
     w = W.partitionBy("hotel").orderBy(F.desc("demand"), F.desc("year_month"))
     busiest = (panel.where("season = 'Peak'").withColumn("_rn", F.row_number().over(w))
                .where("_rn = 1").drop("_rn"))
-    return dual_optimize(busiest, slopes, alphas).select(
+    return dual_optimize(busiest, alphas).select(
         "hotel", "year_month", "alpha", "p_star_dual", F.col("risk_dual").alias("risk"), F.col("rev_dual").alias("rev"))
 
 
-def backtest_rules(panel: DataFrame, slopes: DataFrame, month_from: str = "2015-07", month_to: str = "2016-12"
-                   ) -> DataFrame:
-    """Replay City Peak +10 % and Resort Low -5 % on history."""
+def backtest_rules(panel: DataFrame, month_from: str = "2015-07", month_to: str = "2016-12") -> DataFrame:
+    """Replay City Peak +10 % and Resort Low -5 % on history; ``panel`` carries risk_slope."""
     mult = (F.when((F.col("hotel") == CITY) & (F.col("season") == "Peak"), 1.10)
             .when((F.col("hotel") == RESORT) & (F.col("season") == "Low"), 0.95).otherwise(1.00))
-    rows = panel.where(F.col("year_month").between(month_from, month_to)).join(slopes, "hotel")
+    rows = panel.where(F.col("year_month").between(month_from, month_to))
     rows = rows.withColumn("rule_mult", mult)
     p0, q0 = F.col("adr"), F.col("demand").cast("double")
     rows = rows.withColumn("adr_rule", p0 * F.col("rule_mult"))

@@ -92,18 +92,16 @@ def season_playbook(monthly: DataFrame) -> DataFrame:
 
 
 def latest_month(monthly: DataFrame) -> DataFrame:
-    last = monthly.agg(F.max("year_month")).scalar()
-    return revpar_trend(monthly.where(F.col("year_month") == last))
+    """Hotels at the last month; rank() <= 1 keeps only last-month rows before they meet."""
+    ranked = monthly.withColumn("_rk", F.rank().over(whole().orderBy(F.desc("year_month"))))
+    return revpar_trend(ranked.where(F.col("_rk") <= 1))
 
 
 def yoy(monthly: DataFrame) -> DataFrame:
     """RevPAR against the same month of the year before; a gap leaves NULL."""
-    cur = monthly.select("hotel", "year_month", "year", "month_number", "revpar")
-    py = monthly.select("hotel", "month_number", (F.col("year") + 1).alias("year"),
-                        F.col("revpar").alias("revpar_py"))
-    return (cur.join(py, ["hotel", "year", "month_number"], "left")
-            .select("hotel", "year_month", "revpar", "revpar_py",
-                    pct_change("revpar", "revpar_py").alias("revpar_yoy_pct")))
+    year_before = W.partitionBy("hotel", "month_number").orderBy("year").rangeBetween(-1, -1)
+    return monthly.withColumn("revpar_py", F.max("revpar").over(year_before)).select(
+        "hotel", "year_month", "revpar", "revpar_py", pct_change("revpar", "revpar_py").alias("revpar_yoy_pct"))
 
 
 def measure_panel(monthly: DataFrame, by: list[str] = ()) -> DataFrame:

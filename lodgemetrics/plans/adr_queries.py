@@ -72,8 +72,7 @@ SCORE = {
 
 def _pairs(x, hotel: bool = False, ties: str = "lateral"):
     by = ["hotel"] if hotel else []
-    stays = x.stays(part=True)
-    return A.room_pairs(stays, A.room_price_ladder(stays, by), by, ties)
+    return A.room_pairs(A.room_counts(x.stays(part=True), by), by, ties)
 
 
 def register(cat: Catalog) -> None:
@@ -132,8 +131,8 @@ def register(cat: Catalog) -> None:
         FROM p c JOIN p m ON m.hotel = c.hotel AND m.pos BETWEEN c.pos - 0.5 AND c.pos + 0.5
         JOIN stays s ON s.hotel = m.hotel AND s.lead_time = m.lead_time
         GROUP BY 1, 2 HAVING count(*) >= 80""", r6="rolling_median")
-    add("room_price_ladder", lambda x: A.room_price_ladder(x.stays(part=True)), _ladder_sql(False), r6="median_adr premium_vs_prev")
-    add("room_price_ladder_by_hotel", lambda x: A.room_price_ladder(x.stays(part=True), ["hotel"]), _ladder_sql(True),
+    add("room_price_ladder", lambda x: A.room_price_ladder(A.room_counts(x.stays(part=True))), _ladder_sql(False), r6="median_adr premium_vs_prev")
+    add("room_price_ladder_by_hotel", lambda x: A.room_price_ladder(A.room_counts(x.stays(part=True), ["hotel"]), ["hotel"]), _ladder_sql(True),
         r6="median_adr premium_vs_prev")
     for name, hotel, ties in (("", False, "lateral"), ("_by_hotel", True, "downgrade")):
         key = "hotel, " if hotel else ""

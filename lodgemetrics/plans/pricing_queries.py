@@ -149,8 +149,7 @@ def _plan(x) -> DataFrame:
 
 
 def _backtest(x) -> DataFrame:
-    panel = P.monthly_panel(x.bookings())
-    return P.backtest_rules(panel, P.risk_slope(panel), *SPAN)
+    return P.backtest_rules(P.with_risk_slope(P.monthly_panel(x.bookings())), *SPAN)
 
 
 def _ensemble(x) -> DataFrame:
@@ -241,11 +240,11 @@ def register(cat: Catalog) -> None:
         r6="shock_pct delta_revpar_pct delta_demand_pct delta_rev_pct")
     add("risk_slope", lambda x: P.risk_slope(panel(x)), "SELECT * FROM slopes ", r6="risk_slope")
     dual6 = "alpha p0 cancel0 p_star_rev p_star_dual delta_dual_vs_rev_pct risk_revopt risk_dual"
-    add("dual_optimize", lambda x: P.dual_optimize(panel(x), P.risk_slope(panel(x))), _dual_sql("pan ", "0.7"), r6=dual6,
+    add("dual_optimize", lambda x: P.dual_optimize(P.with_risk_slope(panel(x))), _dual_sql("pan ", "0.7"), r6=dual6,
         r4="rev_revopt rev_dual")
     busiest = """(SELECT * FROM pan WHERE season = 'Peak' QUALIFY row_number() OVER (PARTITION BY hotel
       ORDER BY demand DESC, year_month DESC) = 1)"""
-    add("dual_alpha_sensitivity", lambda x: P.dual_alpha_sensitivity(panel(x), P.risk_slope(panel(x))),
+    add("dual_alpha_sensitivity", lambda x: P.dual_alpha_sensitivity(P.with_risk_slope(panel(x))),
         f"""SELECT hotel, year_month, alpha, p_star_dual, risk_dual AS risk, rev_dual AS rev
         FROM ({_dual_sql(busiest, '0.5, 0.7, 0.9')})""", r6="alpha p_star_dual risk", r4="rev")
     bt6 = """rule_mult adr_base adr_rule revpar_base revpar_rule delta_revpar_pct cancel_base cancel_rule delta_cancel_pp

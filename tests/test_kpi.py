@@ -96,12 +96,13 @@ def test_room_ladder_ties_and_shift_variants(make):
     rows = [{"reserved_room_type": a, "assigned_room_type": b, "adr": v} for a, b, v in
             [("A", "A", 50.0), ("B", "B", 50.0), ("C", "C", 90.0), ("A", "C", 50.0), ("A", "B", 50.0)]]
     df = make(rows)
-    ladder = A.room_price_ladder(df)
+    counts = A.room_counts(df)
+    ladder = A.room_price_ladder(counts)
     assert [(r.room_type, r.premium_vs_prev) for r in ladder.orderBy("rank").collect()] == [("A", 0.0), ("B", 0.0), ("C", 40.0)]
-    lateral = {r.shift_type: r.bookings for r in A.room_shift_taxonomy(A.room_pairs(df, ladder)).collect()}
-    down = {r.shift_type: r.bookings for r in A.room_shift_taxonomy(A.room_pairs(df, ladder, ties="downgrade")).collect()}
+    lateral = {r.shift_type: r.bookings for r in A.room_shift_taxonomy(A.room_pairs(counts)).collect()}
+    down = {r.shift_type: r.bookings for r in A.room_shift_taxonomy(A.room_pairs(counts, ties="downgrade")).collect()}
     assert lateral == {"upgrade": 1, "lateral": 1} and down == {"upgrade": 1, "downgrade": 1}
-    assert A.upsell_kpi(A.room_pairs(df, ladder)).first().upsell_opp == 40.0 * 3
+    assert A.upsell_kpi(A.room_pairs(counts)).first().upsell_opp == 40.0 * 3
 
 
 def test_scorecard_is_half_when_flat(make):

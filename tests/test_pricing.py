@@ -90,13 +90,13 @@ def test_sensitivity_variants(spark):
 
 def test_short_history_uses_fallback_slope(spark):
     df = panel(spark, [("City Hotel", f"2016-0{i}", 100.0 + i, 50.0, 0.7, 0.2) for i in range(1, 5)])
-    assert P.risk_slope(df).first().risk_slope == 0.05
+    assert P.risk_slope(df).first().risk_slope == P.with_risk_slope(df).first().risk_slope == 0.05
 
 
 def test_gates(spark):
     rows = [("City Hotel", "2016-07", 100.0, 50.0, 0.7, 0.2), ("Resort Hotel", "2016-01", 90.0, 40.0, 0.6, 0.2)]
     df = panel(spark, rows)
-    bt = P.backtest_rules(df, P.risk_slope(df))
+    bt = P.backtest_rules(P.with_risk_slope(df))
     got = {r.hotel: r for r in P.go_nogo_gates(bt).collect()}
     assert got["City Hotel"].win_rate == 1.0 and got["City Hotel"].go == 1
     assert got["Resort Hotel"].mean_delta_revpar_peak is None
