@@ -8,6 +8,8 @@ group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,11 +21,22 @@ def value_counts(df: DataFrame, by: list[str], value: str, width: float = 1.0,
                  extra: list[Column] = ()) -> DataFrame:
     """(by, bucket, value, cnt, extra aggregates) with NULL values left out."""
     v = F.col(value).cast("double")
-    return (df.where(v.isNotNull())
-            .groupBy(*by, F.floor(v / width).cast("long").alias("_bucket"), v.alias("_value"))
+    bucket = F.floor(v / width).cast("long")
+    # the bucket filter is implied; stated here, both readers of the counts share one exchange
+    return (df.where(v.isNotNull() & bucket.isNotNull())
+            .groupBy(*by, bucket.alias("_bucket"), v.alias("_value"))
             .agg(F.count(F.lit(1)).alias("_cnt"), *extra))
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], also: list[str]) -> DataFrame:
+    """Inner join on group columns, where NULL is a group of its own, and further key columns."""
+    keys = [*by, *also]
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in by]
+    match += [F.col(k) == F.col(f"_right_{k}") for k in also]
+    return left.join(renamed, reduce(lambda a, b: a & b, match)).drop(*[f"_right_{k}" for k in keys])
+
+
 def merge_counts(counts: DataFrame, by: list[str], extra: list[Column] = ()) -> DataFrame:
     """Roll value counts up to coarser groups."""
     return counts.groupBy(*by, "_bucket", "_value").agg(F.sum("_cnt").alias("_cnt"), *extra)
@@ -48,7 +61,7 @@ def _ranked(counts: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
     """Attach the number of smaller rows in the group (_start) to each distinct value."""
     inside = (W.partitionBy(*by, "_bucket").orderBy("_value")
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (counts.join(hist, [*by, "_bucket"])
+    return (join_groups(counts, hist, by, ["_bucket"])
             .withColumn("_start", F.col("_before") + F.sum("_cnt").over(inside) - F.col("_cnt")))
 
 
@@ -105,10 +118,11 @@ def ranked_rows(df: DataFrame, by: list[str], first: str, then: list[Column], na
 
     Rows are numbered inside (by, bucket of first); the bucket histogram supplies the offset.
     """
-    keyed = df.withColumn("_bucket", F.floor(F.col(first).cast("double") / width).cast("long"))
+    bucket = F.floor(F.col(first).cast("double") / width).cast("long")
+    keyed = df.withColumn("_bucket", F.coalesce(bucket, F.lit(-2 ** 62)))  # NULL sorts first
     hist = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = hist.select(*by, "_bucket", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(F.col(first), *then))
-    return (keyed.withColumn("_rn", inside).join(offsets, [*by, "_bucket"])
+    return (join_groups(keyed.withColumn("_rn", inside), offsets, by, ["_bucket"])
             .withColumn(name, F.col("_before") + F.col("_rn")).drop("_rn", "_before", "_bucket"))

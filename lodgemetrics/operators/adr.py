@@ -82,7 +82,8 @@ def rolling_median_by_lead(stays: DataFrame, by: list[str] = ("hotel",), min_win
     """
     by = list(by)
     keys = ", ".join(by)
-    days = stays.groupBy(*by, "lead_time").agg(F.count(F.lit(1)).alias("_n"))
+    per_day = value_counts(stays, [*by, "lead_time"], "adr")
+    days = per_day.groupBy(*by, "lead_time").agg(F.sum("_cnt").alias("_n"))
     upto = W.partitionBy(*by).orderBy("lead_time").rowsBetween(W.unboundedPreceding, W.currentRow)
     total = F.sum("_n").over(W.partitionBy(*by))
     mid = F.sum("_n").over(upto) - F.col("_n") / 2
@@ -92,7 +93,6 @@ def rolling_median_by_lead(stays: DataFrame, by: list[str] = ("hotel",), min_win
     spans = placed.selectExpr(*by, "lead_time AS _centre", f"min(lead_time) {frame} AS _from",
                               f"max(lead_time) {frame} AS _to")
     member = spans.select(*by, "_centre", F.explode(F.sequence("_from", "_to")).alias("lead_time"))
-    per_day = value_counts(stays, [*by, "lead_time"], "adr")
     counts = (per_day.join(member, [*by, "lead_time"]).groupBy(*by, "_centre", "_bucket", "_value")
               .agg(F.sum("_cnt").alias("_cnt")))
     stats = describe_by(stays, [*by, "_centre"], "adr", {"rolling_median": 0.5}, counts=counts)

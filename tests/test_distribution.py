@@ -43,3 +43,14 @@ def test_ranked_rows_is_a_row_number(sample):
     got = ranked_rows(df, ["g"], "v", [], "rank", width=10.0).where("g = 'hot'").orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
     assert [r.v for r in got] == sorted(x for k, x in rows if k == "hot")
+
+
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    assert {r.g: r.m for r in describe_by(df, ["g"], "v", {"m": 0.5}).collect()} == {None: 2.0, "a": 5.0}
+    assert ranked_rows(df, ["g"], "v", []).count() == 3
+
+
+def test_null_order_value_is_ranked_first(spark):
+    df = spark.createDataFrame([("a", None), ("a", 3.0), ("a", -5.0)], "g string, v double")
+    assert [(r.v, r["rank"]) for r in ranked_rows(df, ["g"], "v", []).orderBy("rank").collect()] == [(None, 1), (-5.0, 2), (3.0, 3)]
