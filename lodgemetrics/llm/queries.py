@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodgemetrics.llm import chat, packing, pii, secrets, substring_dedup, suffix_dedup, topk, toxicity
+from lodgemetrics.llm import chat, jaccard_join, packing, pii, secrets, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
@@ -91,7 +95,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_packing, op2_chat_format, op4_substring_dedup, op5_suffix_array_dedup, op7_top_k, op8_secrets, op9_toxicity, op10_pii]
+    own = [op1_packing, op2_chat_format, op4_substring_dedup, op5_suffix_array_dedup,
+           op6_ngram_jaccard, op7_top_k, op8_secrets, op9_toxicity, op10_pii]
     return {q.__name__: q for q in own}
 
 
