@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodgemetrics.llm import chat, jaccard_join, packing, pii, secrets, substring_dedup, suffix_dedup, topk, toxicity
+from lodgemetrics.llm import chat, decontaminate, jaccard_join, packing, pii, secrets, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_words")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -95,7 +100,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_packing, op2_chat_format, op4_substring_dedup, op5_suffix_array_dedup,
+    own = [op1_packing, op2_chat_format, op3_decontamination, op4_substring_dedup, op5_suffix_array_dedup,
            op6_ngram_jaccard, op7_top_k, op8_secrets, op9_toxicity, op10_pii]
     return {q.__name__: q for q in own}
 
