@@ -18,6 +18,8 @@ FIT_ROWS = 20_000
 #: Distinct labelled texts a term must occur in to count.
 LEAST_TEXTS = 4
 THRESHOLD = 0.7
+#: Gradient steps at least, so that few labelled rows are fitted as well.
+LEAST_STEPS = 3000
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +101,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, epochs: int = 60
     order = np.argsort(row, kind="stable")
     row, term = row[order], term[order]
     block = 256
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * block // n))):
         for lot in np.array_split(rng.permutation(n), max(1, n // block)):
             where = np.full(n, -1, np.int64)
             where[lot] = np.arange(len(lot))
