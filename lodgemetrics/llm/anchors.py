@@ -79,6 +79,7 @@ class Blocks(NamedTuple):
     row: np.ndarray
     start: np.ndarray  # first window, in symbols of its text
     n: np.ndarray  # windows
+    lead: np.ndarray  # symbols from the first window to the anchor
     gram: np.ndarray  # hash at the anchor
     one: np.ndarray  # 128-bit hash of the block's symbols
     two: np.ndarray
@@ -89,7 +90,7 @@ def blocks(part: Slice, window: int, k: int) -> Blocks:
     n = len(part.symbols) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return Blocks(none, none, none, *(none.view(np.uint64),) * 3)
+        return Blocks(none, none, none, none, *(none.view(np.uint64),) * 3)
     hashed = SpanHash(part.symbols)
     gram = hashed.every(k)
     least = sliding_min((gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64), window - k + 1)
@@ -101,7 +102,7 @@ def blocks(part: Slice, window: int, k: int) -> Blocks:
     size = np.diff(np.append(new, len(at)))
     row = np.searchsorted(part.first, a, "right") - 1
     end = a + size - 1 + window
-    return Blocks(row + part.row, a - part.first[row] + part.shift, size, mix(gram[anchor[new]]),
+    return Blocks(row + part.row, a - part.first[row] + part.shift, size, anchor[new] - a, mix(gram[anchor[new]]),
                   hashed.spans(a, end), second(part.symbols).spans(a, end))
 
 
@@ -123,13 +124,14 @@ def windows(part: Slice, window: int, lists: list, at: list) -> tuple[np.ndarray
     return e, p - part.first[row] + part.shift, hashed.spans(p, p + window), other.spans(p, p + window)
 
 
-BLOCK_SCHEMA = "doc_id {}, key long, start long, n long, gram long, one long, two long, at long"
+BLOCK_NAMES = ["doc_id", "key", "start", "n", "lead", "gram", "one", "two", "at"]
+BLOCK_SCHEMA = "doc_id {}, key long, start long, n long, lead long, gram long, one long, two long, at long"
 
 
 def find_blocks(rows: DataFrame, window: int, k: int, words: bool, keep=None) -> DataFrame:
     """Blocks of keyed rows; ``at`` numbers a block by its place. keep: a broadcast test of anchor hashes."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "key", "start", "n", "gram", "one", "two", "at"]
+    names = BLOCK_NAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,26 +142,68 @@ def find_blocks(rows: DataFrame, window: int, k: int, words: bool, keep=None) ->
                     use = keep.value(b.gram)
                     b = Blocks(*(x[use] for x in b))
                 if len(b.row):
-                    at = mix(keys[b.row] + b.start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    take = pa.array(b.row)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].take(take), batch["key"].take(take), pa.array(b.start), pa.array(b.n),
-                         *(pa.array(x.view(np.int64)) for x in (b.gram, b.one, b.two, at))], names)
+                    yield _block_batch(batch, keys, b)
 
     return rows.mapInArrow(run, BLOCK_SCHEMA.format(kind))
 
 
+def _block_batch(batch: pa.RecordBatch, keys: np.ndarray, b: Blocks) -> pa.RecordBatch:
+    at = mix(keys[b.row] + b.start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    take = pa.array(b.row)
+    return pa.RecordBatch.from_arrays(
+        [batch["doc_id"].take(take), batch["key"].take(take), pa.array(b.start), pa.array(b.n), pa.array(b.lead),
+         *(pa.array(x.view(np.int64)) for x in (b.gram, b.one, b.two, at))], BLOCK_NAMES)
+
+
+def find_slabs(rows: DataFrame, spans: DataFrame, window: int, slab: int) -> DataFrame:
+    """The blocks ``spans`` (start, n, lead) of byte rows, cut into slabs of windows: offsets from the anchor that
+    share one quotient by ``slab``. All windows of a slab hold its core, ``window - slab + 1`` bytes; a slab's hash at
+    the core takes the place of the anchor's. So an anchor that stands in many different blocks is split up: only
+    slabs with the same core, hence with that many bytes in common, are compared further.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch["key"]).view(np.uint64)
+            lists = batch["spans"].to_pylist()
+            for part in slices(batch["text"], window, False):
+                hashed, other = SpanHash(part.symbols), second(part.symbols)
+                found = []
+                for row in range(part.row, part.row + len(part.first) - 1):
+                    base = int(part.first[row - part.row])
+                    size = int(part.first[row - part.row + 1]) - base
+                    for s in lists[row]:
+                        lo, hi = max(0, s["start"] - part.shift), min(s["start"] + s["n"] - part.shift, size - window + 1)
+                        anchor = s["start"] + s["lead"] - part.shift
+                        while lo < hi:
+                            q = (anchor - lo) // slab
+                            end = min(hi, anchor - q * slab + 1)
+                            found.append((row, base, lo, end - lo, anchor - q * slab, q))
+                            lo = end
+                if not found:
+                    continue
+                row, base, start, n, core, q = np.array(found, np.int64).T
+                a, c = base + start, base + core
+                gram = mix(hashed.spans(c, c + window - slab + 1) + q.astype(np.uint64))
+                end = a + n - 1 + window
+                yield _block_batch(batch, keys, Blocks(row, start + part.shift, n, core - start, gram,
+                                                       hashed.spans(a, end), other.spans(a, end)))
+
+    return with_lists(rows, spans, "start", "n", "lead").mapInArrow(run, BLOCK_SCHEMA.format(kind))
+
+
 def sorted_out(found: DataFrame, tag: str) -> DataFrame:
-    """Blocks that matter, staged: ``copies`` of the whole block, ``kinds`` of different blocks at its anchor hash,
-    and ``first``, true for one row of each block. Counts are combined before each shuffle; joins are plain, so that
+    """Blocks that matter, staged: ``copies`` of the whole block, ``kinds`` of different blocks at its anchor hash (1
+    where none of them is single, so that none has anything to find), and ``first``, true for one row of each block. Counts are combined before each shuffle; joins are plain, so that
     the engine can split an anchor or a block that stands in a large share of all texts."""
     same = found.groupBy("gram", "one", "two").agg(F.count("*").alias("copies"), F.min("at").alias("least"))
-    kinds = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")) \
-        .filter(F.col("total") > 1).select("gram", "kinds")
+    kinds = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total"), F.min("copies").alias("least_copies")) \
+        .filter(F.col("total") > 1).select("gram", F.when(F.col("least_copies") == 1, F.col("kinds")).otherwise(1).alias("kinds"))
     known = same.join(kinds, "gram")
     known = known.select(F.col("gram").alias("g"), F.col("one").alias("o"), F.col("two").alias("t"), "copies", "least", "kinds")
     both = found.join(known, (found["gram"] == known["g"]) & (found["one"] == known["o"]) & (found["two"] == known["t"]))
-    return staged(both.select("doc_id", "key", "start", "n", "gram", "copies", "kinds",
+    return staged(both.select("doc_id", "key", "start", "n", "lead", "gram", "copies", "kinds",
                               (F.col("at") == F.col("least")).alias("first")), tag)
 
 

@@ -12,7 +12,7 @@ from lodgemetrics.llm import anchors, sketch
 from lodgemetrics.llm.shared import keyed, word_bounds
 
 #: Words of a window and of an anchor.
-WINDOW, ANCHOR = 35, 8
+WINDOW, ANCHOR = 35, 16
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:

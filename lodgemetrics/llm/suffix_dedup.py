@@ -7,86 +7,90 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodgemetrics.llm import anchors
 from lodgemetrics.llm.shared import buffers, keyed
 
-#: Bytes of a string and of an anchor; bytes sorted in one suffix array; blocks of an anchor beyond which its
-#: windows are grouped by their own hashes instead (exact as well), so that no task meets an unbounded group.
-WINDOW, ANCHOR, SORTED, HOT = 400, 32, 1 << 20, 256
+#: Bytes of a string and of an anchor; bytes sorted in one suffix array; blocks of an anchor beyond which they are
+#: split into slabs of windows and grouped by hashes instead (exact as well), so that no task meets an unbounded group.
+WINDOW, ANCHOR, SORTED, HOT, SLAB = 400, 200, 1 << 18, 200, 16
 
 
-class Factors(NamedTuple):
-    """Of each position: the longest match with an earlier position, and that position (-1: none)."""
+class Ranks(NamedTuple):
+    """Ranks of all suffixes by their first ``step`` symbols, and by the first half of ``whole`` of them."""
 
-    length: np.ndarray
-    source: np.ndarray
+    step: int
+    part: np.ndarray
+    whole: np.ndarray
 
 
-def suffix_ranks(text: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, until that covers ``longest`` symbols."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    out, step = [rank], 1
-    while step < longest and rank.max(initial=0) < n - 1:
+def suffix_ranks(text: np.ndarray, window: int) -> Ranks:
+    """Suffix order by prefix doubling, from packed symbols below 512 on, until it covers ``window`` symbols.
+
+    ``part`` holds the last ranks by at most ``window`` symbols, ``whole`` those that cover them.
+    """
+    n, step = len(text), min(7, window)
+    packed = np.zeros(n, np.int64)
+    for i in range(step):
+        packed *= 512
+        packed[:max(0, n - i)] += text[i:]
+    order = np.argsort(packed)
+    part = rank = _ranks(packed, order)
+    part_step = step
+    while step < window:
         after = np.zeros(n, np.int64)
-        after[:n - step] = rank[step:] + 1
+        after[:max(0, n - step)] = rank[step:] + 1
         pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)
-        out.append(rank)
+        rank = _ranks(pair, np.argsort(pair))
         step *= 2
-    return out
+        if step <= window:
+            part, part_step = rank, step
+    return Ranks(part_step, part, rank)
 
 
-def common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffixes a and b, from the ranks by powers of two."""
-    n = len(ranks[0])
-    a, b = a.copy(), b.copy()
-    out = np.zeros(len(a), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        for _ in range(2 if level == len(ranks) - 1 else 1):
-            inside = (a < n) & (b < n)
-            same = np.zeros(len(a), bool)
-            same[inside] = ranks[level][a[inside]] == ranks[level][b[inside]]
-            out[same] += 1 << level
-            a[same] += 1 << level
-            b[same] += 1 << level
-    return out
+def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)
+    return rank
 
 
 def _smaller(order: np.ndarray) -> np.ndarray:
     """Slot of the nearest value before each slot that is smaller (-1: none): candidates jump along found links."""
     at = np.arange(len(order)) - 1
-    while True:
-        wrong = np.flatnonzero((at >= 0) & (order[np.maximum(at, 0)] > order))
-        if not len(wrong):
-            return at
+    wrong = np.flatnonzero((at >= 0) & (order[np.maximum(at, 0)] > order))
+    while len(wrong):
         at[wrong] = at[at[wrong]]
+        there = at[wrong]
+        wrong = wrong[(there >= 0) & (order[np.maximum(there, 0)] > order[wrong])]
+    return at
 
 
-def previous_factors(text: np.ndarray, longest: int) -> Factors:
-    """Longest previous factors: in suffix order, an earlier position with the longest match is the previous or the
-    next smaller one. Symbols that end a text must be unique, so that no match crosses them."""
-    n = len(text)
-    if n == 0:
-        return Factors(np.zeros(0, np.int64), np.zeros(0, np.int64))
-    ranks = suffix_ranks(text, longest)
-    order = np.argsort(ranks[-1], kind="stable")
-    slot_before = _smaller(order)
-    slot_after = n - 1 - _smaller(order[::-1])[::-1]
-    length, source = np.zeros(n, np.int64), np.full(n, -1)
-    for slot, there in ((slot_before, slot_before >= 0), (slot_after, slot_after < n)):
-        here = order[there]
-        other = order[slot[there]]
-        match = common(ranks, here, other)
-        better = match > length[here]
-        length[here[better]] = match[better]
-        source[here[better]] = other[better]
-    return Factors(length, source)
+def previous_factors(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """The array of longest previous factors, up to ``window``: for each of the positions ``starts`` (rising), an
+    earlier one of them with which it shares ``window`` symbols, or -1 where the longest previous factor is shorter.
+
+    In suffix order, an earlier position with the longest match is the previous or the next smaller one.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    ranks = suffix_ranks(text, window)
+    mine = ranks.whole[starts]
+    order = np.argsort(mine * (len(text) + 1) + starts)  # suffix order, ties by position
+    before = _smaller(order)
+    after = len(order) - 1 - _smaller(order[::-1])[::-1]
+    source = np.full(len(starts), -1)
+    for slot in (before, after):
+        there = np.flatnonzero((slot >= 0) & (slot < len(order)))
+        a, b = order[there], order[slot[there]]
+        same = np.ones(len(a), bool)
+        for at in range(0, window - ranks.step + 1, ranks.step):
+            same &= ranks.part[starts[a] + at] == ranks.part[starts[b] + at]
+        same &= ranks.part[starts[a] + window - ranks.step] == ranks.part[starts[b] + window - ranks.step]
+        source[a[same]] = b[same]
+    return source
 
 
 def _repeats(data: list[bytes], window: int, keep_first: bool) -> list[np.ndarray]:
@@ -94,16 +98,17 @@ def _repeats(data: list[bytes], window: int, keep_first: bool) -> list[np.ndarra
 
     keep_first leaves out positions that have no earlier match."""
     sizes = np.array([len(d) for d in data])
-    text = np.empty(int(sizes.sum()) + len(data), np.int64)
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
-    for i, d in enumerate(data):
-        text[at[i]:at[i + 1] - 1] = np.frombuffer(d, np.uint8)
-        text[at[i + 1] - 1] = 256 + i
-    length, source = previous_factors(text, int(sizes.max(initial=0)) + 1)
-    hit = length >= window
+    text = np.full(int(at[-1]), 256, np.int64)  # ends of strings; no window holds one
+    text[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(data)), sizes)] = np.frombuffer(b"".join(data), np.uint8)
+    windows = np.maximum(0, sizes - window + 1)
+    first = np.concatenate([[0], np.cumsum(windows)])
+    starts = np.arange(first[-1]) - np.repeat(first[:-1], windows) + np.repeat(at[:-1], windows)
+    source = previous_factors(text, starts, window)
+    hit = source >= 0
     if not keep_first:
-        hit[source[hit]] = True
-    return [np.flatnonzero(hit[at[i]:at[i + 1] - 1]) for i in range(len(data))]
+        hit[source[source >= 0]] = True
+    return [np.flatnonzero(hit[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
 def _block_bytes(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
@@ -152,21 +157,23 @@ def _factor_repeats(blocks: DataFrame, window: int) -> DataFrame:
                  pa.array(np.ones(len(at), np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:  # sorted by gram: a group may go on in the next batch
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            while held.nbytes > SORTED:
-                gram = np.asarray(held["gram"].combine_chunks())
-                ends = np.flatnonzero(np.diff(gram)) + 1
-                sizes = np.cumsum([len(d) for d in held["data"].to_pylist()])
-                ready = ends[sizes[ends - 1] <= SORTED]
-                if not len(ends):
-                    break
-                cut = int(ready[-1]) if len(ready) else int(ends[0])
-                yield from solve(held.slice(0, cut))
-                held = held.slice(cut).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from solve(held)
+        held: list[pa.Table] = []  # whole groups, and the one that may go on in the next batch
+        for batch in batches:  # sorted by gram
+            table = pa.Table.from_batches([batch])
+            size = np.cumsum(pc.binary_length(table["data"]).to_numpy())
+            gram = table["gram"].to_numpy()
+            begun = sum(t.nbytes for t in held)
+            last = 0
+            for cut in [0, *(np.flatnonzero(np.diff(gram)) + 1).tolist()]:
+                if cut == 0 and held and held[-1]["gram"][-1].as_py() == gram[0]:
+                    continue
+                if begun + size[cut - 1] * (cut > 0) - size[last - 1] * (last > 0) >= SORTED:
+                    held.append(table.slice(last, cut - last))
+                    yield from solve(pa.concat_tables(held))
+                    held, begun, last = [], 0, cut
+            held.append(table.slice(last))
+        if held:
+            yield from solve(pa.concat_tables(held))
 
     return blocks.repartition("gram").sortWithinPartitions("gram").mapInArrow(
         run, f"doc_id {kind}, key long, start long, n long")
@@ -177,10 +184,14 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     known = anchors.sorted_out(anchors.staged(anchors.find_blocks(rows, window, k, False), "byte-blocks"), "byte-repeats")
     whole = known.filter("copies > 1").select("doc_id", "key", "start", "n")
     open_ = known.filter("first and kinds > 1").select(
-        "doc_id", "key", "start", "n", "gram", "kinds", (F.col("copies") == 1).alias("single"))
+        "doc_id", "key", "start", "n", "lead", "gram", "kinds", (F.col("copies") == 1).alias("single"))
     few = _factor_repeats(_block_bytes(rows, open_.filter(F.col("kinds") <= HOT), window), window)
-    many = anchors.repeated_windows(rows, open_.filter(F.col("kinds") > HOT), window, False, "byte-windows")
-    return whole.unionByName(few).unionByName(many)
+    slabs = anchors.sorted_out(anchors.staged(anchors.find_slabs(rows, open_.filter(F.col("kinds") > HOT), window, SLAB),
+                                              "byte-slabs"), "slab-repeats")
+    alike = slabs.filter("copies > 1").select("doc_id", "key", "start", "n")
+    left = slabs.filter("first and kinds > 1").select("doc_id", "key", "start", "n", (F.col("copies") == 1).alias("single"))
+    many = anchors.repeated_windows(rows, left, window, False, "byte-windows")
+    return whole.unionByName(few).unionByName(alike).unionByName(many)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, doc_id: str = "doc_id",
