@@ -42,18 +42,23 @@ def merge_counts(counts: DataFrame, by: list[str], extra: list[Column] = ()) ->
     return counts.groupBy(*by, "_bucket", "_value").agg(F.sum("_cnt").alias("_cnt"), *extra)
 
 
-def _histogram(counts: DataFrame, by: list[str]) -> DataFrame:
+def _histogram(counts: DataFrame, by: list[str], width: float = 1.0) -> DataFrame:
     """Bucket totals with running totals and group moments: one row per (group, bucket)."""
     v, c = F.col("_value"), F.col("_cnt")
+    edge = F.col("_bucket") * F.lit(float(width))  # deviations from it are small, so squares lose no digits
     hist = counts.groupBy(*by, "_bucket").agg(
-        F.sum(c).alias("_c"), F.sum(v * c).alias("_s1"), F.sum(v * v * c).alias("_s2"),
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        F.sum(c).alias("_c"), F.sum(v * c).alias("_s1"), F.sum((v - edge) * c).alias("_d1"),
+        F.sum((v - edge) * (v - edge) * c).alias("_d2"), F.min(edge).alias("_edge"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     whole = W.partitionBy(*(by or [F.lit(1)]))
     upto = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hist = hist.withColumn("_mean", F.col("_edge") + F.col("_d1") / F.col("_c")).withColumn(
+        "_m2", F.greatest(F.col("_d2") - F.col("_d1") * F.col("_d1") / F.col("_c"), F.lit(0.0))).withColumn(
+        "_all", F.sum("_s1").over(whole) / F.sum("_c").over(whole))
+    between = F.col("_c") * (F.col("_mean") - F.col("_all")) * (F.col("_mean") - F.col("_all"))
     return hist.select(
         *by, "_bucket", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.col("_c"),
         F.sum("_c").over(whole).alias("_n"), F.sum("_s1").over(whole).alias("_t1"),
-        F.sum("_s2").over(whole).alias("_t2"), F.min("_lo").over(whole).alias("_min"),
+        F.sum(F.col("_m2") + between).over(whole).alias("_t2"), F.min("_lo").over(whole).alias("_min"),
         F.max("_hi").over(whole).alias("_max"))
 
 
@@ -79,7 +84,7 @@ def describe_by(df: DataFrame, by: list[str], value: str, probs: dict[str, float
     """
     if counts is None:
         counts = value_counts(df, by, value, width)
-    hist = _histogram(counts, by)
+    hist = _histogram(counts, by, width)
 
     def position(p: float) -> Column:
         return (F.col("_n") - 1) * F.lit(float(p))
@@ -102,7 +107,7 @@ def describe_by(df: DataFrame, by: list[str], value: str, probs: dict[str, float
                  at(F.ceil(position(p))).alias(f"_{name}_hi")]
     stats = ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
     n, t1, t2 = F.col("_n").cast("double"), F.col("_t1"), F.col("_t2")
-    variance = F.greatest(F.try_divide(t2 - t1 * t1 / n, n - 1), F.lit(0.0))
+    variance = F.try_divide(t2, n - 1)
     out = [F.col("_n").alias("n"), (t1 / n).alias("mean"), 
            F.when(n > 1, F.sqrt(variance)).alias("std"),
            F.col("_min").alias("min"), F.col("_max").alias("max")]

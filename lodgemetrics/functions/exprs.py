@@ -94,3 +94,10 @@ def rounded(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         out.append(c.alias(field.name))
     return df.select(*out)
+
+
+def spread(column: str, values: list) -> tuple[Column, list[str]]:
+    """Pivot key and its columns: the given values, and "other" for every other value and NULL, so no row is left out."""
+    names = [str(v) for v in values]
+    text = F.col(column).cast("string")
+    return F.when(text.isin(names), text).otherwise("other").alias("_spread"), [*names, "other"]

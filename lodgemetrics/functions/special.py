@@ -99,20 +99,42 @@ def t_two_sided(t, dof):
 def fisher_two_sided(a, b, c, d):
     """Exact two-sided p of a 2 x 2 table: hypergeometric terms no likelier than the observed one.
 
-    Terms further than 40 standard deviations from the mean are below double precision.
+    Both tails are summed outwards, from the observed cell and from the first cell on the other side that is no
+    likelier, until terms no longer change the sum. NULL for an empty table.
     """
-    def one(a: float, b: float, c: float, d: float) -> float:
+    def one(a: float, b: float, c: float, d: float) -> float | None:
         row, col, n = a + b, a + c, a + b + c + d
+        if not n > 0:
+            return None
         low, high = max(0.0, row + col - n), min(row, col)
-        mean = row * col / n
-        sd = math.sqrt(max(mean * (1 - row / n) * (1 - col / n), 0.0)) + 1
-        low = max(low, min(a, math.floor(mean - 40 * sd)))
-        high = min(high, max(a, math.ceil(mean + 40 * sd)))
-        k = np.arange(low, high)
-        steps = np.log((row - k) * (col - k)) - np.log((k + 1) * (n - row - col + k + 1))
-        logp = np.concatenate([[0.0], np.cumsum(steps)])
-        p = np.exp(logp - logp.max())
-        return float(p[p <= p[int(a - low)] * (1 + 1e-7)].sum() / p.sum())
+        lg = math.lgamma
+        whole = lg(row + 1) + lg(n - row + 1) + lg(col + 1) + lg(n - col + 1) - lg(n + 1)
+
+        def log_p(k: float) -> float:
+            return whole - lg(k + 1) - lg(row - k + 1) - lg(col - k + 1) - lg(n - row - col + k + 1)
+
+        def tail(k: float, step: int) -> float:
+            """Sum of terms from k on, away from the mode: each follows from the one before."""
+            term = total = math.exp(log_p(k)) if low <= k <= high else 0.0
+            while term > 1e-17 * total:
+                if step > 0:
+                    term *= (row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1))
+                else:
+                    term *= k * (n - row - col + k) / ((row - k + 1) * (col - k + 1))
+                k += step
+                total += term
+            return total
+
+        mode = min(high, max(low, math.floor((row + 1) * (col + 1) / (n + 2))))
+        limit = log_p(a) + 1e-7
+        if log_p(mode) <= limit:
+            return 1.0
+        side = -1 if a < mode else 1  # the observed cell's tail; the other starts at its mirror
+        inner, outer = mode, (high + 1 if side < 0 else low - 1)
+        while abs(outer - inner) > 1:
+            k = math.floor((inner + outer) / 2)
+            inner, outer = (inner, k) if log_p(k) <= limit else (k, outer)
+        return min(1.0, tail(a, side) + tail(outer, -side))
 
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
 from lodgemetrics.functions.distribution import describe_by, merge_counts, value_counts
-from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, ratio, stayed
+from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, ratio, spread, stayed
 from lodgemetrics.schema import CITY, RESORT
 
 SPREAD = {"median": 0.5, "p25": 0.25, "p75": 0.75}
@@ -31,11 +31,13 @@ def season_adr_index(stays: DataFrame) -> DataFrame:
 
 def adr_grid(stays: DataFrame, row: str, column: str, values: list, stat: str = "mean",
              by: list[str] = ()) -> DataFrame:
-    """Mean or median ADR grid with one column per given value."""
+    """Mean or median ADR grid with one column per given value and one for all others."""
+    key, names = spread(column, values)
+    keyed = stays.select("*", key)
     if stat == "mean":
-        return stays.groupBy(*by, row).pivot(column, values).agg(F.avg("adr"))
-    cells = describe_by(stays, [*by, row, column], "adr", {"median": 0.5})
-    return cells.groupBy(*by, row).pivot(column, values).agg(F.first("median"))
+        return keyed.groupBy(*by, row).pivot("_spread", names).agg(F.avg("adr"))
+    cells = describe_by(keyed, [*by, row, "_spread"], "adr", {"median": 0.5})
+    return cells.groupBy(*by, row).pivot("_spread", names).agg(F.first("median"))
 
 
 def weekend_premium(stays: DataFrame, by: list[str] = (), min_n: int = 0,
@@ -199,8 +201,9 @@ def upsell_opportunity(pairs: DataFrame, by: list[str] = (), limit: int = 10) ->
 
 
 def room_transition_matrix(stays: DataFrame, rooms: list[str]) -> DataFrame:
-    """Reserved x assigned counts."""
-    return (stays.groupBy("reserved_room_type").pivot("assigned_room_type", rooms)
+    """Reserved x assigned counts, one column per given room type and one for all others."""
+    key, names = spread("assigned_room_type", rooms)
+    return (stays.select("*", key).groupBy("reserved_room_type").pivot("_spread", names)
             .agg(F.count(F.lit(1))).na.fill(0))
 
 

@@ -10,7 +10,7 @@ from lodgemetrics.functions import bands
 from lodgemetrics.functions.distribution import describe_by, merge_counts, value_counts
 from lodgemetrics.functions.exprs import (
     CANCELED, CHECK_OUT, NO_SHOW, bookings, cancel_rate, count_if, lost_revenue, ratio,
-    revenue_sum, stay_adr, stayed,
+    revenue_sum, stay_adr, stayed, spread,
 )
 from lodgemetrics.schema import CITY, RESORT
 
@@ -123,8 +123,9 @@ def random_sample_cap(df: DataFrame, by: list[str], n: int = 1500, seed: int = 4
 
 
 def crosstab_rate(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    """Cancel rate grid: one row per ``row``, one column per given value of ``column``."""
-    return df.groupBy(row).pivot(column, values).agg(F.avg(F.col("is_canceled").cast("double")))
+    """Cancel rate grid: one row per ``row``, one column per given value of ``column`` and one for all others."""
+    key, names = spread(column, values)
+    return df.select("*", key).groupBy(row).pivot("_spread", names).agg(F.avg(F.col("is_canceled").cast("double")))
 
 
 def crosstab_share(df: DataFrame, row: str) -> DataFrame:

@@ -52,7 +52,8 @@ def seasonal_decompose(series: DataFrame, period: int = SEASON) -> DataFrame:
     """Additive: centred 2 x period moving average, centred phase means, residual."""
     w = _by_time()
     half = period // 2
-    inner = F.sum("value").over(w.rowsBetween(-(half - 1), half - 1))
+    around = w.rowsBetween(-(half - 1), half - 1)
+    inner = F.when(F.count("value").over(around) == period - 1, F.sum("value").over(around))  # no trend beside a gap
     ends = F.lag("value", half).over(w) + F.lead("value", half).over(w)
     whole = W.partitionBy(*SERIES)
     out = (series.withColumn("trend", (inner + 0.5 * ends) / period)
@@ -77,9 +78,8 @@ def differencing(series: DataFrame, period: int = SEASON) -> DataFrame:
 
 
 def acf(series: DataFrame, lags: int = 18, value: str = "value") -> DataFrame:
-    """Autocorrelations 1..lags of a column, one row per series and lag."""
-    rows = series.where(F.col(value).isNotNull())
-    centred = rows.withColumn("_c", F.col(value) - F.avg(value).over(W.partitionBy(*SERIES)))
+    """Autocorrelations 1..lags of a column, one row per series and lag; a missing month has no products."""
+    centred = series.withColumn("_c", F.col(value) - F.avg(value).over(W.partitionBy(*SERIES)))
     w = _by_time()
     products = centred.select(*SERIES, "_c", *[
         (F.col("_c") * F.lag("_c", k).over(w)).alias(f"_p{k}") for k in range(1, lags + 1)])
@@ -103,7 +103,7 @@ def ljung_box(correlations: DataFrame, lags: list[int] = (3, 6, 12), p_value: bo
 
 
 def seasonal_naive(series: DataFrame, h: int = 6, period: int = SEASON) -> DataFrame:
-    """Repeat the last season; with less than a season of history, the mean."""
+    """Repeat the last season; the mean with less than a season of history, and for a month missing in it."""
     known = F.when(F.col("value").isNotNull(), F.struct("t", "value"))
     ends = series.groupBy(*SERIES).agg(
         F.max("t").alias("_end"), F.count("value").alias("_n"), F.avg("value").alias("_mean"),
@@ -112,7 +112,7 @@ def seasonal_naive(series: DataFrame, h: int = 6, period: int = SEASON) -> DataF
     back = (F.lit(period) * F.ceil(F.col("step") / period)).cast("int")
     steps = steps.withColumn("t", F.col("_end") + F.col("step"))
     past = F.try_element_at("_past", F.col("t") - back)
-    value = F.when(F.col("_n") < period, F.col("_mean")).otherwise(past)
+    value = F.when(F.col("_n") < period, F.col("_mean")).otherwise(F.coalesce(past, F.col("_mean")))
     return steps.select(*SERIES, "step", "t", value.alias("forecast")).withColumns(calendar())
 
 
@@ -162,7 +162,7 @@ def forecast_next(series: DataFrame, h: int = 6) -> DataFrame:
                                                    "model": F.lit("seasonal_naive")})
     holt = holt_forecast(holt_fit(series), h).withColumn("model", F.lit("holt_trend"))
     both = naive.unionByName(holt)
-    return both.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in ("forecast",)})
+    return both.withColumn("forecast", F.when(F.col("forecast") < 0, 0.0).otherwise(F.col("forecast")))
 
 
 def holdout(series: DataFrame, h: int = 6) -> DataFrame:

@@ -116,6 +116,10 @@ def measure_panel(monthly: DataFrame, by: list[str] = ()) -> DataFrame:
         weighted("revpar", "total_bookings").alias("rp_w"))
 
 
+#: Measures whose difference is one of percentage points.
+RATES = ["occupancy_rate", "cancel_rate", "no_show_rate"]
+
+
 def panel_measures() -> dict[str, Column]:
     """KPI formulas over sums of a measure panel."""
     def s(c: str) -> Column:
@@ -174,7 +178,7 @@ def same_month_py(panel: DataFrame, measures: list[str] | None = None) -> DataFr
     out = _by_role(tagged, role, ["current", "pm", "py"], [], measures)
     return (out.withColumn("mom_pct", pct_change("current", "pm"))
             .withColumn("yoy_pct", pct_change("current", "py"))
-            .withColumn("mom_delta_pp", (F.col("current") - F.col("pm")) * 100))
+            .withColumn("mom_delta_pp", F.when(F.col("measure").isin(RATES), (F.col("current") - F.col("pm")) * 100)))
 
 
 def kpi_rating(monthly: DataFrame, by: list[str] = ("hotel",)) -> DataFrame:

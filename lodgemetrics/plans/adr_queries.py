@@ -94,19 +94,22 @@ def register(cat: Catalog) -> None:
         FROM stays GROUP BY 1""", r6="mean std min max median season_index")
     years = list(range(1995, 2002))
     picks = ", ".join(f"avg(adr) FILTER (arrival_date_year = {y}) AS \"{y}\"" for y in years)
+    picks += f", avg(adr) FILTER (arrival_date_year IS NULL OR arrival_date_year NOT IN ({', '.join(map(str, years))})) AS other"
     add("adr_grid_month_year", lambda x: A.adr_grid(x.stays(), "arrival_month_number", "arrival_date_year", years)
         .withColumnsRenamed({str(y): f"y{y}" for y in years}),
         f"SELECT arrival_month_number, {picks} FROM stays GROUP BY 1".replace('"1', 'y1').replace('"2', 'y2').replace('"', ''),
-        r6=" ".join(f"y{y}" for y in years))
+        r6=" ".join(f"y{y}" for y in years) + " other")
     picks = ", ".join(f"avg(adr) FILTER (day_of_week = '{d}') AS {d}" for d in DAY_NAMES)
+    picks += f", avg(adr) FILTER (day_of_week IS NULL OR day_of_week NOT IN ({', '.join(repr(d) for d in DAY_NAMES)})) AS other"
     add("adr_grid_month_weekday", lambda x: A.adr_grid(x.stays(), "arrival_month_number", "day_of_week", DAY_NAMES),
-        f"SELECT arrival_month_number, {picks} FROM stays GROUP BY 1", r6=" ".join(DAY_NAMES))
+        f"SELECT arrival_month_number, {picks} FROM stays GROUP BY 1", r6=" ".join(DAY_NAMES) + " other")
     months = list(range(1, 13))
     picks = ", ".join(f"quantile_cont(adr, 0.5) FILTER (arrival_month_number = {m}) AS m{m}" for m in months)
+    picks += ", quantile_cont(adr, 0.5) FILTER (arrival_month_number IS NULL OR arrival_month_number NOT BETWEEN 1 AND 12) AS other"
     add("adr_grid_lead_month", lambda x: A.adr_grid(
             x.stays().withColumn("lead_bin", bands.lead_time_bin("lead_time", "strategy")), "lead_bin",
             "arrival_month_number", months, "median", ["hotel"]).withColumnsRenamed({str(m): f"m{m}" for m in months}),
-        f"SELECT hotel, {LEAD_STRATEGY} AS lead_bin, {picks} FROM stays GROUP BY 1, 2", r6=" ".join(f"m{m}" for m in months))
+        f"SELECT hotel, {LEAD_STRATEGY} AS lead_bin, {picks} FROM stays GROUP BY 1, 2", r6=" ".join(f"m{m}" for m in months) + " other")
     for name, by in (("", []), ("_by_hotel", ["hotel"]), ("_by_month", ["arrival_month_number"])):
         keys = ", ".join(by)
         add(f"weekend_premium{name}", lambda x, b=by: A.weekend_premium(x.stays(), b),
@@ -150,6 +153,7 @@ def register(cat: Catalog) -> None:
         FROM ({_pairs_sql(False, 'downgrade')}) WHERE shift_type = 'upgrade' GROUP BY 1, 2
         ORDER BY bookings DESC, 1, 2 LIMIT 10""", r6="mean_premium", r4="opportunity")
     picks = ", ".join(f"count(*) FILTER (assigned_room_type = '{r}') AS {r}" for r in ROOMS)
+    picks += f", count(*) FILTER (assigned_room_type IS NULL OR assigned_room_type NOT IN ({', '.join(repr(r) for r in ROOMS)})) AS other"
     add("room_transition_matrix", lambda x: A.room_transition_matrix(x.stays(part=True), ROOMS),
         f"SELECT reserved_room_type, {picks} FROM stays GROUP BY 1")
     gap = """avg(is_canceled) AS cancel_rate, avg(adr) FILTER (is_canceled = 0) AS mean_stay,

@@ -83,9 +83,10 @@ STAYED = "CASE WHEN is_canceled = 0 THEN adr END"
 def naive(source: str, h: int) -> str:
     """Seasonal naive forecast of the series in ``source``."""
     return f"""
-WITH e AS (SELECT hotel, metric, max(t) AS last_t FROM {source} GROUP BY hotel, metric),
-  x AS (SELECT hotel, metric, CAST(unnest(generate_series(1, {h})) AS INTEGER) AS step, last_t FROM e)
-SELECT x.hotel, x.metric, x.step, x.last_t + x.step AS t, y.value AS forecast,
+WITH e AS (SELECT hotel, metric, max(t) AS last_t, count(value) AS n, avg(value) AS mean FROM {source} GROUP BY hotel, metric),
+  x AS (SELECT hotel, metric, CAST(unnest(generate_series(1, {h})) AS INTEGER) AS step, last_t, n, mean FROM e)
+SELECT x.hotel, x.metric, x.step, x.last_t + x.step AS t,
+  CASE WHEN n < 12 THEN mean ELSE coalesce(y.value, mean) END AS forecast,
   (x.last_t + x.step - 1) % 12 + 1 AS month_number,
   printf('%04d-%02d', (x.last_t + x.step - 1) // 12, (x.last_t + x.step - 1) % 12 + 1) AS year_month
 FROM x LEFT JOIN {source} y ON y.hotel = x.hotel AND y.metric = x.metric

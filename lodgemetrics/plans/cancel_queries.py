@@ -122,10 +122,11 @@ def register(cat: Catalog) -> None:
         """SELECT hotel, arrival_date_year, is_canceled, least(count(*), 1500) AS bookings FROM b GROUP BY 1, 2, 3""")
     channels = ["Corporate", "Direct", "GDS", "TA/TO"]
     picks = ", ".join(f"avg(is_canceled) FILTER (distribution_channel = '{c}') AS \"{c}\"" for c in channels)
+    picks += f", avg(is_canceled) FILTER (distribution_channel IS NULL OR distribution_channel NOT IN ({', '.join(repr(c) for c in channels)})) AS other"
     cat.add("crosstab_rate", lambda x: C.crosstab_rate(x.bookings(), "market_segment", "distribution_channel", channels)
             .withColumnsRenamed({"TA/TO": "ta_to"}),
             f"SELECT market_segment, {picks.replace(chr(34) + 'TA/TO' + chr(34), 'ta_to')} FROM b GROUP BY market_segment",
-            r6="Corporate Direct GDS ta_to")
+            r6="Corporate Direct GDS ta_to other")
     add("crosstab_share", lambda x: C.crosstab_share(
             x.bookings().withColumn("lead_bin", bands.lead_time_bin("lead_time", "eda")), "lead_bin"),
         f"""SELECT {LEAD_EDA} AS lead_bin, 1 - avg(is_canceled) AS stayed_share, avg(is_canceled) AS canceled_share

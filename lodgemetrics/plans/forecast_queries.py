@@ -33,14 +33,14 @@ def _holt_steps(fit: str) -> str:
 
 
 TESTED = f"""SELECT f.*, y.value AS actual FROM (
-    SELECT hotel, metric, t, 'holt_trend' AS model, greatest(forecast, 0.0) AS forecast, lower, upper FROM ({_holt_steps(HOLT_TRAIN)})
-    UNION ALL SELECT hotel, metric, t, 'seasonal_naive', greatest(forecast, 0.0), NULL, NULL FROM (
+    SELECT hotel, metric, t, 'holt_trend' AS model, CASE WHEN forecast < 0 THEN 0.0 ELSE forecast END AS forecast, lower, upper FROM ({_holt_steps(HOLT_TRAIN)})
+    UNION ALL SELECT hotel, metric, t, 'seasonal_naive', CASE WHEN forecast < 0 THEN 0.0 ELSE forecast END, NULL, NULL FROM (
       WITH tr AS ({TRAIN}) SELECT * FROM ({naive('tr ', 6)}))) f
   JOIN ser y ON y.hotel = f.hotel AND y.metric = f.metric AND y.t = f.t"""
 ACF = " UNION ALL ".join(
-    f"""SELECT hotel, metric, count(*) AS n, {k} AS lag, sum(c * c{k}) / sum(c * c) AS acf FROM (SELECT *,
+    f"""SELECT hotel, metric, count(value) AS n, {k} AS lag, sum(c * c{k}) / sum(c * c) AS acf FROM (SELECT *,
     lag(c, {k}) OVER (PARTITION BY hotel, metric ORDER BY t) AS c{k} FROM (SELECT *, value - avg(value)
-    OVER (PARTITION BY hotel, metric) AS c FROM ser WHERE value IS NOT NULL)) GROUP BY hotel, metric"""
+    OVER (PARTITION BY hotel, metric) AS c FROM ser )) GROUP BY hotel, metric"""
     for k in range(1, 19))
 
 
@@ -48,16 +48,18 @@ def register(cat: Catalog) -> None:
     add = cat.add
     series = lambda x, **k: O.monthly_series(x.bookings(), **k)
     add("monthly_series", series, "SELECT * FROM ser ", r6="value")
-    add("monthly_series_overall", lambda x: series(x, by_hotel=False, metrics=["demand", "adr"]),
+    add("monthly_series_overall", lambda x: series(x, by_hotel=False),
         """SELECT 'overall' AS hotel, CAST(t AS INTEGER) AS t, metric, (t - 1) % 12 + 1 AS month_number,
         printf('%04d-%02d', (t - 1) // 12, (t - 1) % 12 + 1) AS year_month, value FROM (
-        SELECT t, unnest(['demand', 'adr']) AS metric, unnest([d, a]) AS value FROM (
+        SELECT t, unnest(['demand', 'adr', 'revpar', 'room_nights']) AS metric, unnest([d, a, a * o, rn]) AS value FROM (
         SELECT arrival_date_year * 12 + arrival_month_number AS t, CAST(count(*) FILTER (is_canceled = 0) AS DOUBLE) AS d,
-        avg(CASE WHEN is_canceled = 0 AND adr > 0 THEN adr END) AS a FROM b GROUP BY 1))""", r6="value")
-    add("seasonal_decompose", lambda x: O.seasonal_decompose(series(x, metrics=["demand", "adr"])),
-        """WITH d AS (SELECT *, (sum(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+        avg(CASE WHEN is_canceled = 0 AND adr > 0 THEN adr END) AS a, avg(1.0 - is_canceled) AS o,
+        CAST(sum(CASE WHEN is_canceled = 0 THEN greatest(total_nights, 0) END) AS DOUBLE) AS rn FROM b GROUP BY 1))""", r6="value")
+    add("seasonal_decompose", lambda x: O.seasonal_decompose(series(x)),
+        """WITH d AS (SELECT *, (CASE WHEN count(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 11
+          THEN sum(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END
           + 0.5 * (lag(value, 6) OVER w + lead(value, 6) OVER w)) / 12 AS trend,
-          (t - min(t) OVER (PARTITION BY hotel, metric)) % 12 AS phase FROM ser WHERE metric IN ('demand', 'adr')
+          (t - min(t) OVER (PARTITION BY hotel, metric)) % 12 AS phase FROM ser
           WINDOW w AS (PARTITION BY hotel, metric ORDER BY t)),
         r AS (SELECT hotel, metric, phase, avg(value - trend) AS raw FROM d GROUP BY ALL),
         c AS (SELECT *, raw - avg(raw) OVER (PARTITION BY hotel, metric) AS seasonal FROM r)
@@ -75,9 +77,9 @@ def register(cat: Catalog) -> None:
     add("ljung_box_p_value", lambda x: O.ljung_box(O.acf(series(x))))
     add("seasonal_naive", lambda x: O.seasonal_naive(series(x)), "SELECT * FROM naive ", r6="forecast")
     add("holt_trend", lambda x: O.holt_fit(series(x)), HOLT_ALL, r6="alpha beta level trend", r4="sse")
-    add("holt_forecast", lambda x: O.holt_forecast(O.holt_fit(series(x, metrics=["adr", "revpar"]))),
+    add("holt_forecast", lambda x: O.holt_forecast(O.holt_fit(series(x))),
         f"""SELECT *, (t - 1) % 12 + 1 AS month_number, printf('%04d-%02d', (t - 1) // 12, (t - 1) % 12 + 1) AS year_month
-        FROM ({_holt_steps(HOLT_ALL)}) WHERE metric IN ('adr', 'revpar')""", r6="forecast lower upper")
+        FROM ({_holt_steps(HOLT_ALL)})""", r6="forecast lower upper")
     add("holdout_metrics", lambda x: O.holdout_metrics(O.holdout(series(x))),
         f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY hotel, metric ORDER BY mape, model) = 1 THEN 1 ELSE 0 END AS is_best
         FROM (SELECT hotel, metric, model, avg(abs(actual - forecast)) AS mae, sqrt(avg((actual - forecast) ** 2)) AS rmse,

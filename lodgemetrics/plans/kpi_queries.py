@@ -116,8 +116,8 @@ def register(cat: Catalog) -> None:
     # --- the booking cube and everything answered from it
     add("booking_cube", cube, "SELECT * FROM cube ", r4="revenue")
     add("cube_slice", lambda x: K.cube_slice(cube(x), **SLICE), SLICE_SQL, r4="revenue")
-    add("cube_kpis", lambda x: K.cube_kpis(K.cube_slice(cube(x), hotels=["Resort Hotel"], years=[1998])),
-        f"SELECT {CUBE_SUMS} FROM cube WHERE hotel = 'Resort Hotel' AND year = 1998",
+    add("cube_kpis", lambda x: K.cube_kpis(cube(x)),
+        f"SELECT {CUBE_SUMS} FROM cube ",
         r6="cancel_rate noshow_rate", r4="revenue lost_est")
     add("cube_monthly", lambda x: K.cube_monthly(cube(x)),
         f"SELECT year_month, {CUBE_SUMS} FROM cube GROUP BY year_month", r6="cancel_rate noshow_rate", r4="revenue lost_est")

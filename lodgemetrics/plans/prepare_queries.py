@@ -10,14 +10,17 @@ from lodgemetrics.operators import prepare as P
 from lodgemetrics.operators import star as S
 from lodgemetrics.plans.bridge_sql import LEAD_BIN, LEAD_EDA, LEAD_ORDER, season_of
 from lodgemetrics.plans.catalog import Catalog, Inputs
+from lodgemetrics.schema import RAW_BOOKING
 from lodgemetrics.sources.bridge import table
 
-DESCRIBED = ["is_canceled", "lead_time", "adr", "total_nights", "revenue"]
+DESCRIBED = ["booking_key", "is_canceled", "lead_time", "stays_in_weekend_nights", "stays_in_week_nights", "adults",
+             "children", "babies", "is_repeated_guest", "previous_cancellations", "previous_bookings_not_canceled",
+             "booking_changes", "required_car_parking_spaces", "total_of_special_requests", "adr", "arrival_date_year",
+             "arrival_month_number", "arrival_date_week_number", "arrival_date_day_of_month", "total_nights", "revenue"]
 KEYS = ["hotel", "lead_time", "arrival_date", "customer_type"]
 KEY_SQL = ", ".join(KEYS)
-RAW_COLUMNS = ["booking_key", "hotel", "is_canceled", "lead_time", "meal", "country", "market_segment",
-               "deposit_type", "adr", "agent", "company", "reserved_room_type"]
-TEXT = {"hotel", "meal", "country", "market_segment", "deposit_type", "reserved_room_type"}
+RAW_COLUMNS = ["booking_key", *RAW_BOOKING.names]
+TEXT = {f.name for f in RAW_BOOKING.fields if f.dataType.simpleString() == "string"}
 
 
 def _profile_sql() -> str:
@@ -103,7 +106,7 @@ def register(cat: Catalog) -> None:
     add("bookings_source", lambda x: _spread(x.bookings(part=True, nation=True), "hotel", "country",
                                              "market_segment", "deposit_type", "meal"),
         "SELECT hotel, country, market_segment, deposit_type, meal, count(*) AS bookings FROM b GROUP BY ALL")
-    add("null_profile", lambda x: P.null_profile(x.raw().select(*RAW_COLUMNS)), _profile_sql())
+    add("null_profile", lambda x: P.null_profile(x.raw()), _profile_sql())
     add("describe_table", lambda x: P.describe_table(x.bookings(), DESCRIBED), _describe_sql(),
         r6="mean std min max")
     add("fill_missing",

@@ -126,7 +126,7 @@ def register(cat: Catalog) -> None:
         r6="revpar revpar_py revpar_yoy_pct")
     add("same_month_py", lambda x: R.same_month_py(x.panel()),
         f"""SELECT *, (current - pm) * 100.0 / nullif(pm, 0) AS mom_pct, (current - py) * 100.0 / nullif(py, 0) AS yoy_pct,
-        (current - pm) * 100 AS mom_delta_pp FROM ({SAME_MONTH})""", r6="mom_pct yoy_pct", r4="current pm py mom_delta_pp")
+        CASE WHEN measure IN ('occupancy_rate', 'cancel_rate', 'no_show_rate') THEN (current - pm) * 100 END AS mom_delta_pp FROM ({SAME_MONTH})""", r6="mom_pct yoy_pct", r4="current pm py mom_delta_pp")
     add("cy_vs_py", lambda x: R.cy_vs_py(x.panel()),
         f"SELECT *, cy - py AS delta, (cy - py) * 100.0 / nullif(py, 0) AS delta_pct FROM ({CY_PY})",
         r6="delta_pct", r4="cy py delta")

@@ -39,17 +39,20 @@ def _assoc_sql(var: str, expr: str | None = None, by: str = "") -> str:
 V = "sqrt(chi2 / (n * least(r - 1, k - 1)))"
 
 
-def _mw_sql(by: str = "") -> str:
+def _mw_sql(by: str = "", value: str = "lead_time", flag: str = "is_canceled", source: str = "b ") -> str:
     part = f"PARTITION BY {by}" if by else ""
     group = f"GROUP BY {by}" if by else ""
     k = f"{by}, " if by else ""
-    tie_part = f"PARTITION BY {k}lead_time"
+    tie_part = f"PARTITION BY {k}{value}"
     return f"""SELECT {k}n0, n1, u AS u_stat, (greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5)
       / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - ties / ((n0 + n1) * (n0 + n1 - 1)))) AS z_stat, 1 - 2 * u / (n0 * n1) AS rank_biserial
-      FROM (SELECT *, r0 - n0 * (n0 + 1) / 2 AS u FROM (SELECT {k}CAST(count(*) FILTER (is_canceled = 0) AS DOUBLE) AS n0,
-        CAST(count(*) FILTER (is_canceled = 1) AS DOUBLE) AS n1, sum(mr) FILTER (is_canceled = 0) AS r0,
-        sum(c * c - 1) AS ties FROM (SELECT {k}is_canceled, CAST(count(*) OVER ({tie_part}) AS DOUBLE) AS c,
-        rank() OVER ({part} ORDER BY lead_time) + (count(*) OVER ({tie_part}) - 1) / 2 AS mr FROM b ) {group}))"""
+      FROM (SELECT *, r0 - n0 * (n0 + 1) / 2 AS u FROM (SELECT {k}CAST(count(*) FILTER (side = 0) AS DOUBLE) AS n0,
+        CAST(count(*) FILTER (side = 1) AS DOUBLE) AS n1, sum(mr) FILTER (side = 0) AS r0,
+        sum(c * c - 1) AS ties FROM (SELECT {k}{flag} AS side, CAST(count(*) OVER ({tie_part}) AS DOUBLE) AS c,
+        rank() OVER ({part} ORDER BY {value}) + (count(*) OVER ({tie_part}) - 1) / 2 AS mr FROM {source}) {group}))"""
+
+
+WEEKEND = "CASE WHEN day_of_week IN (" + ", ".join(f"'{d}'" for d in bands.WEEKEND_DAYS) + ") THEN 1 ELSE 0 END"
 
 
 def _encoded(x):
@@ -80,13 +83,13 @@ def register(cat: Catalog) -> None:
         FROM (SELECT unnest(rows).v AS variable, unnest(rows).c AS pearson, unnest(rows).f AS is_leakage FROM (
         SELECT [{', '.join(f"{{'v': '{c}', 'c': corr({c}, is_canceled), 'f': {int(c in LEAKAGE_COLUMNS)}}}" for c in NUMERIC)}]
         AS rows FROM b ))""", r6="pearson")
-    add("corr_matrix", lambda x: T.corr_matrix(x.bookings(), ["is_canceled", *NUMERIC[:6]]), " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{c}' AS y, corr({a}, {c}) AS pearson FROM b " for a, c in combinations(["is_canceled", *NUMERIC[:6]], 2)),
+    add("corr_matrix", lambda x: T.corr_matrix(x.bookings(), ["is_canceled", *NUMERIC]), " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{c}' AS y, corr({a}, {c}) AS pearson FROM b " for a, c in combinations(["is_canceled", *NUMERIC], 2)),
         r6="pearson")
     ranks = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
-    add("spearman_vs", lambda x: T.spearman_vs(x.bookings(), "is_canceled", NUMERIC[:5]), " UNION ALL ".join(
+    add("spearman_vs", lambda x: T.spearman_vs(x.bookings(), "is_canceled", NUMERIC), " UNION ALL ".join(
         f"""SELECT '{c}' AS variable, corr(rx, ry) AS spearman FROM (SELECT {ranks.format(c=c)} AS rx,
-        {ranks.format(c='is_canceled')} AS ry FROM b )""" for c in NUMERIC[:5]), r6="spearman")
+        {ranks.format(c='is_canceled')} AS ry FROM b )""" for c in NUMERIC), r6="spearman")
     add("spearman_lead_adr", lambda x: T.spearman_vs(x.stays(), "adr", ["lead_time"]),
         f"""SELECT 'lead_time' AS variable, corr(rx, ry) AS spearman FROM (SELECT {ranks.format(c='lead_time')} AS rx,
         {ranks.format(c='adr')} AS ry FROM stays )""", r6="spearman")
@@ -118,7 +121,8 @@ def register(cat: Catalog) -> None:
     add("mann_whitney", lambda x: T.mann_whitney(x.bookings(), "lead_time", "is_canceled", p_value=False), _mw_sql(),
         r6="n0 n1 z_stat rank_biserial", r4="u_stat")
     add("mann_whitney_weekend_adr", lambda x: T.mann_whitney(
-        x.stays().withColumn("we", bands.is_weekend().cast("int")), "adr", "we", ["hotel"]))
+        x.stays().withColumn("we", bands.is_weekend().cast("int")), "adr", "we", ["hotel"], p_value=False),
+        _mw_sql("hotel", "adr", WEEKEND, "stays "), r6="n0 n1 z_stat rank_biserial", r4="u_stat")
     add("welch_t", lambda x: T.welch_t(x.bookings(), "lead_time", "is_canceled", ["hotel"], p_value=False),
         """SELECT hotel, n0, n1, mean0, mean1, (mean1 - mean0) / sqrt(a + c) AS t_stat, (a + c) ** 2 / (a * a / (n0 - 1) + c * c / (n1 - 1))
         AS dof FROM (SELECT *, v0 / n0 AS a, v1 / n1 AS c FROM (SELECT hotel,
@@ -127,7 +131,7 @@ def register(cat: Catalog) -> None:
         var_samp(lead_time) FILTER (is_canceled = 0) AS v0, var_samp(lead_time) FILTER (is_canceled = 1) AS v1
         FROM b GROUP BY hotel))""", r6="n0 n1 mean0 mean1 t_stat", r4="dof")
     add("welch_t_p_value", lambda x: T.welch_t(x.bookings(), "lead_time", "is_canceled", ["hotel"]))
-    add("bootstrap_median_diff", lambda x: T.bootstrap_median_diff(x.bookings(), "lead_time", "is_canceled", 200))
+    add("bootstrap_median_diff", lambda x: T.bootstrap_median_diff(x.bookings(), "lead_time", "is_canceled"))
     parts = [f"""SELECT hotel, 'lead_time' AS variable, 'mann_whitney' AS test, u_stat AS statistic, rank_biserial AS effect
       FROM ({_mw_sql('hotel')})"""]
     for c, e in (("lead_time_bin", LEAD_EDA), ("deposit_type", None), ("market_segment", None)):

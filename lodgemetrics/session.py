@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -26,9 +25,11 @@ def get_session(app: str = "lodgemetrics", master: str | None = None, **extra: s
 
 
 def cut_lineage(df):
-    """Checkpoint to the shared folder the cluster names; local folder only when none is set."""
+    """Checkpoint to the shared folder the cluster names; where none is named, keep the rows in memory and on disk."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodgemetrics-"))
+        if not folder:
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -17,14 +17,17 @@ def read_bookings(spark: SparkSession, path: str, fmt: str = "csv",
     if fmt == "json":
         return spark.read.schema(schema).json(path)
     if fmt in ("parquet", "orc"):
-        return spark.read.format(fmt).load(path)
+        return spark.read.schema(schema).format(fmt).load(path)
     raise ValueError(f"unsupported booking format: {fmt}")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a fact or dimension; partition columns should be low-cardinality (year, month)."""
-    writer = df.write.mode(mode).format(fmt)
+                fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Write a fact or dimension; partition columns should be low-cardinality (year, month).
+
+    Existing files are only replaced when ``mode`` says so, and then, if partitioned, only the partitions written.
+    """
+    writer = df.write.mode(mode).format(fmt).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:

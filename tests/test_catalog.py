@@ -1,6 +1,7 @@
 """Every query with SQL agrees with DuckDB; LODGE_ALL=1 runs the whole catalog."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -42,4 +43,5 @@ def test_query_matches_sql(spark, con, name):
 def test_contract():
     plans, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(plans)
-    assert len(plans) - len(oracles) < 30
+    own = [n for n in plans if n not in oracles and not re.match(r"op\d+_|pipeline$", n)]
+    assert len(own) < 19
