@@ -16,7 +16,7 @@ from lodgemetrics.llm.shared import keyed, staged
 #: Tokens of a sequence, tokens of a length step, id that ends a document.
 LENGTH, STEP, END_ID = 4096, 16, 2
 #: Words a worker remembers, and pivots of the linear program; both bound cost, not what is packed.
-MEMORY, PIVOTS = 200_000, 2500
+MEMORY, PIVOTS = 300_000, 2500
 
 # Characters for which the vocabulary's normaliser is plain lower-casing: below U+0250, without controls and U+0130.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*")
@@ -41,19 +41,31 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, lot: list[str]) -> list[bytes]:
+        """Ids of single words: encoded as one text, cut after each id that ends a word."""
+        ids = np.frombuffer(self._encoded([" ".join(lot)])[0], "<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(lot):
+            return self._encoded(lot)
+        data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
         missing = list({w for s in split if s for w in s if w not in self.known})
         if len(self.known) + len(missing) > MEMORY:
             self.known.clear()
             missing = list({w for s in split if s for w in s})
-        for a in range(0, len(missing), 2000):
-            part = missing[a:a + 2000]
-            self.known.update(zip(part, self._encoded(part)))
+        for a in range(0, len(missing), 1000):
+            part = missing[a:a + 1000]
+            self.known.update(zip(part, self._words(part)))
         whole = iter(self._encoded([t for t, s in zip(texts, split) if s is None]))
         get = self.known.__getitem__
         return [next(whole) if s is None else b"".join(map(get, s)) for s in split]
