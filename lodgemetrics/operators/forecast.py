@@ -155,13 +155,64 @@ def holt_forecast(fit: DataFrame, h: int = 6, z: float = 1.96) -> DataFrame:
                       (point + margin).alias("upper")).withColumns(calendar())
 
 
+def holt_winters_fit(series: DataFrame, grid: list[float] = (0.1, 0.3, 0.5, 0.7, 0.9), period: int = SEASON) -> DataFrame:
+    """Additive trend and season, for series of at least two seasons; weights picked by squared one-step error.
+
+    Level and season start from the first season's mean, the trend from the means of the first two. A missing month
+    moves the level along the trend and leaves the rest.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("t", F.col("value").isNull().alias("gap"), "value")))
+    runs = series.groupBy(*SERIES).agg(
+        F.transform(ordered, lambda r: r["value"]).alias("_y"), F.max("t").alias("last_t"),
+        F.count("value").alias("n")).where(F.col("n") >= 2 * period)
+
+    def mean(values: Column) -> Column:
+        known = F.filter(values, lambda v: v.isNotNull())
+        return ratio(F.aggregate(known, F.lit(0.0), lambda s, v: s + v), F.size(known).cast("double"))
+
+    runs = runs.withColumns({"_m1": mean(F.slice("_y", 1, period)), "_m2": mean(F.slice("_y", period + 1, period))})
+    runs = runs.withColumn("_season", F.transform(
+        F.slice("_y", 1, period), lambda v: F.coalesce(v - F.col("_m1"), F.lit(0.0))))
+    weights = F.array(*[F.lit(float(g)) for g in grid])
+    for name in ("alpha", "beta", "gamma"):
+        runs = runs.withColumn(name, F.explode(weights))
+    a, b, g = F.col("alpha"), F.col("beta"), F.col("gamma")
+    start = F.struct(F.col("_m1").alias("level"), F.coalesce((F.col("_m2") - F.col("_m1")) / period, F.lit(0.0)).alias("trend"),
+                     F.col("_season").alias("season"), F.lit(0.0).alias("sse"))
+
+    def step(s: Column, y: Column) -> Column:
+        now, along = s["season"][0], s["level"] + s["trend"]
+        level = F.when(y.isNull(), along).otherwise(a * (y - now) + (1 - a) * along)
+        trend = F.when(y.isNull(), s["trend"]).otherwise(b * (level - s["level"]) + (1 - b) * s["trend"])
+        season = F.when(y.isNull(), now).otherwise(g * (y - level) + (1 - g) * now)
+        error = F.coalesce(y - along - now, F.lit(0.0))
+        return F.struct(level.alias("level"), trend.alias("trend"),
+                        F.concat(F.slice(s["season"], 2, period - 1), F.array(season)).alias("season"),
+                        (s["sse"] + error * error).alias("sse"))
+
+    fits = runs.select(*SERIES, "last_t", "n", "alpha", "beta", "gamma", F.aggregate("_y", start, step).alias("_s"))
+    best = F.min_by(F.struct("alpha", "beta", "gamma", "n", "last_t", "_s"), F.struct(F.col("_s.sse"), a, b, g))
+    return fits.groupBy(*SERIES).agg(best.alias("_b")).select(
+        *SERIES, "_b.alpha", "_b.beta", "_b.gamma", "_b.n", "_b.last_t", "_b._s.level", "_b._s.trend", "_b._s.season", "_b._s.sse")
+
+
+def holt_winters_forecast(fit: DataFrame, h: int = 6, z: float = 1.96, period: int = SEASON) -> DataFrame:
+    """Trend plus the last season's pattern, with an interval from the one-step error."""
+    out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
+    point = F.col("level") + F.col("step") * F.col("trend") + F.get("season", F.pmod(F.col("step") - 1, F.lit(period)))
+    margin = F.lit(z) * F.sqrt(F.col("sse") / (F.col("n") - 1))
+    return out.select(*SERIES, "step", (F.col("last_t") + F.col("step")).alias("t"), point.alias("forecast"),
+                      (point - margin).alias("lower"), (point + margin).alias("upper")).withColumns(calendar())
+
+
 def forecast_next(series: DataFrame, h: int = 6) -> DataFrame:
-    """Both models, h months ahead; forecasts are not negative."""
+    """All models, h months ahead; forecasts are not negative. Holt-Winters needs two seasons."""
     none = F.lit(None).cast("double")
     naive = seasonal_naive(series, h).withColumns({"lower": none, "upper": none,
                                                    "model": F.lit("seasonal_naive")})
     holt = holt_forecast(holt_fit(series), h).withColumn("model", F.lit("holt_trend"))
-    both = naive.unionByName(holt)
+    winters = holt_winters_forecast(holt_winters_fit(series), h).withColumn("model", F.lit("holt_winters"))
+    both = naive.unionByName(holt).unionByName(winters)
     return both.withColumn("forecast", F.when(F.col("forecast") < 0, 0.0).otherwise(F.col("forecast")))
 
 

@@ -26,6 +26,36 @@ TRAIN = """SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY hotel, metric) AS
 HOLT_TRAIN = HOLT.format(train=f"tr AS ({TRAIN}),", source="tr ")
 
 
+WINTERS = """
+WITH RECURSIVE {train} v AS (SELECT hotel, metric, t, value, row_number() OVER (PARTITION BY hotel, metric ORDER BY t) AS rn
+    FROM {source} ),
+  w AS (SELECT i / 10.0 AS x FROM generate_series(1, 9, 2) r(i)),
+  g AS (SELECT a.x AS alpha, b.x AS beta, c.x AS gamma FROM w a, w b, w c),
+  s AS (SELECT hotel, metric, count(value) AS n, max(t) AS last_t, max(rn) AS months, avg(value) FILTER (rn <= 12) AS m1,
+      avg(value) FILTER (rn BETWEEN 13 AND 24) AS m2, list(value ORDER BY rn) FILTER (rn <= 12) AS cycle
+    FROM v GROUP BY hotel, metric HAVING count(value) >= 24),
+  h AS (SELECT hotel, metric, alpha, beta, gamma, CAST(0 AS BIGINT) AS rn, m1 AS level, coalesce((m2 - m1) / 12, 0) AS trend,
+      list_transform(cycle, lambda y: coalesce(y - m1, 0.0)) AS season, CAST(0 AS DOUBLE) AS sse FROM s, g
+    UNION ALL
+    SELECT hotel, metric, alpha, beta, gamma, next_rn, l, CASE WHEN value IS NULL THEN trend ELSE beta * (l - level) + (1 - beta) * trend END,
+      list_concat(season[2:12], [CASE WHEN value IS NULL THEN season[1] ELSE gamma * (value - l) + (1 - gamma) * season[1] END]),
+      sse + coalesce((value - level - trend - season[1]) ** 2, 0)
+    FROM (SELECT h.*, v.rn AS next_rn, v.value, CASE WHEN v.value IS NULL THEN level + trend
+        ELSE alpha * (v.value - season[1]) + (1 - alpha) * (level + trend) END AS l
+      FROM h JOIN v ON v.hotel = h.hotel AND v.metric = h.metric AND v.rn = h.rn + 1))
+SELECT h.hotel, h.metric, alpha, beta, gamma, s.n, s.last_t, level, trend, season, sse FROM h JOIN s ON s.hotel = h.hotel
+  AND s.metric = h.metric AND s.months = h.rn
+  QUALIFY row_number() OVER (PARTITION BY h.hotel, h.metric ORDER BY sse, alpha, beta, gamma) = 1"""
+WINTERS_ALL = WINTERS.format(train="", source="ser ")
+WINTERS_TRAIN = WINTERS.format(train=f"tr AS ({TRAIN}),", source="tr ")
+
+
+def _winters_steps(fit: str) -> str:
+    return f"""SELECT hotel, metric, CAST(step AS INTEGER) AS step, CAST(last_t + step AS INTEGER) AS t, p AS forecast,
+      p - 1.96 * sqrt(sse / (n - 1)) AS lower, p + 1.96 * sqrt(sse / (n - 1)) AS upper
+      FROM (SELECT *, level + step * trend + season[(step - 1) % 12 + 1] AS p FROM ({fit}), generate_series(1, 6) s(step))"""
+
+
 def _holt_steps(fit: str) -> str:
     return f"""SELECT hotel, metric, CAST(step AS INTEGER) AS step, CAST(last_t + step AS INTEGER) AS t, level + step * trend AS forecast,
       level + step * trend - 1.96 * sqrt(sse / (n - 1)) AS lower, level + step * trend + 1.96 * sqrt(sse / (n - 1)) AS upper
@@ -34,6 +64,7 @@ def _holt_steps(fit: str) -> str:
 
 TESTED = f"""SELECT f.*, y.value AS actual FROM (
     SELECT hotel, metric, t, 'holt_trend' AS model, CASE WHEN forecast < 0 THEN 0.0 ELSE forecast END AS forecast, lower, upper FROM ({_holt_steps(HOLT_TRAIN)})
+    UNION ALL SELECT hotel, metric, t, 'holt_winters', CASE WHEN forecast < 0 THEN 0.0 ELSE forecast END, lower, upper FROM ({_winters_steps(WINTERS_TRAIN)})
     UNION ALL SELECT hotel, metric, t, 'seasonal_naive', CASE WHEN forecast < 0 THEN 0.0 ELSE forecast END, NULL, NULL FROM (
       WITH tr AS ({TRAIN}) SELECT * FROM ({naive('tr ', 6)}))) f
   JOIN ser y ON y.hotel = f.hotel AND y.metric = f.metric AND y.t = f.t"""
@@ -80,6 +111,11 @@ def register(cat: Catalog) -> None:
     add("holt_forecast", lambda x: O.holt_forecast(O.holt_fit(series(x))),
         f"""SELECT *, (t - 1) % 12 + 1 AS month_number, printf('%04d-%02d', (t - 1) // 12, (t - 1) % 12 + 1) AS year_month
         FROM ({_holt_steps(HOLT_ALL)})""", r6="forecast lower upper")
+    add("holt_winters", lambda x: O.holt_winters_fit(series(x)).drop("season"),
+        f"SELECT * EXCLUDE (season) FROM ({WINTERS_ALL})", r6="alpha beta gamma level trend", r4="sse")
+    add("holt_winters_forecast", lambda x: O.holt_winters_forecast(O.holt_winters_fit(series(x))),
+        f"""SELECT *, (t - 1) % 12 + 1 AS month_number, printf('%04d-%02d', (t - 1) // 12, (t - 1) % 12 + 1) AS year_month
+        FROM ({_winters_steps(WINTERS_ALL)})""", r6="forecast lower upper")
     add("holdout_metrics", lambda x: O.holdout_metrics(O.holdout(series(x))),
         f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY hotel, metric ORDER BY mape, model) = 1 THEN 1 ELSE 0 END AS is_best
         FROM (SELECT hotel, metric, model, avg(abs(actual - forecast)) AS mae, sqrt(avg((actual - forecast) ** 2)) AS rmse,
