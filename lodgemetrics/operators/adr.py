@@ -160,9 +160,21 @@ def room_pairs(counts: DataFrame, by: list[str] = (), ties: str = "lateral") ->
                         .cast("int")))
 
 
-def room_shift_taxonomy(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Upgrade / downgrade / lateral counts, mean ADR and mean rank change of moved stays."""
+def _pair_medians(pairs: DataFrame, counts: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """Median ADR over pairs that share ``keys``, from the value counts of the pairs."""
+    on = [*by, "reserved_room_type", "assigned_room_type"]
+    named = counts.join(pairs.select(*dict.fromkeys([*on, *keys])), on)
+    return describe_by(named, keys, "adr", {"median_adr": 0.5}, counts=merge_counts(named, keys)).select(*keys, "median_adr")
+
+
+def room_shift_taxonomy(pairs: DataFrame, by: list[str] = (), counts: DataFrame | None = None) -> DataFrame:
+    """Upgrade / downgrade / lateral counts, mean ADR and mean rank change of moved stays; with room_counts given,
+    their median ADR too."""
+    by = list(by)
     moved = pairs.where("shift_type <> 'match'")
+    if counts is not None:
+        medians = _pair_medians(moved, counts, by, [*by, "shift_type"])
+        return room_shift_taxonomy(pairs, by).join(medians, [*by, "shift_type"], "left")
     n = F.sum("bookings")
     return moved.groupBy(*by, "shift_type").agg(
         n.alias("bookings"), ratio(F.sum("sum_adr"), n).alias("mean_adr"),
@@ -191,13 +203,18 @@ def upsell_kpi(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     return pairs.groupBy(*by).agg(*aggs) if by else pairs.agg(*aggs)
 
 
-def upsell_opportunity(pairs: DataFrame, by: list[str] = (), limit: int = 10) -> DataFrame:
-    """Largest upgrade pairs: premium gap and gap x nights."""
+def upsell_opportunity(pairs: DataFrame, by: list[str] = (), limit: int = 10, counts: DataFrame | None = None) -> DataFrame:
+    """Largest upgrade pairs: premium gap and gap x nights; with room_counts given, the pair's median ADR too."""
     out = (pairs.where("shift_type = 'upgrade'")
            .select(*by, "reserved_room_type", "assigned_room_type", "bookings", "nights",
                    F.col("premium_gap").alias("mean_premium"),
                    (F.col("premium_gap") * F.col("nights")).alias("opportunity")))
-    return out.orderBy(F.desc("bookings"), *by, "reserved_room_type", "assigned_room_type").limit(limit)
+    order = [F.desc("bookings"), *by, "reserved_room_type", "assigned_room_type"]
+    top = out.orderBy(*order).limit(limit)
+    if counts is None:
+        return top
+    keys = [*by, "reserved_room_type", "assigned_room_type"]
+    return top.join(_pair_medians(top, counts, list(by), keys), keys, "left").orderBy(*order)
 
 
 def room_transition_matrix(stays: DataFrame, rooms: list[str]) -> DataFrame:

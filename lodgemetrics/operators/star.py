@@ -12,12 +12,13 @@ from lodgemetrics.functions import bands
 from lodgemetrics.functions.exprs import bookings, count_if, paid_stay, ratio, stayed
 
 
-def build_dim(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """Distinct non-NULL values with a dense 1..n key in sort order.
+def build_dim(df: DataFrame, cols: list[str], key: str, nulls: bool = False) -> DataFrame:
+    """Distinct values with a dense 1..n key in sort order; with ``nulls``, NULL is a member like any other and first.
 
     The ordered window runs on the distinct values only, never on facts.
     """
-    values = df.select(*cols).na.drop().distinct()
+    values = df.select(*cols) if nulls else df.select(*cols).na.drop()
+    values = values.distinct()
     return values.select(F.row_number().over(W.orderBy(*cols)).alias(key), *cols)
 
 

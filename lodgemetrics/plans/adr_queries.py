@@ -72,7 +72,11 @@ SCORE = {
 
 def _pairs(x, hotel: bool = False, ties: str = "lateral"):
     by = ["hotel"] if hotel else []
-    return A.room_pairs(A.room_counts(x.stays(part=True), by), by, ties)
+    return A.room_pairs(_counts(x, hotel), by, ties)
+
+
+def _counts(x, hotel: bool = False):
+    return A.room_counts(x.stays(part=True), ["hotel"] if hotel else [])
 
 
 def register(cat: Catalog) -> None:
@@ -140,18 +144,19 @@ def register(cat: Catalog) -> None:
     for name, hotel, ties in (("", False, "lateral"), ("_by_hotel", True, "downgrade")):
         key = "hotel, " if hotel else ""
         add(f"room_shift_taxonomy{name}",
-            lambda x, h=hotel, t=ties: A.room_shift_taxonomy(_pairs(x, h, t), ["hotel"] if h else []),
-            f"""SELECT {key}shift_type, count(*) AS bookings, avg(adr) AS mean_adr, avg(rank_delta) AS mean_rank_delta,
+            lambda x, h=hotel, t=ties: A.room_shift_taxonomy(_pairs(x, h, t), ["hotel"] if h else [], _counts(x, h)),
+            f"""SELECT {key}shift_type, count(*) AS bookings, avg(adr) AS mean_adr, quantile_cont(adr, 0.5) AS median_adr, avg(rank_delta) AS mean_rank_delta,
             CAST(sum(free_upgrade) AS BIGINT) AS free_upgrades FROM ({_pairs_sql(hotel, ties)}) WHERE shift_type <> 'match'
-            GROUP BY {key}shift_type""", r6="mean_adr mean_rank_delta")
+            GROUP BY {key}shift_type""", r6="mean_adr median_adr mean_rank_delta")
     add("upsell_kpi", lambda x: A.upsell_kpi(_pairs(x, True, "downgrade"), ["hotel"]),
         f"SELECT hotel, {UPSELL} FROM ({_pairs_sql(True, 'downgrade')}) GROUP BY hotel",
         r6="mismatch_rate upgrade_share mean_free_premium adr_match adr_mismatch", r4="upsell_opp")
-    add("upsell_opportunity", lambda x: A.upsell_opportunity(_pairs(x, False, "downgrade")),
+    add("upsell_opportunity", lambda x: A.upsell_opportunity(_pairs(x, False, "downgrade"), counts=_counts(x)),
         f"""SELECT reserved_room_type, assigned_room_type, count(*) AS bookings, sum(total_nights)::BIGINT AS nights,
-        max(premium_gap) AS mean_premium, max(premium_gap) * sum(total_nights) AS opportunity
+        max(premium_gap) AS mean_premium, max(premium_gap) * sum(total_nights) AS opportunity,
+        quantile_cont(adr, 0.5) AS median_adr
         FROM ({_pairs_sql(False, 'downgrade')}) WHERE shift_type = 'upgrade' GROUP BY 1, 2
-        ORDER BY bookings DESC, 1, 2 LIMIT 10""", r6="mean_premium", r4="opportunity")
+        ORDER BY bookings DESC, 1, 2 LIMIT 10""", r6="mean_premium median_adr", r4="opportunity")
     picks = ", ".join(f"count(*) FILTER (assigned_room_type = '{r}') AS {r}" for r in ROOMS)
     picks += f", count(*) FILTER (assigned_room_type IS NULL OR assigned_room_type NOT IN ({', '.join(repr(r) for r in ROOMS)})) AS other"
     add("room_transition_matrix", lambda x: A.room_transition_matrix(x.stays(part=True), ROOMS),

@@ -193,6 +193,13 @@ def register(cat: Catalog) -> None:
             x.bookings().select(F.coalesce("agent", F.lit("NULL")).alias("agent_id")), ["agent_id"], "agent_key"),
         """SELECT CAST(row_number() OVER (ORDER BY agent_id) AS INTEGER) AS agent_key, agent_id
         FROM (SELECT DISTINCT coalesce(agent, 'NULL') AS agent_id FROM b )""")
+    for name, cols in (("customer", ["customer_type", "is_repeated_guest"]), ("meal", ["meal"]),
+                       ("room_pair", ["reserved_room_type", "assigned_room_type"]),
+                       ("market_deposit", ["market_segment", "deposit_type"])):
+        listed = ", ".join(cols)
+        add(f"build_dim_{name}", lambda x, c=cols, n=name: S.build_dim(x.raw(), c, f"{n}_key", nulls=True),
+            f"""SELECT CAST(row_number() OVER (ORDER BY {", ".join(f"{c} NULLS FIRST" for c in cols)}) AS INTEGER) AS {name}_key,
+            {listed} FROM (SELECT DISTINCT {listed} FROM raw )""")
     add("build_dim_room_union", lambda x: S.build_dim_room_union(x.bookings(part=True)),
         """SELECT CAST(row_number() OVER (ORDER BY room_type) AS INTEGER) AS room_key, room_type FROM (
         SELECT reserved_room_type AS room_type FROM b UNION SELECT assigned_room_type FROM b )""")
