@@ -99,8 +99,9 @@ def threshold_sweep(df: DataFrame, rule: str = "global", score: str = "p", secon
 
 
 def pick_policy(sweep: DataFrame, min_recall: float = MIN_RECALL, by: list[str] = ("rule",)) -> DataFrame:
-    """Fewest false positives among policies that keep the recall, then precision, then recall."""
-    w = W.partitionBy(*(by or [F.lit(1)])).orderBy("fp", F.desc("precision"), F.desc("recall"), "t1", "t2")
+    """Fewest false positives among policies that keep the recall, then precision, then recall; without ``by``, the
+    winner over all rule families."""
+    w = W.partitionBy(*(by or [F.lit(1)])).orderBy("fp", F.desc("precision"), F.desc("recall"), "t1", "t2", "rule")
     return (sweep.where(F.col("recall") >= min_recall).withColumn("_rn", F.row_number().over(w))
             .where("_rn = 1").drop("_rn"))
 

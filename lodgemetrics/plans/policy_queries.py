@@ -125,10 +125,16 @@ def register(cat: Catalog) -> None:
         AUC.format(k="market_segment, ", w="PARTITION BY market_segment", g="GROUP BY market_segment"), r6="roc_auc")
     for rule, sql in SWEEP.items():
         add(f"threshold_sweep_{rule}", lambda x, r=rule: P.threshold_sweep(_scored(x), r), sql, r6=f"t1 t2 {RATES6}")
-    add("pick_policy", lambda x: P.pick_policy(P.threshold_sweep(_scored(x)).unionByName(
-            P.threshold_sweep(_scored(x), "dual_and")).unionByName(P.threshold_sweep(_scored(x), "segment"))),
+    def sweeps(x):
+        return P.threshold_sweep(_scored(x)).unionByName(P.threshold_sweep(_scored(x), "dual_and")).unionByName(
+            P.threshold_sweep(_scored(x), "segment"))
+
+    add("pick_policy_overall", lambda x: P.pick_policy(sweeps(x), by=()),
+        f"""SELECT * FROM ({' UNION ALL '.join(SWEEP.values())}) WHERE recall >= 0.85
+        QUALIFY row_number() OVER (ORDER BY fp, precision DESC, recall DESC, t1, t2, rule) = 1""", r6=f"t1 t2 {RATES6}")
+    add("pick_policy", lambda x: P.pick_policy(sweeps(x)),
         f"""SELECT * FROM ({' UNION ALL '.join(SWEEP.values())}) WHERE recall >= 0.85
-        QUALIFY row_number() OVER (PARTITION BY rule ORDER BY fp, precision DESC, recall DESC, t1, t2) = 1""", r6=f"t1 t2 {RATES6}")
+        QUALIFY row_number() OVER (PARTITION BY rule ORDER BY fp, precision DESC, recall DESC, t1, t2, rule) = 1""", r6=f"t1 t2 {RATES6}")
     cols = ["deposit_type", "market_segment", "distribution_channel", "customer_type", "hotel"]
     add("score_by_variable", lambda x: P.score_by_variable(_scored(x, part=True), cols),
         "SELECT *, CAST(row_number() OVER (PARTITION BY variable ORDER BY mean_p DESC, category) AS INTEGER) AS rank FROM ("
