@@ -15,7 +15,7 @@ HEADLINE = [
     "adr_occ_quadrant", "room_type_both_sides", "cancel_by_lead_deposit", "boxplot_stats", "hash_sample_topn",
     "adr_stats_by_month", "weekend_premium_by_segment", "room_shift_taxonomy", "rolling_median_by_lead", "mann_whitney",
     "cramers_v_all", "spearman_vs", "holdout_metrics", "pick_elasticity", "price_grid_optimize", "scenario_by_month",
-    "dual_optimize", "threshold_sweep_global", "roc_auc", "overbooking_buffer_market_segment",
+    "dual_optimize", "threshold_sweep_global", "roc_auc", "overbooking_buffer_market_segment", "fit_rf", "fit_gbt",
 ]
 
 
