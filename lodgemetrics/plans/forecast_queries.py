@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodgemetrics.operators import forecast as O
 from lodgemetrics.plans.bridge_sql import naive
 from lodgemetrics.plans.catalog import Catalog
+from lodgemetrics.plans.tails_sql import chi2_p
 
 HOLT = """
 WITH RECURSIVE {train} v AS (SELECT hotel, metric, t, value, row_number() OVER (PARTITION BY hotel, metric ORDER BY t) AS rn
@@ -102,10 +103,12 @@ def register(cat: Catalog) -> None:
         SELECT *, value - lag(value) OVER w AS diff1, value - lag(value, 12) OVER w AS diff12 FROM ser
         WINDOW w AS (PARTITION BY hotel, metric ORDER BY t))""", r6="value diff1 diff12 diff1_12")
     add("acf", lambda x: O.acf(series(x)), ACF, r6="acf")
-    add("ljung_box", lambda x: O.ljung_box(O.acf(series(x)), p_value=False), " UNION ALL ".join(
+    boxes = " UNION ALL ".join(
         f"""SELECT hotel, metric, n, {k} AS lag, max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS q_stat
-        FROM ({ACF}) WHERE lag <= {k} GROUP BY hotel, metric, n""" for k in (3, 6, 12)), r6="q_stat")
-    add("ljung_box_p_value", lambda x: O.ljung_box(O.acf(series(x))))
+        FROM ({ACF}) WHERE lag <= {k} GROUP BY hotel, metric, n""" for k in (3, 6, 12))
+    add("ljung_box", lambda x: O.ljung_box(O.acf(series(x)), p_value=False), boxes, r6="q_stat")
+    add("ljung_box_p_value", lambda x: O.ljung_box(O.acf(series(x))),
+        f"SELECT *, {chi2_p('q_stat', 'lag')} AS p_value FROM ({boxes})", r6="q_stat p_value")
     add("seasonal_naive", lambda x: O.seasonal_naive(series(x)), "SELECT * FROM naive ", r6="forecast")
     add("holt_trend", lambda x: O.holt_fit(series(x)), HOLT_ALL, r6="alpha beta level trend", r4="sse")
     add("holt_forecast", lambda x: O.holt_forecast(O.holt_fit(series(x))),

@@ -16,6 +16,7 @@ from lodgemetrics.operators import policy as P
 from lodgemetrics.operators import pricing as R
 from lodgemetrics.plans.bridge_sql import season_of
 from lodgemetrics.plans.catalog import Catalog
+from lodgemetrics.plans.tails_sql import mcnemar_p, normal_p
 
 RATES = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
   CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
@@ -148,17 +149,19 @@ def register(cat: Catalog) -> None:
         add(name, lambda x, f=label, n=name: P.risk_summary(_scored(x), f("p"), n),
             f"SELECT {expr} AS {name}, count(*) AS bookings, avg(p) AS mean_p, avg(is_canceled) AS cancel_rate FROM scored GROUP BY 1",
             r6="mean_p cancel_rate")
-    add("model_compare", lambda x: P.model_compare(_scored(x), "p2", 0.35, "p", 0.35, p_value=False),
-        """SELECT n01, n10, greatest(abs(n01 - n10) - 1, 0) ** 2 / (n01 + n10) AS mcnemar_chi2, n_negatives, fa / n_negatives AS fpr_a,
+    compared = """SELECT n01, n10, greatest(abs(n01 - n10) - 1, 0) ** 2 / (n01 + n10) AS mcnemar_chi2, n_negatives, fa / n_negatives AS fpr_a,
         fb / n_negatives AS fpr_b, (fb / n_negatives - fa / n_negatives) / sqrt((fa + fb) / (2 * n_negatives)
         * (1 - (fa + fb) / (2 * n_negatives)) * 2 / n_negatives) AS fpr_z FROM (SELECT
         CAST(count(*) FILTER (CAST(p2 >= 0.35::DOUBLE AS INT) <> is_canceled AND CAST(p >= 0.35::DOUBLE AS INT) = is_canceled) AS DOUBLE) AS n01,
         CAST(count(*) FILTER (CAST(p2 >= 0.35::DOUBLE AS INT) = is_canceled AND CAST(p >= 0.35::DOUBLE AS INT) <> is_canceled) AS DOUBLE) AS n10,
         CAST(count(*) FILTER (is_canceled = 0) AS DOUBLE) AS n_negatives,
         CAST(count(*) FILTER (is_canceled = 0 AND p2 >= 0.35::DOUBLE) AS DOUBLE) AS fa,
-        CAST(count(*) FILTER (is_canceled = 0 AND p >= 0.35::DOUBLE) AS DOUBLE) AS fb FROM scored )""",
+        CAST(count(*) FILTER (is_canceled = 0 AND p >= 0.35::DOUBLE) AS DOUBLE) AS fb FROM scored )"""
+    add("model_compare", lambda x: P.model_compare(_scored(x), "p2", 0.35, "p", 0.35, p_value=False), compared,
         r6="n01 n10 n_negatives mcnemar_chi2 fpr_a fpr_b fpr_z")
-    add("model_compare_p_value", lambda x: P.model_compare(_scored(x), "p2", 0.35, "p", 0.35))
+    add("model_compare_p_value", lambda x: P.model_compare(_scored(x), "p2", 0.35, "p", 0.35),
+        f"SELECT *, {mcnemar_p('n01', 'n10')} AS mcnemar_p, {normal_p('fpr_z')} AS fpr_p FROM ({compared})",
+        r6="n01 n10 n_negatives mcnemar_chi2 fpr_a fpr_b fpr_z mcnemar_p fpr_p")
     add("bootstrap_delta_auc", lambda x: P.bootstrap_delta_auc(_scored(x), "p2", "p", 50, 50))
     for by in ("market_segment", "hotel"):
         add(f"overbooking_buffer_{by}", lambda x, c=by: P.overbooking_buffer(x.bookings(), c),

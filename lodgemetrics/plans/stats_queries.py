@@ -1,4 +1,4 @@
-"""Catalog entries: statistics. P-values have no SQL twin; they are registered without one."""
+"""Catalog entries: statistics."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from lodgemetrics.functions import bands
 from lodgemetrics.operators import stats as T
 from lodgemetrics.plans.bridge_sql import LEAD_EDA
 from lodgemetrics.plans.catalog import Catalog
+from lodgemetrics.plans.tails_sql import chi2_p, fisher_p, normal_p
 from lodgemetrics.schema import LEAKAGE_COLUMNS
 
 NUMERIC = ["lead_time", "total_nights", "adr", "previous_cancellations", "total_of_special_requests",
@@ -106,18 +107,28 @@ def register(cat: Catalog) -> None:
     tested = ["deposit_type", "market_segment", "hotel"]
     add("chi_square_test", lambda x: T.chi_square_test(x.bookings(part=True), tested, "is_canceled", p_value=False),
         f"SELECT *, {V} AS cramers_v FROM ({' UNION ALL '.join(map(_assoc_sql, tested))})", r6="n chi2 cramers_v min_expected")
-    add("chi_square_p_value", lambda x: T.chi_square_test(x.bookings(part=True), tested, "is_canceled"))
+    add("chi_square_p_value", lambda x: T.chi_square_test(x.bookings(part=True), tested, "is_canceled"),
+        f"SELECT *, {V} AS cramers_v, {chi2_p('chi2', 'dof')} AS p_value FROM ({' UNION ALL '.join(map(_assoc_sql, tested))})",
+        r6="n chi2 cramers_v min_expected p_value")
     fisher = """SELECT hotel, CAST(count(*) FILTER (is_repeated_guest = 0 AND is_canceled = 0) AS DOUBLE) AS n00,
       CAST(count(*) FILTER (is_repeated_guest = 0 AND is_canceled = 1) AS DOUBLE) AS n01,
       CAST(count(*) FILTER (is_repeated_guest = 1 AND is_canceled = 0) AS DOUBLE) AS n10,
       CAST(count(*) FILTER (is_repeated_guest = 1 AND is_canceled = 1) AS DOUBLE) AS n11 FROM b GROUP BY hotel"""
     add("fisher_2x2", lambda x: T.fisher_2x2(x.bookings(), "is_repeated_guest", "is_canceled", ["hotel"], p_value=False),
         f"SELECT *, n00 * n11 / (n01 * n10) AS odds_ratio FROM ({fisher})", r6="n00 n01 n10 n11 odds_ratio")
-    add("fisher_p_value", lambda x: T.fisher_2x2(x.bookings(), "is_repeated_guest", "is_canceled", ["hotel"]))
+    add("fisher_p_value", lambda x: T.fisher_2x2(x.bookings(), "is_repeated_guest", "is_canceled", ["hotel"]),
+        f"SELECT *, n00 * n11 / (n01 * n10) AS odds_ratio, {fisher_p('n00', 'n01', 'n10', 'n11')} AS p_value FROM ({fisher})",
+        r6="n00 n01 n10 n11 odds_ratio p_value")
     add("two_prop_ztest_pairwise", lambda x: T.two_prop_ztest_pairwise(x.bookings(part=True), "deposit_type", p_value=False),
         f"""WITH g AS (SELECT deposit_type AS g, CAST(count(*) AS DOUBLE) AS n, CAST(sum(is_canceled) AS DOUBLE) AS c FROM b
         GROUP BY 1) {Z_SQL}""", r6="rate_a_pct rate_b_pct z_stat odds_ratio")
-    add("two_prop_ztest_p_value", lambda x: T.two_prop_ztest_pairwise(x.bookings(part=True), "deposit_type"))
+    add("two_prop_ztest_p_value", lambda x: T.two_prop_ztest_pairwise(x.bookings(part=True), "deposit_type"),
+        f"""WITH g AS (SELECT deposit_type AS g, CAST(count(*) AS DOUBLE) AS n, CAST(sum(is_canceled) AS DOUBLE) AS c FROM b
+        GROUP BY 1), z AS ({Z_SQL.replace('FROM g a', ', a.n - a.c AS wa, a.c AS wb, b2.n - b2.c AS wc, b2.c AS wd FROM g a')}),
+        q AS (SELECT *, {normal_p('z_stat')} AS p_value, {fisher_p('wa', 'wb', 'wc', 'wd')} AS fisher_p FROM z)
+        SELECT group_a, group_b, rate_a_pct, rate_b_pct, z_stat, odds_ratio, p_value,
+        least(p_value * count(*) OVER (), 1.0) AS p_bonferroni, fisher_p FROM q""",
+        r6="rate_a_pct rate_b_pct z_stat odds_ratio p_value p_bonferroni fisher_p")
     add("mann_whitney", lambda x: T.mann_whitney(x.bookings(), "lead_time", "is_canceled", p_value=False), _mw_sql(),
         r6="n0 n1 z_stat rank_biserial", r4="u_stat")
     add("mann_whitney_weekend_adr", lambda x: T.mann_whitney(
@@ -136,7 +147,12 @@ def register(cat: Catalog) -> None:
       FROM ({_mw_sql('hotel')})"""]
     for c, e in (("lead_time_bin", LEAD_EDA), ("deposit_type", None), ("market_segment", None)):
         parts.append(f"SELECT hotel, variable, 'chi_square', chi2, {V} FROM ({_assoc_sql(c, e, 'hotel')})")
+    tailed = [f"""SELECT hotel, 'lead_time' AS variable, 'mann_whitney' AS test, u_stat AS statistic, rank_biserial AS effect,
+      least({normal_p('z_stat')}, 1.0) AS p_value FROM ({_mw_sql('hotel')})"""]
+    for c, e in (("lead_time_bin", LEAD_EDA), ("deposit_type", None), ("market_segment", None)):
+        tailed.append(f"SELECT hotel, variable, 'chi_square', chi2, {V}, {chi2_p('chi2', 'dof')} FROM ({_assoc_sql(c, e, 'hotel')})")
     add("tests_by_hotel", lambda x: T.tests_by_hotel(_with_bins(x), p_value=False), " UNION ALL ".join(parts),
         r6="effect", r4="statistic")
-    add("tests_by_hotel_p_value", lambda x: T.tests_by_hotel(_with_bins(x)))
+    add("tests_by_hotel_p_value", lambda x: T.tests_by_hotel(_with_bins(x)), " UNION ALL ".join(tailed),
+        r6="effect p_value", r4="statistic")
     add("odds_ratio_logit", lambda x: T.odds_ratio_logit(x.bookings(part=True), ["lead_time"], LEVELS))
