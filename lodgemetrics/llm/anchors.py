@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodgemetrics.llm.shared import (
-    SLICE, SpanHash, buffers, byte_symbols, mix, row_slices, second, sliding_min, staged, word_bounds)
+    SLICE, SpanHash, buffers, byte_symbols, drop_staged, mix, row_slices, second, sliding_min, staged, word_bounds)
 
 _PLACE = np.uint64((1 << 22) - 1)  # a slice has fewer symbols
 
@@ -194,17 +194,23 @@ def find_slabs(rows: DataFrame, spans: DataFrame, window: int, slab: int) -> Dat
 
 
 def sorted_out(found: DataFrame, tag: str) -> DataFrame:
-    """Blocks that matter, staged: ``copies`` of the whole block, ``kinds`` of different blocks at its anchor hash (1
-    where none of them is single, so that none has anything to find), and ``first``, true for one row of each block. Counts are combined before each shuffle; joins are plain, so that
-    the engine can split an anchor or a block that stands in a large share of all texts."""
+    """Of the staged blocks ``found`` (deleted here) those that matter, staged: ``copies`` of the whole block, ``kinds``
+    of different blocks at its anchor hash (1 where none of them is single, so that none has anything to find), and
+    ``first``, true for one row of each block.
+
+    Counts are combined before each shuffle; joins are plain, so that the engine can split an anchor or a block that
+    stands in a large share of all texts.
+    """
     same = found.groupBy("gram", "one", "two").agg(F.count("*").alias("copies"), F.min("at").alias("least"))
     kinds = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total"), F.min("copies").alias("least_copies")) \
         .filter(F.col("total") > 1).select("gram", F.when(F.col("least_copies") == 1, F.col("kinds")).otherwise(1).alias("kinds"))
     known = same.join(kinds, "gram")
     known = known.select(F.col("gram").alias("g"), F.col("one").alias("o"), F.col("two").alias("t"), "copies", "least", "kinds")
     both = found.join(known, (found["gram"] == known["g"]) & (found["one"] == known["o"]) & (found["two"] == known["t"]))
-    return staged(both.select("doc_id", "key", "start", "n", "lead", "gram", "copies", "kinds",
-                              (F.col("at") == F.col("least")).alias("first")), tag)
+    out = staged(both.select("doc_id", "key", "start", "n", "lead", "gram", "copies", "kinds",
+                             (F.col("at") == F.col("least")).alias("first")), tag)
+    drop_staged(found)
+    return out
 
 
 def with_lists(rows: DataFrame, spans: DataFrame, *columns: str, how: str = "inner") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodgemetrics.llm.shared import staged
+from lodgemetrics.llm.shared import drop_staged, staged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "v")
         small = small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(
             small.select(F.col("m").alias("u"), "v")).filter("u < v").distinct()
-        edges = staged(small, "stars")
+        before, edges = edges, staged(small, "stars")
+        drop_staged(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == now:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(

@@ -15,10 +15,10 @@ from lodgemetrics.llm import sketch
 from lodgemetrics.llm.anchors import long_text_words
 from lodgemetrics.llm.components import components
 from lodgemetrics.llm.shared import (
-    LOWER, SLICE, SpanHash, buffers, byte_symbols, keyed, mix, row_slices, staged, word_bounds)
+    LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, keyed, mix, row_slices, staged, word_bounds)
 
 #: Classes of one side of a verification tile.
-TILE = 256
+TILE = 64
 
 
 class Rule(NamedTuple):
@@ -47,19 +47,18 @@ def _shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
             np.concatenate([hashed.spans(at, at + n), hashed.spans(first[short], first[short + 1])]))
 
 
-def shingle_sets(column: pa.Array, n: int) -> Sets:
-    """Shingle sets of whole texts, A-Z lower-cased, words [^\\x20\\x09-\\x0D]+."""
+def set_slices(column: pa.Array, n: int) -> Iterator[tuple[int, int, Sets]]:
+    """(first row, end row, shingle sets) of whole texts, A-Z lower-cased, words [^\\x20\\x09-\\x0D]+; in slices of
+    bounded size, so that memory does not follow the number of rows in a batch."""
     raw, offsets = buffers(column)
-    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in row_slices(offsets):
         part, off = LOWER[raw[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a]
         if len(part) > SLICE:  # one long text
             words = long_text_words(part)
-            parts = [_shingles(words[c:c + SLICE + n - 1], np.array([0, len(words[c:c + SLICE + n - 1])]), n)[1]
-                     for c in range(0, max(1, len(words) - n + 1), SLICE)]
-            own = np.unique(np.concatenate(parts))
-            values.append(own)
-            sizes.append(np.array([len(own)]))
+            own = np.unique(np.concatenate([
+                _shingles(words[c:c + SLICE + n - 1], np.array([0, len(words[c:c + SLICE + n - 1])]), n)[1]
+                for c in range(0, max(1, len(words) - n + 1), SLICE)]))
+            yield a, b, Sets(own, np.array([0, len(own)]))
             continue
         start, end, first = word_bounds(part, off)
         row, h = _shingles(SpanHash(byte_symbols(part)).spans(start, end), first, n)
@@ -67,9 +66,7 @@ def shingle_sets(column: pa.Array, n: int) -> Sets:
         row, h = row[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (np.diff(row) != 0) | (h[1:] != h[:-1])
-        values.append(h[new])
-        sizes.append(np.bincount(row[new], minlength=b - a))
-    return Sets(np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64))
+        yield a, b, Sets(h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=b - a))]).astype(np.int64))
 
 
 def set_hash(sets: Sets) -> np.ndarray:
@@ -179,31 +176,32 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, known = [], np.zeros(0, np.uint64)
         for batch in batches:
-            sets = shingle_sets(batch["text"], rule.n)
-            ids = set_hash(sets)
-            n = len(ids)
-            empty = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(np.diff(sets.first)),
-                                              pa.array(ids.view(np.int64)), *empty], names)
-            row, sig = signatures(sets, rule)
-            fresh = _first_of(ids, known)
-            known = np.union1d(known, ids)
-            sigs.append(_once_per_row(row, sig, fresh))
+            for a, b, sets in set_slices(batch["text"], rule.n):
+                ids = set_hash(sets)
+                empty = [pa.nulls(b - a, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(np.diff(sets.first)),
+                     pa.array(ids.view(np.int64)), *empty], names)
+                row, sig = signatures(sets, rule)
+                fresh = _first_of(ids, known)
+                known = np.union1d(known, ids)
+                sigs.append(_once_per_row(row, sig, fresh))
         part = sketch.partition_sketch(sigs, width)
         blank = [pa.nulls(part.num_rows, t) for t in (rows_type, pa.int64(), pa.int64(), pa.int64())]
         yield pa.RecordBatch.from_arrays(blank + part.columns, names)
 
     one = staged(rows.mapInArrow(first_pass, f"doc_id {kind}, key long, n long, class_id long{fragment}"), "sets")
-    members = one.filter(F.col("line").isNull()).select("doc_id", "key", F.col("n").alias("n_shingles"), "class_id")
+    members = staged(one.filter(F.col("line").isNull()).select("doc_id", "key", F.col("n").alias("n_shingles"), "class_id"),
+                     "members")
     # copies within one task were sketched once, copies in different tasks are distinct hits: still never too low
     repeated = sketch.merged(one.filter(F.col("line").isNotNull()).select("line", "shard", "lot", "once", "more"),
                              width, rows.rdd.getNumPartitions())
+    drop_staged(one)
     test = rows.sparkSession.sparkContext.broadcast(repeated)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.uint64)
-        for batch in batches:
-            sets = shingle_sets(batch["text"], rule.n)
+        for _, _, sets in (s for batch in batches for s in set_slices(batch["text"], rule.n)):
             ids = set_hash(sets)
             row, sig = signatures(sets, rule)
             fresh = _first_of(ids, known)
@@ -218,6 +216,7 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     heads = shared.groupBy("sig").agg(F.min("class_id").alias("head"), F.count("*").alias("m")).filter(F.col("m") > 1)
     stars = shared.join(heads, "sig").select(F.col("class_id").alias("a"), F.col("head").alias("b")).filter("a <> b")
     clusters = staged(components(stars), "clusters")  # classes that candidate pairs may connect
+    drop_staged(shared)
     return members, staged(_verified(rows, members, clusters, rule), "verified")
 
 
@@ -246,14 +245,13 @@ def _verified(rows: DataFrame, members: DataFrame, clusters: DataFrame, rule: Ru
         .withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
     placed = clusters.join(sized, "component").select(F.col("node").alias("class_id"), "component", "blocks",
                                                       F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    head = members.join(placed, "class_id").groupBy("class_id", "component", "blocks", "block").agg(
-        F.min("key").alias("member"))
+    head = members.groupBy("class_id").agg(F.min("key").alias("member")).join(placed, "class_id")
     sets = head.join(rows.select(F.col("key").alias("member"), "text"), "member").dropDuplicates(["class_id"])
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shingle_sets(batch["text"], rule.n)
-            data = [found.values[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
+            data = [found.values[i:j].tobytes() for _, _, found in set_slices(batch["text"], rule.n)
+                    for i, j in zip(found.first[:-1], found.first[1:])]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("class_id", "component", "blocks", "block")),
                                               pa.array(data, pa.binary())],
                                              ["class_id", "component", "blocks", "block", "data"])

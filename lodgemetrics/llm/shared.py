@@ -23,14 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors re-read it, and lineage ends there.
 
-    The folder goes when the session's JVM ends.
+    The folder goes when the session's JVM ends, or with ``drop_staged``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again: all that came from it is staged itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
