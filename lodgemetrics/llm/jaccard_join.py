@@ -168,7 +168,7 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     rows = keyed(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = sketch.width_for(size // 12)
+    width = sketch.width_for(size // 12, 4)
     fragment = ", " + sketch.SCHEMA
     rows_type = to_arrow_type(rows.schema["doc_id"].dataType)
     names = ["doc_id", "key", "n", "class_id", "line", "shard", "lot", "once", "more"]

@@ -16,9 +16,9 @@ _NAMES = ["line", "shard", "lot", "once", "more"]
 SCHEMA = "line int, shard int, lot int, once binary, more binary"
 
 
-def width_for(expected: int) -> int:
-    """Power of two with about eight cells for each expected hash, up to WIDEST; beyond that estimates only rise."""
-    return int(min(WIDEST, max(NARROWEST, int(8 * max(1, expected)).bit_length())))
+def width_for(expected: int, cells_each: int = 8) -> int:
+    """Power of two with about so many cells for each expected hash, up to WIDEST; beyond that estimates only rise."""
+    return int(min(WIDEST, max(NARROWEST, int(cells_each * max(1, expected)).bit_length())))
 
 
 class Repeated:
