@@ -52,9 +52,11 @@ def _candidates(q: np.ndarray, qlen: float, low: float, lens: np.ndarray, unit:
                 sorted_unit: np.ndarray) -> np.ndarray | slice:
     """Rows of a bucket that can still reach ``low``: by length, or by the narrower of a few coordinate lists.
 
-    cos(q, v) >= t confines v's coordinate f to [t q_f - s, t q_f + s], s = sqrt((1 - t^2)(1 - q_f^2)), q and v unit.
+    cos(q, v) >= t confines v's coordinate f to [t q_f - s, t q_f + s], s = sqrt((1 - t^2)(1 - q_f^2)), q and v unit;
+    where q_f > t the upper end is 1, where q_f < -t the lower end is -1, since the angle to the axis is within reach.
     """
-    t = low / (qlen * lens[0])  # rows are sorted by falling length: the least cosine any row needs
+    # rows are sorted by falling length: the least cosine any row needs, less what rounding may add to it
+    t = low / (qlen * lens[0]) * (1 - 1e-9)
     by_length = int(np.searchsorted(-lens, -low / qlen * (1 - 1e-9), "right")) if low > 0 else len(lens)
     if t <= 0.3 or by_length < 64:
         return slice(0, by_length)  # the local threshold is too weak for coordinates: length pruning
@@ -62,8 +64,8 @@ def _candidates(q: np.ndarray, qlen: float, low: float, lens: np.ndarray, unit:
     best: tuple[int, int, int, int] = (by_length, -1, 0, 0)
     for f in np.argsort(-np.abs(unit_q))[:COORDINATES]:
         s = np.sqrt(max(0.0, (1 - t * t) * (1 - unit_q[f] ** 2))) + 1e-9
-        lo = int(np.searchsorted(sorted_unit[f], t * unit_q[f] - s))
-        hi = int(np.searchsorted(sorted_unit[f], t * unit_q[f] + s, "right"))
+        lo = 0 if unit_q[f] <= -t else int(np.searchsorted(sorted_unit[f], t * unit_q[f] - s))
+        hi = len(lens) if unit_q[f] >= t else int(np.searchsorted(sorted_unit[f], t * unit_q[f] + s, "right"))
         if hi - lo < best[0]:
             best = (hi - lo, int(f), lo, hi)
     return slice(0, by_length) if best[1] < 0 else order[best[1], best[2]:best[3]]

@@ -75,6 +75,19 @@ def test_top_k(spark, kind, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(data, [i for i, _ in data if i % 50 == 0], 5)
 
 
+def test_top_k_with_a_dominating_coordinate(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 128)
+    rng = random.Random(11)
+    data = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)]  # long and dense: the first buckets
+    for i in range(300, 900):  # shorter, nearly along one axis of either sign
+        x = [rng.gauss(0, 0.02) for _ in range(16)]
+        x[i % 4] = (1 if i % 8 < 4 else -1) * rng.uniform(2.0, 3.0)
+        data.append((i, x))
+    df = topk.quantized(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    got = topk.top_k(df, df.filter("vec_id % 25 = 0"), 5)
+    assert {tuple(r) for r in got.collect()} == brute(data, [i for i, _ in data if i % 25 == 0], 5)
+
+
 def test_top_k_of_nothing(spark):
     df = topk.quantized(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert topk.top_k(df, df, 5).count() == 0
