@@ -33,13 +33,14 @@ _STATE: dict[str, tuple] = {}
 
 
 class Words:
-    """Token ids of texts, as little-endian 32-bit bytes, from remembered words; other texts go to the library whole."""
+    """Token ids of texts, as little-endian 32-bit bytes, from remembered words; other texts, and texts that hold the
+    string of an added token (which the library gives its own id), go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
@@ -57,8 +58,12 @@ class Words:
         data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
         return [data[a:b] for a, b in zip(at, at[1:])]
 
+    def _split(self, text: str) -> list[str] | None:
+        low = text.lower()
+        return _WORD.findall(low) if _PLAIN.fullmatch(text) and not any(a in low for a in self.added) else None
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
+        split = [self._split(t) for t in texts]
         missing = list({w for s in split if s for w in s if w not in self.known})
         if len(self.known) + len(missing) > MEMORY:
             self.known.clear()

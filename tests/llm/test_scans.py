@@ -27,6 +27,18 @@ def test_tokens_match_the_library():
     assert words.encode(texts) == want == words.encode(texts)
 
 
+def test_tokens_match_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in TEXTS] + ["end of page <|endoftext|> next", "<|startoftext|>a<|endoftext|>b", "<|ENDOFTEXT|> x",
+                                        "naïve<|endoftext|>日本語", "<| endoftext |>", "a <|endoftext|>" * 40]
+    fresh = Tokenizer.from_file(vocabulary())
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    words = packing.Words(vocabulary())
+    assert words.encode(texts) == want == words.encode(texts)
+    assert len(np.frombuffer(words.encode(["end of page <|endoftext|> next"])[0], "<u4")) == 5
+
+
 def test_packing(spark):
     rng = random.Random(2)
     texts = TEXTS + [" ".join(rng.choices(["stay", "room", "night"], k=rng.choice([3, 90, 700, 4095, 9000]))) for _ in range(60)]
