@@ -32,7 +32,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"), short_windows=True)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ FROM marked GROUP BY conv_id"""
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_windows=True)
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "n_words")
 
 

@@ -132,6 +132,34 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_leaks_at_the_ends_of_texts(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    items = [text(n) for n in (9, 9, 10, 11, 12, 14, 30, 57)] + ["w1 w2", "zz", "zz yy xx vv"]
+    docs = []
+    for t in items[:8]:
+        w = t.split()
+        for cut in (w, w[1:], w[:-1], w[1:-1], w[3:], w[:-4], w[:4]):
+            docs += [" ".join(cut), text(6) + " " + " ".join(cut), " ".join(cut) + " " + text(70), "x " + " ".join(cut)]
+    docs += ["zz", "a zz yy zz yy xx vv", "w1 w2", "w9 w1 w2 w1 w2", "yy", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.find_leaks(frame(spark, docs), bench, short_windows=True).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in rows}
+    grams = lambda w: Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = {}
+    for i, d in enumerate(docs):
+        for j, t in enumerate(items):
+            w, x = (d or "").split(), t.split()
+            for k in range(1 - len(x), len(w)):
+                a, b = grams(w[max(k, 0):k + len(x)]), grams(x)
+                s, full = sum((a & b).values()) / sum((a | b).values()), 0 <= k <= len(w) - len(x)
+                if s >= 0.8 and (full, s) > want.get((i, j), (False, 0))[:2]:
+                    want[i, j] = (full, s, max(k, 0))
+    assert set(got) == set(want) and len(want) > 100
+    assert all(abs(got[k][0] - s) < 1e-9 and got[k][1] == p for k, (_, s, p) in want.items())
+    assert all(r["start_word"] + r["n_words"] <= len(docs[r["doc_id"]].split()) for r in rows)
+
+
 SECRETS = ['token = "abcdefghijkl"', "Password: short", "pwd=Tr0ub4dor&3xyzQ!w9", "password: password123", "AKIA" + "A" * 16,
            "AKIAshort", "f" * 16 + "g", "f" * 15, "token: secret=abcdefghijklmnop", "token: password : verylongvalue123",
            "ſecret=abcdefghijklmnop", "api_key='0123456789ab'", "APIKEY=abcdefghijkl=", "é token=abcdefghijkl", None, ""]
