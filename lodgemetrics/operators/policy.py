@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from lodgemetrics.functions import bands
 from lodgemetrics.functions.distribution import ranked_counts, ranked_rows, value_counts
 from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, literal_rows, ratio
-from lodgemetrics.functions.special import mcnemar_exact, normal_two_sided, poisson_draw
+from lodgemetrics.functions.special import mcnemar_exact, normal_two_sided
 
 LABEL = "is_canceled"
 
@@ -149,34 +153,82 @@ def model_compare(df: DataFrame, score_a: str, t_a: float, score_b: str, t_b: fl
     return out.withColumns({"mcnemar_p": mcnemar_exact("n01", "n10"), "fpr_p": normal_two_sided("fpr_z")})
 
 
-def bootstrap_delta_auc(df: DataFrame, score_a: str, score_b: str, n_boot: int = 500, bins: int = 100, seed: int = 42
-                        ) -> DataFrame:
+#: Cells of one range of scores, and cells drawn at once for all replicates.
+_RANGE, _CHUNK = 50_000, 2_000
+
+
+def _poisson_weights(cell: np.ndarray, n: np.ndarray, n_boot: int) -> np.ndarray:
+    """Poisson draw of mean n for each cell and replicate, a function of the cell's hash and the replicate alone."""
+    x = cell.view(np.uint64)[:, None] + np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
+    out = np.empty(u.shape)
+    for mean in np.unique(n):
+        k = np.arange(1, int(mean + 12 * np.sqrt(mean) + 25))
+        log_p = np.concatenate([[0.0], np.cumsum(np.log(mean / k))]) - mean
+        rows = n == mean
+        out[rows] = np.searchsorted(np.cumsum(np.exp(log_p)), u[rows], "right")
+    return out
+
+
+def _auc_parts(batches: Iterator[pd.DataFrame], n_boot: int) -> Iterator[pd.DataFrame]:
+    """For each score of a range (rows sorted by m, s): its least value, drawn positives and negatives and won pairs of
+    each replicate inside the range. Memory does not follow the range."""
+    def told(m, low, p, q, won):
+        return pd.DataFrame({"m": [m], "low": [low], "p": [p.tolist()], "q": [q.tolist()], "won": [won.tolist()]})
+
+    m = low = last = below_p = below_q = won = p = q = None
+    for batch in batches:
+        for at in range(0, len(batch), _CHUNK):
+            for name, part in batch.iloc[at:at + _CHUNK].groupby("m", sort=False):
+                s = part["s"].to_numpy()
+                if name != m:
+                    if m is not None:
+                        yield told(m, low, below_p + p, below_q + q, won + p * (below_q + q / 2))
+                    m, low, last = name, s[0], s[0]
+                    below_p, below_q, won, p, q = (np.zeros(n_boot) for _ in range(5))
+                w = _poisson_weights(part["cell"].to_numpy(), part["n"].to_numpy(), n_boot)
+                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                y = part["y"].to_numpy()[:, None]
+                ps, qs = np.add.reduceat(w * (y == 1), first), np.add.reduceat(w * (y == 0), first)
+                if s[0] == last:
+                    ps[0] += p
+                    qs[0] += q
+                else:
+                    ps, qs = np.vstack([p, ps]), np.vstack([q, qs])
+                under = below_q + np.cumsum(qs, axis=0) - qs  # all but the last score are complete
+                won = won + (ps[:-1] * (under[:-1] + qs[:-1] / 2)).sum(axis=0)
+                below_p, below_q, p, q, last = below_p + ps[:-1].sum(axis=0), under[-1], ps[-1], qs[-1], s[-1]
+    if m is not None:
+        yield told(m, low, below_p + p, below_q + q, won + p * (below_q + q / 2))
+
+
+def bootstrap_delta_auc(df: DataFrame, score_a: str, score_b: str, n_boot: int = 500, bins: int | None = None,
+                        seed: int = 42) -> DataFrame:
     """Interval of AUC(b) - AUC(a) from a paired Poisson bootstrap.
 
-    Bookings collapse to (bin of a, bin of b, label) counts; a replicate redraws each cell count,
-    which keeps the pairing. Scores inside a bin count as ties.
+    Bookings collapse to (a, b, label) counts; a replicate redraws each cell count, which keeps the pairing. Scores are
+    exact; with ``bins``, scores inside a bin count as ties. Each score is cut into ranges, a task counts the pairs
+    inside its range for all replicates, and ranges are joined by their sums. Rows without a score take no part.
     """
     def slot(c: str) -> Column:
-        return F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int")
+        return F.col(c).cast("double") if bins is None else F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("double")
 
     cells = df.groupBy(slot(score_a).alias("a"), slot(score_b).alias("b"), F.col(LABEL).alias("y")).agg(
-        F.count(F.lit(1)).alias("n"))
-    reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-
-    def uniform(tag: int) -> Column:
-        h = F.xxhash64(F.lit(seed), F.lit(tag), "rep", "a", "b", "y")
-        return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(2 ** 53)
-
-    drawn = reps.withColumn("n", poisson_draw(F.col("n").cast("double"), uniform(1), uniform(2))).where("n > 0")
-    side = F.explode(F.array(F.struct(F.lit("a").alias("m"), F.col("a").alias("bin")),
-                             F.struct(F.lit("b").alias("m"), F.col("b").alias("bin")))).alias("s")
-    hist = drawn.select("rep", "y", "n", side).groupBy("rep", "s.m", "s.bin").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).cast("double").alias("p"),
-        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("double").alias("q"))
-    w = W.partitionBy("rep", "m").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    below = F.sum("q").over(w) - F.col("q") / 2
-    auc = hist.withColumn("_w", F.col("p") * below).groupBy("rep", "m").agg(
-        ratio(F.sum("_w"), F.sum("p") * F.sum("q")).alias("auc"))
+        F.count(F.lit(1)).alias("n")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("y").isin(0, 1))
+    side = F.explode(F.array(F.struct(F.lit("a").alias("m"), F.col("a").alias("s")),
+                             F.struct(F.lit("b").alias("m"), F.col("b").alias("s")))).alias("e")
+    sides = cells.select(F.xxhash64(F.lit(seed), "a", "b", "y").alias("cell"), F.col("y").cast("int").alias("y"), "n", side) \
+        .select("e.m", "e.s", "cell", "y", "n")
+    ranges = int(max(8, cells.count() * 2 // _RANGE))
+    parts = sides.repartitionByRange(ranges, "m", "s").sortWithinPartitions("m", "s").mapInPandas(
+        lambda batches: _auc_parts(batches, n_boot),
+        "m string, low double, p array<double>, q array<double>, won array<double>")
+    by_rep = parts.select("m", "low", F.posexplode(F.arrays_zip("p", "q", "won")).alias("rep", "x")).select("m", "low", "rep", "x.*")
+    w = W.partitionBy("rep", "m").orderBy("low").rowsBetween(W.unboundedPreceding, -1)
+    pairs = by_rep.withColumn("won", F.col("won") + F.col("p") * F.coalesce(F.sum("q").over(w), F.lit(0.0)))
+    auc = pairs.groupBy("rep", "m").agg(ratio(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
     deltas = auc.groupBy("rep").agg((F.max(F.when(F.col("m") == "b", F.col("auc")))
                                      - F.max(F.when(F.col("m") == "a", F.col("auc")))).alias("d"))
     q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))

@@ -81,25 +81,21 @@ def _evaluated(x, fit):
         P.roc_auc(scored).withColumn("k", F.lit(1)), "k").drop("k")
 
 
-def _rf(train):
-    return M.fit_rf(train, trees=20, depth=6)
-
-
 def _calibrated(x):
     train, test = _train_test(x)
-    model = _rf(train)
+    model = M.fit_rf(train)
     scored = M.calibrate_isotonic(M.predict(model, train), M.predict(model, test))
     return P.calibration_table(scored, "p_cal")
 
 
 def _importance(x):
     train, _ = _train_test(x)
-    return M.feature_importance(_rf(train), x.spark)
+    return M.feature_importance(M.fit_rf(train), x.spark)
 
 
 def _tuned(x):
     train, _ = _train_test(x)
-    return M.tune_cv(train, trees=[10], depths=[3, 5], folds=3)[1]
+    return M.tune_cv(train)[1]
 
 
 def _rate_features(x):
@@ -162,7 +158,7 @@ def register(cat: Catalog) -> None:
     add("model_compare_p_value", lambda x: P.model_compare(_scored(x), "p2", 0.35, "p", 0.35),
         f"SELECT *, {mcnemar_p('n01', 'n10')} AS mcnemar_p, {normal_p('fpr_z')} AS fpr_p FROM ({compared})",
         r6="n01 n10 n_negatives mcnemar_chi2 fpr_a fpr_b fpr_z mcnemar_p fpr_p")
-    add("bootstrap_delta_auc", lambda x: P.bootstrap_delta_auc(_scored(x), "p2", "p", 50, 50))
+    add("bootstrap_delta_auc", lambda x: P.bootstrap_delta_auc(_scored(x), "p2", "p"))
     for by in ("market_segment", "hotel"):
         add(f"overbooking_buffer_{by}", lambda x, c=by: P.overbooking_buffer(x.bookings(), c),
             f"""SELECT *, least(cancel_rate * 0.6, cap) AS buffer, CASE WHEN cancel_rate * 0.6 > cap THEN 1 ELSE 0 END AS is_capped
@@ -191,8 +187,8 @@ def register(cat: Catalog) -> None:
     add("stratified_split", lambda x: _split(x).groupBy("is_canceled").agg(
             bookings(), F.sum("is_test").alias("test_rows")),
         """SELECT is_canceled, count(*) AS bookings, CAST(floor((count(*) - 1) * 0.2) + 1 AS BIGINT) AS test_rows FROM b GROUP BY 1""")
-    add("fit_rf", lambda x: _evaluated(x, _rf))
-    add("fit_gbt", lambda x: _evaluated(x, lambda t: M.fit_gbt(t, rounds=8, depth=4)))
+    add("fit_rf", lambda x: _evaluated(x, M.fit_rf))
+    add("fit_gbt", lambda x: _evaluated(x, M.fit_gbt))
     add("tune_cv", _tuned)
     add("calibrate_isotonic", _calibrated)
     add("feature_importance", _importance)
