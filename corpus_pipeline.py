@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodgemetrics.llm import decontaminate, jaccard_join, packing, pii, toxicity
 from lodgemetrics.llm.queries import table, vocabulary
-from lodgemetrics.llm.shared import staged
+from lodgemetrics.llm.shared import staged, without_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on the labelled rows of docs, does not predict toxic."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, machine).filter(F.col("predicted") == 1).select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["rejected"]), "left_anti")
+    return without_rows(docs, toxicity.score(docs, machine, with_key=True).filter(F.col("predicted") == 1))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

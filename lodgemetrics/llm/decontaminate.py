@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodgemetrics.llm.shared import keyed, staged
+from lodgemetrics.llm.shared import keyed, staged, without_rows
 
 #: Words of a shingle, least weighted Jaccard similarity, and Hamming radius of 64-bit fingerprints. A pair at the
 #: least similarity differs in 9.6 bits on average, 2.9 deviation: 20 bits leave out about one in 5,000 such pairs.
@@ -192,7 +192,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` without those that hold a benchmark item; columns stay."""
-    bad = find_leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("leaked")).distinct()
-    column = docs[settings.get("doc_id", "doc_id")]
-    return docs.join(bad, column.eqNullSafe(bad["leaked"]), "left_anti")
+    """The rows of ``docs`` without those whose text holds a benchmark item; other rows of the same id, and columns, stay."""
+    return without_rows(docs, find_leaks(docs, benchmark, **settings), settings.get("doc_id", "doc_id"),
+                        settings.get("text", "text"))

@@ -48,6 +48,13 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[doc_id], body).alias("key"), body.alias("text"))
 
 
+def without_rows(docs: DataFrame, bad: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less the rows whose doc_id and key (see ``keyed``) stand in ``bad``; null ids are compared as values."""
+    gone = bad.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    key = F.xxhash64(docs[doc_id], F.coalesce(docs[text], F.lit("")))
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]) & (key == gone["gone_key"]), "left_anti")
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of an Arrow string column; nulls must have been filled."""
     if isinstance(column, pa.ChunkedArray):

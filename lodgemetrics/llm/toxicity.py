@@ -157,21 +157,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, doc_id: str = "doc_id",
-          text: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row, from its whole text alone.
+          text: str = "text", with_key: bool = False) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` (and ``key``) of every row, from its whole text alone.
 
     Null and empty texts get the score of a text without known terms; repeated rows are answered each; an empty
     table gives no rows; other columns are ignored.
     """
-    rows = keyed(docs, doc_id, text).select("doc_id", "text")
+    rows = keyed(docs, doc_id, text)
     model = docs.sparkSession.sparkContext.broadcast(machine)  # bound: BUCKETS places and TERMS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.value.score(batch["text"]))],
-                                             ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(model.value.score(batch["text"]))],
+                                             ["doc_id", "key", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double").select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, score double").select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *["key"] * with_key)

@@ -160,6 +160,26 @@ def test_leaks_at_the_ends_of_texts(spark):
     assert all(r["start_word"] + r["n_words"] <= len(docs[r["doc_id"]].split()) for r in rows)
 
 
+def test_clean_rows_of_a_bad_id_stay(spark, monkeypatch):
+    import corpus_pipeline
+
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, item), (None, "clean"), (1, item), (1, "also clean"), (2, item), (2, item), (3, None)],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = {(None, "clean"), (1, "also clean"), (3, None)}
+    assert {tuple(r) for r in decontaminate.remove_leaks(docs, bench).collect()} == clean
+    terms = np.full(toxicity.BUCKETS, -1, np.int32)
+    machine = toxicity.Machine(terms, -9.0, np.zeros(0), np.zeros((0, toxicity.FACTORS)))
+    assert toxicity.score(docs, machine).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert toxicity.score(docs, machine, with_key=True).count() == 7
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: None)
+    monkeypatch.setattr(toxicity, "train", lambda *a: None)
+    monkeypatch.setattr(toxicity, "score", lambda d, m, **k: corpus_pipeline.toxicity.keyed(d).withColumn(
+        "predicted", F.coalesce(F.col("text") == item, F.lit(False)).cast("int")))
+    assert {tuple(r) for r in corpus_pipeline.drop_toxic(spark, docs, "").collect()} == clean
+
+
 SECRETS = ['token = "abcdefghijkl"', "Password: short", "pwd=Tr0ub4dor&3xyzQ!w9", "password: password123", "AKIA" + "A" * 16,
            "AKIAshort", "f" * 16 + "g", "f" * 15, "token: secret=abcdefghijklmnop", "token: password : verylongvalue123",
            "ſecret=abcdefghijklmnop", "api_key='0123456789ab'", "APIKEY=abcdefghijkl=", "é token=abcdefghijkl", None, ""]
