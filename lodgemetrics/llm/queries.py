@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodgemetrics.llm import chat, decontaminate, jaccard_join, packing, pii, secrets, substring_dedup, suffix_dedup, topk, toxicity
+from lodgemetrics.llm import (
+    chat, decontaminate, hard_negatives, jaccard_join, packing, piece_codec, pii, secrets, spelling, substring_dedup,
+    suffix_dedup, topk, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,11 +116,90 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(docs, pii.fit(docs)))
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest(piece_codec.encoded(table(spark, sf_dir, "documents"), pieces(), decode=True)) \
+        .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=31))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bit0 AS (
+  SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bit0),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, n, list_transform(range(1, 2 * octet_length(b) + 1, 2), lambda i: CAST('0x' || substr(hex(b), i, 2) AS BIGINT)) AS b
+  FROM (SELECT *, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS b FROM counted)),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c % 256, x) + 1])), 4294967295) AS h
+  FROM bytes, crc),
+cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.part = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.part = b.word),
+near AS (SELECT word, count(*) AS n_near, max(m) AS most FROM pairs GROUP BY word),
+best AS (SELECT word, min(other) AS best FROM pairs JOIN near USING (word) WHERE m = most GROUP BY word),
+told AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN best END AS form,
+    CASE WHEN most >= 10 * n THEN most END AS form_n FROM words w LEFT JOIN near USING (word) LEFT JOIN best USING (word)),
+steps AS (
+  SELECT word, word AS root, 0 AS d FROM told UNION ALL
+  SELECT s.word, t.form, s.d + 1 FROM steps s JOIN told t ON s.root = t.word WHERE t.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, d) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN roots USING (word)"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantized(rows, label)
+    return hard_negatives.mine(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+OP13_SQL = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM whole a JOIN whole c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER)
+    AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM positive JOIN scored USING (anchor_id)
+  WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_packing, op2_chat_format, op3_decontamination, op4_substring_dedup, op5_suffix_array_dedup,
-           op6_ngram_jaccard, op7_top_k, op8_secrets, op9_toxicity, op10_pii]
+           op6_ngram_jaccard, op7_top_k, op8_secrets, op9_toxicity, op10_pii, op11_sentencepiece,
+           op12_spelling_variants, op13_hard_negatives]
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_top_k": OP7_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_top_k": OP7_SQL,
+            "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
