@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,11 @@ from sentencepiece import SentencePieceProcessor
 from lodgemetrics.llm.shared import SLICE, buffers, keyed, row_slices
 
 SPACE = "▁"
-#: Segments a task keeps the ids of, and the longest kept; characters of a long text encoded at once.
-KEPT, KEPT_CHARS, PIECE = 200_000, 48, 1 << 20
+#: Segments a task keeps the ids of; the longest that agendas take in lockstep; characters of a long text encoded at once.
+KEPT, SHORT, PIECE = 500_000, 32, 1 << 20
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _BREAK = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+_NONE = np.float64(-np.inf)
 
 
 class Vocabulary:
@@ -30,10 +31,11 @@ class Vocabulary:
 
     def __init__(self, model: bytes):
         self.library = lib = SentencePieceProcessor(model_proto=model)
+        self.size = lib.get_piece_size()
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         byte: dict[int, int] = {}
-        for i in range(lib.get_piece_size()):
+        for i in range(self.size):
             piece = lib.id_to_piece(i)
             if lib.is_unused(i):
                 raise ValueError(f"piece {i} is marked unused")
@@ -47,7 +49,32 @@ class Vocabulary:
         #: Adjacent characters some piece holds; no merge ever crosses any other pair.
         self.touching = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
         self.words_apart = not any(a != SPACE == b for a, b in self.touching)
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self._pairs()
+        self._forget()
+
+    def _pairs(self) -> None:
+        """Symbols (pieces, then characters that are none) and the sorted table of the pairs that form a piece.
+
+        ``id_of`` has a symbol's id: the byte's of an ASCII character, -1 for others that take several bytes."""
+        symbol = dict(self.id)
+        more = sorted({c for p in self.score for c in p}.union(map(chr, range(128))) - set(symbol))
+        symbol.update({c: self.size + i for i, c in enumerate(more)})
+        self.symbols = self.size + len(more)
+        self.id_of = np.append(np.arange(self.size), [self.byte[ord(c)] if ord(c) < 128 else -1 for c in more]).astype(np.int64)
+        self.of_char = np.full(0x110000, -1, np.int64)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        found = [(symbol[p[:i]] * self.symbols + symbol[p[i:]], self.id[p], s) for p, s in self.score.items()
+                 for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol]
+        found.sort()
+        self.pair = np.array([f[0] for f in found], np.int64)
+        self.pair_id = np.array([f[1] for f in found], np.int64)
+        self.pair_score = np.array([f[2] for f in found], np.float64)
+
+    def _forget(self) -> None:
+        self.kept: dict[str | tuple[str], int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(KEPT + 1, np.int64)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a text: of all adjacent pairs that form a piece, the one with the highest score merges first,
@@ -80,37 +107,132 @@ class Vocabulary:
                 offer(before[a], a)
         return [p for p in piece if p]
 
-    def _ids(self, text: str) -> tuple[int, ...]:
+    def _one(self, text: str) -> list[int]:
+        """Ids of one segment of any length, cut where no piece holds both neighbours."""
+        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.touching]
         out: list[int] = []
-        for p in self.merged(text):
-            i = self.id.get(p)
-            out += [i] if i is not None else [self.byte[b] for b in p.encode()]
-        return tuple(out)
-
-    def _parts(self, segment: str) -> list[str]:
-        """A segment cut where no piece holds both neighbours."""
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1:i + 1] not in self.touching]
-        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])]
-
-    def encode(self, normal: str) -> Iterator[np.ndarray]:
-        """Ids of a normalised text, piece by piece of a long one; pieces start at a space."""
-        at = 0
-        while at < len(normal):
-            end = len(normal)
-            if self.words_apart and end - at > PIECE:
-                found = _BREAK.search(normal, at + PIECE)
-                end = found.start() if found else end
-            segments = _SEGMENT.findall(normal[at:end]) if self.words_apart else [normal[at:end]]
-            if any(len(s) > KEPT_CHARS for s in segments):
-                segments = [p for s in segments for p in (self._parts(s) if len(s) > KEPT_CHARS else (s,))]
-            if len(self.kept) > KEPT:
-                self.kept.clear()
-            once: dict[str, tuple[int, ...]] = {}
-            for s in set(segments).difference(self.kept):
-                (self.kept if len(s) <= KEPT_CHARS else once)[s] = self._ids(s)
-            ids = [once.get(s) or self.kept[s] for s in segments] if once else map(self.kept.__getitem__, segments)
-            yield np.fromiter(chain.from_iterable(ids), np.int32)
-            at = end
+        for a, b in zip([0, *cuts], [*cuts, len(text)]):
+            for p in self.merged(text[a:b]):
+                i = self.id.get(p)
+                out += [i] if i is not None else [self.byte[x] for x in p.encode()]
+        return out
+
+    def _offers(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and piece of each pair of symbols; no score where they form none."""
+        key = np.where((a >= 0) & (b >= 0), a * self.symbols + b, -1)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = self.pair[at] == key
+        return np.where(hit, self.pair_score[at], _NONE), self.pair_id[at]
+
+    def together(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number per segment) of segments of at most SHORT characters, whose agendas advance in lockstep:
+        in each step, every segment merges its pair of highest score."""
+        chars = np.array([len(s) for s in segments])
+        width = int(chars.max(initial=0))
+        row, col = np.repeat(np.arange(len(segments)), chars), np.arange(chars.sum()) - np.repeat(np.cumsum(chars) - chars, chars)
+        symbol = np.full((len(segments), width + 2), -1, np.int64)
+        symbol[row, col] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")]
+        odd = np.zeros(len(segments), bool)  # holds a character that no piece holds
+        odd[row[symbol[row, col] < 0]] = True
+        alive = np.zeros(symbol.shape, bool)
+        alive[row, col] = True
+        after = np.tile(np.arange(1, width + 3), (len(segments), 1))
+        before = after - 2
+        score, made = (np.full(symbol.shape, x) for x in (_NONE, -1))
+        score[:, :-1], made[:, :-1] = self._offers(symbol[:, :-1], symbol[:, 1:])
+        rows = np.flatnonzero(score.max(axis=1) > _NONE)
+        while len(rows):
+            open_ = score[rows]
+            a = np.argmax(open_, axis=1)
+            some = open_[np.arange(len(rows)), a] > _NONE
+            rows, a = rows[some], a[some]
+            b = after[rows, a]
+            then = after[rows, b]
+            symbol[rows, a] = made[rows, a]
+            alive[rows, b] = False
+            score[rows, b] = _NONE
+            after[rows, a] = then
+            before[rows, np.minimum(then, width + 1)] = a
+            score[rows, a], made[rows, a] = self._offers(symbol[rows, a], symbol[rows, then])
+            left = before[rows, a] >= 0
+            r, p, a = rows[left], before[rows, a][left], a[left]
+            score[r, p], made[r, p] = self._offers(symbol[r, p], symbol[r, a])
+        symbol = self.id_of[symbol]
+        odd |= (alive & (symbol < 0)).any(axis=1)
+        alive[odd] = False
+        ids, n = symbol[alive].astype(np.int32), alive.sum(axis=1)
+        if odd.any():
+            own = [np.array(self._one(segments[i]), np.int32) for i in np.flatnonzero(odd).tolist()]
+            at = np.cumsum(n)[odd]
+            ids = np.insert(ids, np.repeat(at, [len(x) for x in own]), np.concatenate(own))
+            n[odd] = [len(x) for x in own]
+        return ids, n
+
+    def _learn(self, fresh: list[str | tuple[str]]) -> None:
+        """Keep the ids of segments (told by their text behind one space, or as a tuple where there is none)."""
+        texts = [SPACE + k if isinstance(k, str) else k[0] for k in fresh]
+        size = np.array([len(t) for t in texts])
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, SHORT)):
+            for at in np.array_split(lot := np.flatnonzero((size > low) & (size <= high)), len(lot) // 20_000 + 1):
+                if len(at):
+                    self._keep([fresh[i] for i in at.tolist()], *self.together([texts[i] for i in at.tolist()]))
+        for i in np.flatnonzero(size > SHORT).tolist():
+            ids = np.array(self._one(texts[i]), np.int32)
+            self._keep([fresh[i]], ids, np.array([len(ids)]))
+
+    def _keep(self, names: list, ids: np.ndarray, n: np.ndarray) -> None:
+        k = len(self.kept)
+        first = self.ends[k]
+        while first + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + len(n) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[first:first + len(ids)] = ids
+        self.ends[k + 1:k + 1 + len(n)] = first + np.cumsum(n)
+        self.kept.update(zip(names, range(k, k + len(n))))
+
+    def _segments(self, text: str) -> list[str | tuple[str]]:
+        """A normalised text cut before each run of spaces, where no piece reaches across."""
+        if not self.words_apart:
+            return [(text,)] if text else []
+        if text.startswith(SPACE) and SPACE * 2 not in text:
+            return text.split(SPACE)[1:]
+        return [x[1:] if x[0] == SPACE else (x,) for x in _SEGMENT.findall(text)]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each normalised text."""
+        cut = [self._segments(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        code = np.fromiter(map(self.kept.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(code < 0).tolist()
+        fresh = list(dict.fromkeys(flat[i] for i in missing))
+        if len(self.kept) + len(fresh) > KEPT:
+            self._forget()
+            missing, fresh = range(len(flat)), list(dict.fromkeys(flat))
+        if fresh:
+            self._learn(fresh)
+            code[missing] = [self.kept[flat[i]] for i in missing]
+        begin = self.ends[code]
+        n = self.ends[code + 1] - begin
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+        ends = total[np.cumsum([0, *(len(x) for x in cut)])]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def pieces(self, text: str) -> list[str]:
+        """A normalised text, a long one cut before spaces."""
+        out, at = [], 0
+        while self.words_apart and len(text) - at > PIECE:
+            found = _BREAK.search(text, at + PIECE)
+            if not found:
+                break
+            out.append(text[at:found.start()])
+            at = found.start()
+        return [*out, text[at:]]
+
+    def encode(self, text: str) -> list[np.ndarray]:
+        """Ids of one normalised text, piece by piece."""
+        return [self.encode_all([p])[0] for p in self.pieces(text)]
 
     def decode(self, pieces: list[np.ndarray]) -> str:
         """The library's text for the ids. Pieces of a long text are decoded on their own, behind a space piece that
@@ -161,8 +283,9 @@ def encoded(docs: DataFrame, model: str, check: bool = True, decode: bool = Fals
         for batch in batches:
             for a, b in row_slices(buffers(batch["text"])[1], SLICE):
                 texts = batch["text"].slice(a, b - a).to_pylist()
-                pieces = [list(words.encode(words.library.normalize(t))) for t in texts]
-                ids = [p[0] if len(p) == 1 else np.concatenate([np.zeros(0, np.int32), *p]) for p in pieces]
+                normal = [words.library.normalize(t) for t in texts]
+                pieces = [words.encode(t) for t in normal] if b - a == 1 else [[x] for x in words.encode_all(normal)]
+                ids = [p[0] if len(p) == 1 else np.concatenate(p) for p in pieces]
                 columns = [batch["doc_id"].slice(a, b - a), _lists(ids)]
                 if check:
                     own = words.library.encode(texts, out_type=int, num_threads=1)

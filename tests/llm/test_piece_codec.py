@@ -21,7 +21,7 @@ def words():
 
 
 def ids_of(words, text):
-    pieces = list(words.encode(words.library.normalize(text)))
+    pieces = words.encode(words.library.normalize(text))
     return np.concatenate([np.zeros(0, np.int32), *pieces]).tolist(), pieces
 
 
@@ -62,8 +62,25 @@ def test_long_text_without_spaces(words):
 def test_kept_segments_are_bounded(words, monkeypatch):
     monkeypatch.setattr(piece_codec, "KEPT", 10)
     for i in range(50):
-        ids_of(words, f"w{i} x{i} y{i}")
-    assert len(words.kept) <= 20
+        assert ids_of(words, f"w{i} x{i} y{i}")[0] == words.library.encode(f"w{i} x{i} y{i}")
+    assert len(words.kept) <= 10
+    text = " ".join(f"w{i}" for i in range(40))
+    assert ids_of(words, text)[0] == words.library.encode(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(min_size=1, max_size=30) | st.text(alphabet="aeinrstlo▁", min_size=1, max_size=30), min_size=1, max_size=12))
+def test_lockstep_is_the_agenda(words, segments):
+    ids, n = words.together(segments)
+    assert n.sum() == len(ids)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [words._one(s) for s in segments]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=" abcde▁é🙂\n", max_size=40), max_size=6))
+def test_many_texts_at_once(words, texts):
+    got = words.encode_all([words.library.normalize(t) for t in texts])
+    assert [x.tolist() for x in got] == [words.library.encode(t) for t in texts]
 
 
 def test_rows(spark, words):
