@@ -70,9 +70,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     Rotations are grouped by prefix. In a group stand the words that differ in the skipped code point alone, so there
     are no more of them than code points in the alphabet, and at most one word that is the same without it. A word
     that has several ways to lose a code point of one run counts the last of them. Each word of a group gets one
-    row, not one for each pair.
+    row, not one for each pair. Most prefixes stand once, so nothing is gained by combining before the shuffle.
     """
-    group = _rotations(words).groupBy("prefix").agg(
+    group = _rotations(words).repartition("prefix").groupBy("prefix").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word", "edited", "run_end"))).alias("all")) \
         .filter(F.size("all") > 1)
 
@@ -105,7 +105,8 @@ def variants(words: DataFrame, ratio: int = 10) -> DataFrame:
     if ratio < 2:
         raise ValueError("a form must occur more often than its word")
     words = staged(words.select("word", F.col("n").cast("long").alias("n")), "words")
-    near = neighbours(words)
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = neighbours(words.repartition(parts, "word"))  # a small file becomes many rotations
     told = staged(words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(F.col("best_n") >= ratio * F.col("n"), F.struct("best", "best_n")).alias("form")), "forms")
