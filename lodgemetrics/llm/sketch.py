@@ -75,7 +75,10 @@ def partition_sketch(parts: list[np.ndarray], width: int) -> pa.RecordBatch:
 
 
 def merged(fragments: DataFrame, width: int, partitions: int) -> Repeated:
-    """Merge partition sketches FAN at a time, shard by shard; only the merged bits reach the driver."""
+    """Merge partition sketches FAN at a time, shard by shard; only the merged bits reach the driver.
+
+    ``partitions`` tells about how many there are; the last level takes all that are left of a shard.
+    """
     def add(frames: pd.DataFrame, dense: bool) -> tuple[np.ndarray, np.ndarray]:
         once, more = np.zeros(1 << SHARD, bool), np.zeros(1 << SHARD, bool)
         for a, b in zip(frames["once"], frames["more"]):
@@ -99,10 +102,13 @@ def merged(fragments: DataFrame, width: int, partitions: int) -> Repeated:
         return run
 
     dense = False
-    while not dense or partitions > 1:
+    while partitions > FAN:
         lot = F.floor(F.col("lot") / FAN).cast("int")
         fragments = fragments.withColumn("lot", lot).groupBy("line", "shard", "lot").applyInPandas(level(dense), SCHEMA)
         partitions, dense = -(-partitions // FAN), True
+    # whatever lots there are: a plan may run with other partitions than the one that was counted
+    whole = fragments.withColumn("lot", F.lit(0)).groupBy("line", "shard", "lot")
+    fragments = whole.applyInPandas(level(dense), SCHEMA)
     return Repeated(width, {(r["line"], r["shard"]): bytes(r["more"])
                             for r in fragments.select("line", "shard", "more").toLocalIterator()})
 
