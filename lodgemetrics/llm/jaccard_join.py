@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodgemetrics.llm import sketch
@@ -17,8 +17,8 @@ from lodgemetrics.llm.components import components
 from lodgemetrics.llm.shared import (
     LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, keyed, mix, row_slices, staged, word_bounds)
 
-#: Classes of one side of a verification tile.
-TILE = 64
+#: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed.
+TILE, SMALL = 64, 3
 
 
 class Rule(NamedTuple):
@@ -84,20 +84,37 @@ def _bands(largest: int, percent: int) -> np.ndarray:
     return np.array(edges + [edges[-1] * 100 // percent + 1, edges[-1] * 200])
 
 
+class Signed(NamedTuple):
+    """Signatures of several sets: row, signature, the scheme it is from, and how many signatures of that scheme the row
+    may do without: so many more than one does it share with any set it can be linked to through the scheme."""
+
+    row: np.ndarray
+    sig: np.ndarray
+    scheme: np.ndarray
+    spare: np.ndarray
+
+
 def signatures(sets: Sets, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature): two linkable sets share at least one signature.
+    """(row, signature): two linkable sets share at least one signature."""
+    return signed(sets, rule)[:2]
+
+
+def signed(sets: Sets, rule: Rule = Rule()) -> Signed:
+    """Signatures of which two linkable sets share at least one.
 
     A set takes the scheme of its own size band and of the next. Within a scheme two linkable sets differ in at most
     k shingles. Their domain is parted k // 2 + 1 times or more, so in some part they differ at most once; each part is
     parted in three, and every two of the three are a signature, so one pair agrees. Signatures of no shingle would
     be shared by strangers: a set with enough parts that have two filled thirds leaves them out, as enough of its
-    other parts must agree; a set without takes its least shingles instead, of which linkable sets share one.
+    other parts must agree; a set without takes its least shingles instead, of which linkable sets share one. A set
+    of which more parts are so filled than may differ twice shares more than one signature with any linkable set.
     """
     size = np.diff(sets.first)
     edges = _bands(int(size.max(initial=1)), rule.percent)
     band = np.searchsorted(edges, size, "right") - 1
     owner = np.repeat(np.arange(len(size)), size)
     rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    schemes, spares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     poor = np.zeros(len(size), bool)
     for scheme in (band, band + 1):
         most = 2 * (edges[scheme + 1] - 1)
@@ -114,7 +131,9 @@ def signatures(sets: Sets, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray]
         total = (low + (high << np.uint64(32))).reshape(-1, 3)
         part_row = np.repeat(np.arange(len(size)), parts)
         two = (filled > 0).sum(axis=1) >= 2
-        rich = np.bincount(part_row, two, len(size)) >= k // 2 + 1
+        filled_parts = np.bincount(part_row, two, len(size)).astype(np.int64)
+        rich = filled_parts >= k // 2 + 1
+        spare = np.maximum(filled_parts - k // 2 - 1, 0)
         one = k == 0
         poor |= ~rich & ~one & (size > 0)
         part_no = np.arange(len(part_row)) - (cell0[:-1] // 3)[part_row]
@@ -122,16 +141,21 @@ def signatures(sets: Sets, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray]
         for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
             use = (filled[:, i] + filled[:, j] > 0) & ~one[part_row]
             rows.append(part_row[use])
+            schemes.append(scheme[part_row[use]])
+            spares.append(spare[part_row[use]])
             out.append(mix(name[use] + np.uint64(pair) + mix(total[use, i]) + mix(total[use, j] ^ np.uint64(0xE7037ED1A0B428DB))))
         same = np.flatnonzero(one & (size > 0))  # no difference allowed: the whole set
         rows.append(same)
+        schemes.append(scheme[same])
+        spares.append(np.zeros(len(same), np.int64))
         out.append(mix(set_hash(sets)[same] + np.uint64(5)))
     for r in np.flatnonzero(poor):
         least = size[r] - (size[r] * rule.percent + 99) // 100 + 1
         rows.append(np.full(least, r))
+        schemes.append(np.full(least, -1))
+        spares.append(np.zeros(least, np.int64))
         out.append(mix(sets.values[sets.first[r]:sets.first[r] + least] ^ np.uint64(0x8EBC6AF09C88C6E3)))
-    row, sig = np.concatenate(rows), np.concatenate(out)
-    return row, sig
+    return Signed(*(np.concatenate(x) for x in (rows, out, schemes, spares)))
 
 
 def _tile_links(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +182,13 @@ def _tile_links(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> tuple[n
     return np.nonzero(100 * both >= rule.percent * (na[:, None] + nb[None, :] - both))
 
 
-def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``doc_id, n_shingles, class_id`` of every row, and ``a, b`` between classes.
+def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text", thin: bool = False
+          ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, counts): ``doc_id, n_shingles, class_id`` of every row; ``a, b`` of each link between classes,
+    once, a < b; and ``class_id, n_links``, for classes with links, how many rows of other classes they are linked to.
 
-    A class is a distinct shingle set (class_id 0: empty set or null id, linked with nothing). Links connect exactly
-    the classes that chains of pairs within the rule connect; of the pairs in a verification tile, those that add
-    nothing to such chains are left out.
+    A class is a distinct shingle set (class_id 0: empty set or null id, linked with nothing). ``thin`` leaves out links
+    of a verification tile that close a circle, which components do not need; counts are whole in any case.
     """
     rows = keyed(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -198,26 +223,117 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
                              width, rows.rdd.getNumPartitions())
     drop_staged(one)
     test = rows.sparkSession.sparkContext.broadcast(repeated)
+    del repeated  # up to 64 MB of the driver's memory
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.uint64)
         for _, _, sets in (s for batch in batches for s in set_slices(batch["text"], rule.n)):
             ids = set_hash(sets)
-            row, sig = signatures(sets, rule)
+            found = signed(sets, rule)
             fresh = _first_of(ids, known)
             known = np.union1d(known, ids)
-            use = fresh[row]
-            row, sig = row[use], sig[use]
-            use = test.value(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[use].view(np.int64)), pa.array(ids[row[use]].view(np.int64))],
-                                             ["sig", "class_id"])
+            use = fresh[found.row]
+            use[use] = test.value(found.sig[use])
+            found = Signed(*(x[use] for x in found))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.sig.view(np.int64)), pa.array(ids[found.row].view(np.int64)),
+                 pa.array(np.diff(sets.first)[found.row].astype(np.int32)), pa.array(found.scheme.astype(np.int16)),
+                 pa.array(np.minimum(found.spare, 30_000).astype(np.int16))], ["sig", "class_id", "n", "scheme", "spare"])
+
+    shared = rows.mapInArrow(second_pass, "sig long, class_id long, n int, scheme short, spare short")
+    met = staged(_met(shared, rule), "met")  # small groups as pairs, large ones as they are
+    test.destroy()
+    pairs = met.filter("b IS NOT NULL").select("a", "b").distinct()
+    clusters = staged(components(_hot_stars(met.filter("b IS NULL"))), "clusters")
+    # pairs of one cluster are compared in its tiles
+    inside = clusters.select(F.col("node").alias("x"), F.col("component").alias("cx"))
+    beside = clusters.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+    apart = staged(pairs.join(inside, pairs["a"] == inside["x"], "left").join(beside, pairs["b"] == beside["y"], "left")
+                   .filter("cx IS NULL OR cy IS NULL OR cx <> cy").select("a", "b"), "pairs")
+    drop_staged(met)
+    found = staged(_verified(rows, members, clusters, apart, rule, thin), "verified")
+    told = found.filter("n_links IS NOT NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("n_links").alias("n_links"))
+    return members, found.filter("n_links IS NULL").select("a", "b"), told
+
+
+def _met(shared: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b`` of the pairs of classes that share a signature with few others and are of linkable size; and
+    ``a, sig, scheme, spare, m`` (b null) of each class and signature shared by more than SMALL, m of them.
+
+    One exchange by signature, read in order; copies that several tasks sent are counted once. A task holds one
+    signature's group, 20 bytes a class.
+    """
+    percent, small = rule.percent, SMALL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        seen = np.zeros(0, [("a", np.int64), ("b", np.int64)])
+
+        def solve(columns: tuple) -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            sig, class_id, n, scheme, spare = columns
+            new = np.ones(len(sig), bool)
+            new[1:] = (np.diff(sig) != 0) | (np.diff(class_id) != 0)
+            sig, class_id, n, scheme, spare = (x[new] for x in columns)
+            first = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0) != 0) if len(sig) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(sig)))
+            of = np.repeat(size, size)
+            left, right = [], []
+            few = np.flatnonzero(of <= small)
+            group = np.repeat(np.arange(len(size)), size)
+            for gap in range(1, small):  # partners so many places behind in the same group
+                i = few[few + gap < len(sig)]
+                i = i[group[i] == group[i + gap]]
+                j = i + gap
+                fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)
+                left.append(class_id[i[fits]])
+                right.append(class_id[j[fits]])
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.zeros(len(a), seen.dtype)
+            pairs["a"], pairs["b"] = np.minimum(a, b), np.maximum(a, b)
+            pairs = np.unique(pairs)
+            fresh = pairs[~np.isin(pairs, seen)] if len(seen) else pairs
+            seen = np.union1d(seen, fresh) if len(seen) < 2_000_000 else fresh  # what went out before, as far as held
+            yield _met_batch(fresh["a"], b=fresh["b"])
+            hot = np.flatnonzero(of > small)
+            yield _met_batch(class_id[hot], sig[hot], scheme[hot], spare[hot], of[hot])
 
-    shared = staged(rows.mapInArrow(second_pass, "sig long, class_id long").distinct(), "signatures")
-    heads = shared.groupBy("sig").agg(F.min("class_id").alias("head"), F.count("*").alias("m")).filter(F.col("m") > 1)
-    stars = shared.join(heads, "sig").select(F.col("class_id").alias("a"), F.col("head").alias("b")).filter("a <> b")
-    clusters = staged(components(stars), "clusters")  # classes that candidate pairs may connect
-    drop_staged(shared)
-    return members, staged(_verified(rows, members, clusters, rule), "verified")
+        for batch in batches:
+            columns = tuple(batch[c].to_numpy() for c in ("sig", "class_id", "n", "scheme", "spare"))
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the batch's last group may go on
+            if last > 0:
+                held.append(tuple(x[:last] for x in columns))
+                yield from solve(tuple(np.concatenate(x) for x in zip(*held)))
+                held = []
+            elif held and held[-1][0][-1] != columns[0][0]:
+                yield from solve(tuple(np.concatenate(x) for x in zip(*held)))
+                held = []
+            held.append(tuple(x[last:] for x in columns))
+        if held:
+            yield from solve(tuple(np.concatenate(x) for x in zip(*held)))
+
+    return shared.repartition("sig").sortWithinPartitions("sig", "class_id").mapInArrow(
+        run, "a long, b long, sig long, scheme short, spare short, m long")
+
+
+def _met_batch(a: np.ndarray, sig=None, scheme=None, spare=None, m=None, b=None) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), k) if x is None else pa.array(x, k)
+                                       for x, k in zip((a, b, sig, scheme, spare, m), kinds)],
+                                      ["a", "b", "sig", "scheme", "spare", "m"])
+
+
+def _hot_stars(hot: DataFrame) -> DataFrame:
+    """``a, b``: classes of large groups joined to the least of their group.
+
+    A class first gives up its ``spare`` most frequent signatures of a scheme: linkable sets share more than that, and
+    the rarest of the shared ones is among the spare ones of neither. So a passage that many documents hold does not
+    make a group of them by the few signatures that consist of it alone.
+    """
+    rank = F.row_number().over(Window.partitionBy("a", "scheme").orderBy(F.desc("m"), F.desc("sig")))
+    kept = hot.withColumn("r", rank).filter(F.col("r") > F.col("spare")).select("a", "sig")
+    heads = kept.groupBy(F.col("sig").alias("s")).agg(F.min("a").alias("b"))
+    return kept.join(heads, kept["sig"] == heads["s"]).select("a", "b").filter("a <> b").distinct()
 
 
 def _first_of(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -238,39 +354,87 @@ def _once_per_row(row: np.ndarray, sig: np.ndarray, fresh: np.ndarray) -> np.nda
     return sig[new]
 
 
-def _verified(rows: DataFrame, members: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
-    """``a, b``: links between classes of one cluster. A cluster's classes are dealt into blocks of about TILE; each
-    pair of blocks is a task's tile. The text of one member stands for a class."""
-    sized = clusters.groupBy("component").agg(F.count("*").alias("size")) \
-        .withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
-    placed = clusters.join(sized, "component").select(F.col("node").alias("class_id"), "component", "blocks",
-                                                      F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    head = members.groupBy("class_id").agg(F.min("key").alias("member")).join(placed, "class_id")
-    sets = head.join(rows.select(F.col("key").alias("member"), "text"), "member").dropDuplicates(["class_id"])
+def _verified(rows: DataFrame, members: DataFrame, clusters: DataFrame, pairs: DataFrame, rule: Rule, thin: bool) -> DataFrame:
+    """``a, b`` of links, and ``a, n_links`` of how many rows a class is linked to by one tile or pair.
+
+    Pairs are verified one by one. A cluster's classes are dealt, by size, into blocks of about TILE; each two blocks
+    that have linkable sizes are a task's tile. The text of one member stands for a class.
+    """
+    heads = members.groupBy("class_id").agg(F.min("key").alias("member"), F.count("doc_id").alias("weight"),
+                                            F.first("n_shingles").alias("n"))
+    wanted = clusters.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    head = heads.join(wanted, heads["class_id"] == wanted["node"], "left_semi")
+    texts = head.join(rows.select(F.col("key").alias("member"), "text"), "member").dropDuplicates(["class_id"])
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [found.values[i:j].tobytes() for _, _, found in set_slices(batch["text"], rule.n)
                     for i, j in zip(found.first[:-1], found.first[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("class_id", "component", "blocks", "block")),
-                                              pa.array(data, pa.binary())],
-                                             ["class_id", "component", "blocks", "block", "data"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("class_id", "weight", "n")), pa.array(data, pa.binary())],
+                                             ["class_id", "weight", "n", "data"])
 
-    sets = sets.mapInArrow(to_set, "class_id long, component long, blocks int, block int, data binary")
-    tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-        "class_id", "block", "data")
+    sets = staged(texts.select("class_id", "weight", "n", "text").mapInArrow(
+        to_set, "class_id long, weight long, n long, data binary"), "class-sets")
+    return _tiled(sets, clusters, rule, thin).unionByName(_paired(sets, pairs, rule))
+
+
+def _paired(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    one = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("weight").alias("wa"), F.col("data").alias("da")), "a")
+    both = one.join(sets.select(F.col("class_id").alias("b"), F.col("weight").alias("wb"), F.col("data").alias("db")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch["da"], batch["db"]):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                linked.append(100 * shared >= rule.percent * (len(x) + len(y) - shared))
+            use = batch.filter(pa.array(linked, pa.bool_()))
+            yield from _link_batches(use["a"], use["b"], use["wa"], use["wb"])
+
+    return both.select("a", "b", "wa", "wb", "da", "db").mapInArrow(run, "a long, b long, n_links long")
+
+
+def _link_batches(a: pa.Array, b: pa.Array, wa: pa.Array, wb: pa.Array) -> Iterator[pa.RecordBatch]:
+    names = ["a", "b", "n_links"]
+    nothing = pa.nulls(len(a), pa.int64())
+    yield pa.RecordBatch.from_arrays([a, b, nothing], names)
+    yield pa.RecordBatch.from_arrays([a, nothing, wb], names)
+    yield pa.RecordBatch.from_arrays([b, nothing, wa], names)
+
+
+def _tiled(sets: DataFrame, clusters: DataFrame, rule: Rule, thin: bool) -> DataFrame:
+    sized = clusters.groupBy("component").agg(F.count("*").alias("size")) \
+        .withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
+    placed = clusters.join(sized, "component").select(F.col("node").alias("class_id"), "component", "blocks")
+    own = sets.join(placed, "class_id")
+    by_size = F.percent_rank().over(Window.partitionBy("component").orderBy("n", "class_id"))
+    order = own.select("class_id", by_size.alias("at"))
+    own = own.join(order, "class_id").withColumn("block", F.least(F.floor(F.col("at") * F.col("blocks")), F.col("blocks") - 1).cast("int"))
+    spans = own.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = spans.toDF("component", "left", "low", "high"), spans.toDF("c2", "right", "low2", "high2")
+    near = one.join(two, (one["component"] == two["c2"]) & (F.col("left") <= F.col("right"))
+                    & (100 * F.col("high") >= rule.percent * F.col("low2")) & (100 * F.col("high2") >= rule.percent * F.col("low")))
+    tile = near.select("component", "left", "right")
+    sides = tile.withColumn("block", F.explode(F.array_distinct(F.array("left", "right"))))
+    tiles = own.select("component", "block", "class_id", "weight", "data").join(sides, ["component", "block"]) \
+        .select("component", "left", "right", "class_id", "block", "weight", "data")
 
     def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
-        a = frame[frame["block"] == key[1]]
-        b = frame[frame["block"] == key[2]]
-        i, j = _tile_links(*([np.frombuffer(d, np.uint64) for d in x["data"]] for x in (a, b)), rule) \
-            if len(a) and len(b) else (np.zeros(0, np.int64),) * 2
+        a, b = (frame[frame["block"] == k] for k in key[1:])
+        i, j = _tile_links(*([np.frombuffer(d, np.uint64) for d in x["data"]] for x in (a, b)), rule)
+        if key[1] == key[2]:
+            i, j = i[i < j], j[i < j]
         ia, ib = a["class_id"].to_numpy()[i], b["class_id"].to_numpy()[j]
-        kept = _forest(ia, ib)
-        return pd.DataFrame({"a": ia[kept], "b": ib[kept]})
+        wa, wb = a["weight"].to_numpy()[i], b["weight"].to_numpy()[j]
+        count = pd.DataFrame({"a": np.concatenate([ia, ib]), "n_links": np.concatenate([wb, wa])}).groupby("a", as_index=False).sum()
+        kept = _forest(ia, ib) if thin else np.arange(len(ia))
+        low, high = np.minimum(ia, ib)[kept], np.maximum(ia, ib)[kept]
+        return pd.DataFrame({"a": np.concatenate([low, count["a"].to_numpy(np.int64)]),
+                             "b": pd.array([*high.tolist(), *[None] * len(count)], "Int64"),
+                             "n_links": pd.array([*[None] * len(low), *count["n_links"].tolist()], "Int64")})
 
-    return tiles.groupBy("component", "left", "right").applyInPandas(solve, "a long, b long")
+    return tiles.groupBy("component", "left", "right").applyInPandas(solve, "a long, b long, n_links long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -292,20 +456,27 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text",
+                   count_links: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the least doc_id that links reach, itself included.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing, as are rows with a
     null id (component null). Equal sets are linked, whatever their texts; repeated rows are answered each; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. ``count_links`` adds ``n_links``, the other rows a row is linked to.
     """
-    members, found = links(docs, rule, doc_id, text)
+    members, found, counts = links(docs, rule, doc_id, text, thin=True)
     group = components(found)
     least = members.filter((F.col("class_id") != 0) & F.col("doc_id").isNotNull()) \
-        .groupBy("class_id").agg(F.min("doc_id").alias("least"))
+        .groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("own"))
     named = least.join(group, least["class_id"] == group["node"], "left") \
-        .select("class_id", "least", F.coalesce("component", "class_id").alias("component"))
+        .select("class_id", "least", "own", F.coalesce("component", "class_id").alias("component"))
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(heads, "component").select(F.col("class_id").alias("c"), "component_id")
-    return members.join(named, members["class_id"] == named["c"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = named.join(heads, "component").select(F.col("class_id").alias("c"), "component_id", "own")
+    out = members.join(named, members["class_id"] == named["c"], "left")
+    columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
+    if count_links:
+        counts = counts.toDF("linked", "n_links")
+        out = out.join(counts, out["class_id"] == counts["linked"], "left")
+        mine = F.col("doc_id").isNotNull() & F.col("own").isNotNull()
+        columns.append(F.when(mine, F.coalesce("n_links", F.lit(0)) + F.col("own") - 1).otherwise(0).cast("long").alias("n_links"))
+    return out.select(*columns)

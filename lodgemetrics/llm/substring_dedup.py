@@ -30,6 +30,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
 
     test = rows.sparkSession.sparkContext.broadcast(sketch.sketch(rows, hashes, width))
     found = anchors.staged(anchors.find_blocks(rows, window, k, True, test), "word-blocks")
+    test.destroy()
     known = anchors.sorted_out(found, "word-repeats")
     whole = known.filter("copies > 1").select("doc_id", "key", "start", "n")
     open_ = known.filter("first and kinds > 1").select("doc_id", "key", "start", "n", (F.col("copies") == 1).alias("single"))

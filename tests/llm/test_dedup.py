@@ -157,3 +157,95 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5), (None, 4), (20, 21)] + [(k, k + 1) for k in range(30, 60)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], 1), **dict.fromkeys([20, 21], 20), **dict.fromkeys(range(30, 61), 30)}
+
+
+def brute_links(rows, n, percent):
+    """Links between different sets and how many other rows each row is linked to."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    linked = {(i, j) for i in sets for j in sets if i != j and sets[i] and sets[j]
+              and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    return sets, linked
+
+
+@pytest.mark.parametrize("small, tile", [(16, 64), (2, 4), (3, 7)])
+def test_every_link_and_its_count(spark, monkeypatch, small, tile):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rng = random.Random(5)
+    rows = corpus(6)
+    for size in (30, 90):
+        base = [f"w{size}x{k}" for k in range(size)]
+        for _ in range(25):
+            words = list(base) + [f"more{k}" for k in range(rng.randint(0, 6))]
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"e{rng.randint(0, 9)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + k, rows[-1][1]) for k in range(3)]
+    rule = jaccard_join.Rule(5, 80)
+    sets, linked = brute_links(rows, 5, 80)
+    members, found, counts = jaccard_join.links(frame(spark, rows), rule)
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert set(got) == {(of[i], of[j]) for i, j in linked if of[i] < of[j]}
+    told = jaccard_join.similar_groups(frame(spark, rows), rule, count_links=True)
+    assert {r["doc_id"]: r["n_links"] for r in told.collect()} == {i: sum(a == i for a, _ in linked) for i in sets}
+
+
+def test_sets_do_without_their_spare_signatures():
+    """Linkable sets share more signatures of a scheme than either may do without."""
+    rng = np.random.default_rng(7)
+    for size in [60, 90, 200, 700]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2 ** 63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[size * 7 // 100:], rng.integers(0, 2 ** 63, size * 6 // 100).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 85 * (len(a) + len(b) - both):
+                continue
+            x = jaccard_join.signed(jaccard_join.Sets(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])))
+            good = False
+            for scheme in np.intersect1d(x.scheme[x.row == 0], x.scheme[x.row == 1]).tolist():
+                p, q = ((x.row == r) & (x.scheme == scheme) for r in (0, 1))
+                shared = len(np.intersect1d(x.sig[p], x.sig[q]))
+                good |= shared > max(x.spare[p].max(), x.spare[q].max())
+            assert good
+
+
+def test_sketches_lose_no_lot(spark):
+    """More partitions in the mapped plan than the number told."""
+    from lodgemetrics.llm import sketch
+    from lodgemetrics.llm.shared import mix
+
+    rows = spark.range(0, 4000, 1, 97).selectExpr("id % 2500 AS v")
+    test = None
+
+    def run(batches):
+        parts = [mix(b["v"].to_numpy().astype(np.uint64)) for b in batches]
+        yield sketch.partition_sketch(parts, 20)
+
+    for told in (1, 60, 97, 5000):
+        test = sketch.merged(rows.mapInArrow(run, sketch.SCHEMA), 20, told)
+        assert test(mix(np.arange(1500, dtype=np.uint64))).all() and test(mix(np.arange(1500, 2500, dtype=np.uint64))).mean() < 0.1
+
+
+def test_windows_of_rows_behind_an_adaptive_skewed_join(spark):
+    """The sketch and its second pass read a plan whose partitions are only told at run time."""
+    rows = corpus(3)
+    names = spark.createDataFrame([(i, i % 2) for i, _ in rows], "id long, side long")
+    text = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+                                                   "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("1", "1", "-1")):
+            spark.conf.set(k, v)
+        joined = text.repartition(9).join(names, text["doc_id"] == names["id"]).select("doc_id", "text")
+        got = substring_dedup.remove_repeats(joined, window=8, k=3)
+        want = [(i, n, n - len(k), " ".join(k)) for i, n, k in
+                brute_remove(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), 8)]
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
