@@ -15,7 +15,7 @@ from lodgemetrics.llm import sketch
 from lodgemetrics.llm.anchors import long_text_words
 from lodgemetrics.llm.components import components
 from lodgemetrics.llm.shared import (
-    LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, keyed, mix, row_slices, staged, word_bounds)
+    LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, give_back_memory, keyed, mix, row_slices, staged, word_bounds)
 
 #: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed.
 TILE, SMALL = 64, 3
@@ -224,6 +224,7 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     drop_staged(one)
     test = rows.sparkSession.sparkContext.broadcast(repeated)
     del repeated  # up to 64 MB of the driver's memory
+    give_back_memory()
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.uint64)

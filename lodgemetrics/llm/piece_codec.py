@@ -10,7 +10,6 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from sentencepiece import SentencePieceProcessor
 
 from lodgemetrics.llm.shared import SLICE, buffers, keyed, row_slices
 
@@ -30,6 +29,8 @@ class Vocabulary:
     """
 
     def __init__(self, model: bytes):
+        from sentencepiece import SentencePieceProcessor  # only tasks need it
+
         self.library = lib = SentencePieceProcessor(model_proto=model)
         self.size = lib.get_piece_size()
         self.score: dict[str, float] = {}

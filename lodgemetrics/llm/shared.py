@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -42,6 +44,14 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back_memory() -> None:
+    """Return what this process has freed to the system, where its C library can; large arrays leave holes otherwise."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns doc_id, key, text: key tells rows of one doc_id with different texts apart; null text is empty."""
     body = F.coalesce(docs[text], F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,11 +24,11 @@ def width_for(expected: int, cells_each: int = 8) -> int:
 class Repeated:
     """Which hashes may occur twice or more: the least of ROWS cells, so never a miss. At most 2 x 2**WIDEST bits."""
 
-    def __init__(self, width: int, shards: dict[tuple[int, int], bytes]):
+    def __init__(self, width: int, shards: Iterable[tuple[int, int, bytes]]):
         self.width = width
         self.bits = [np.zeros(1 << (width - 3), np.uint8) for _ in range(ROWS)]
         size = 1 << (SHARD - 3)
-        for (line, shard), data in shards.items():
+        for line, shard, data in shards:
             self.bits[line][shard * size:(shard + 1) * size] = np.frombuffer(data, np.uint8)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
@@ -109,8 +109,7 @@ def merged(fragments: DataFrame, width: int, partitions: int) -> Repeated:
     # whatever lots there are: a plan may run with other partitions than the one that was counted
     whole = fragments.withColumn("lot", F.lit(0)).groupBy("line", "shard", "lot")
     fragments = whole.applyInPandas(level(dense), SCHEMA)
-    return Repeated(width, {(r["line"], r["shard"]): bytes(r["more"])
-                            for r in fragments.select("line", "shard", "more").toLocalIterator()})
+    return Repeated(width, (tuple(r) for r in fragments.select("line", "shard", "more").toLocalIterator()))
 
 
 def sketch(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int) -> Repeated:

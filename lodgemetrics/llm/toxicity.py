@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodgemetrics.llm.shared import LETTERS, LOWER, SpanHash, buffers, byte_symbols, keyed, row_slices, word_bounds
+from lodgemetrics.llm.shared import LETTERS, LOWER, SpanHash, buffers, byte_symbols, give_back_memory, keyed, row_slices, word_bounds
 
 #: Hash buckets of terms, terms the model keeps, latent factors.
 BUCKETS, TERMS, FACTORS = 1 << 20, 4096, 8
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held) \
         .groupBy("doc_id").agg(F.max("label").alias("label")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    joined = keyed(docs, doc_id, text).select("doc_id", "text").join(lab, "doc_id")
+    joined = keyed(docs, doc_id, text).select("doc_id", "text").join(F.broadcast(lab), "doc_id")  # at most ``rows`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str
         run, f"doc_id {kind}, label double, terms binary").toLocalIterator()), key=lambda r: r[:2])
     sets = [np.frombuffer(r[1], "<i4").astype(np.int64) for r in got]
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    return fit(row, np.concatenate([np.zeros(0, np.int64), *sets]), np.array([float(r[2] > 0) for r in got]))
+    machine = fit(row, np.concatenate([np.zeros(0, np.int64), *sets]), np.array([float(r[2] > 0) for r in got]))
+    del got, sets, row
+    give_back_memory()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, doc_id: str = "doc_id",
