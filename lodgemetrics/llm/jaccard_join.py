@@ -17,8 +17,9 @@ from lodgemetrics.llm.components import components
 from lodgemetrics.llm.shared import (
     LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, give_back_memory, keyed, mix, row_slices, staged, word_bounds)
 
-#: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed.
-TILE, SMALL = 64, 3
+#: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed; up to
+#: which their signature is not among those that a set may do without.
+TILE, LISTED, RARE = 64, 64, 3
 
 
 class Rule(NamedTuple):
@@ -184,11 +185,12 @@ def _tile_links(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> tuple[n
 
 def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text", thin: bool = False
           ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, counts): ``doc_id, n_shingles, class_id`` of every row; ``a, b`` of each link between classes,
-    once, a < b; and ``class_id, n_links``, for classes with links, how many rows of other classes they are linked to.
+    """(members, links, weights): ``doc_id, n_shingles, class_id`` of every row; ``a, b`` of each link between classes,
+    once, a < b; and ``class_id, weight``, the rows with an id in a class.
 
     A class is a distinct shingle set (class_id 0: empty set or null id, linked with nothing). ``thin`` leaves out links
-    of a verification tile that close a circle, which components do not need; counts are whole in any case.
+    that components do not need: first each class is compared with the least of every signature's group, then only
+    classes that this has not connected. All links of a group of near copies are as many as its size squared.
     """
     rows = keyed(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -242,99 +244,124 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
                  pa.array(np.minimum(found.spare, 30_000).astype(np.int16))], ["sig", "class_id", "n", "scheme", "spare"])
 
     shared = rows.mapInArrow(second_pass, "sig long, class_id long, n int, scheme short, spare short")
-    met = staged(_met(shared, rule), "met")  # small groups as pairs, large ones as they are
+    met = staged(_kept(_groups(shared)), "met")
     test.destroy()
-    pairs = met.filter("b IS NOT NULL").select("a", "b").distinct()
-    clusters = staged(components(_hot_stars(met.filter("b IS NULL"))), "clusters")
-    # pairs of one cluster are compared in its tiles
-    inside = clusters.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    beside = clusters.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    apart = staged(pairs.join(inside, pairs["a"] == inside["x"], "left").join(beside, pairs["b"] == beside["y"], "left")
-                   .filter("cx IS NULL OR cy IS NULL OR cx <> cy").select("a", "b"), "pairs")
-    drop_staged(met)
-    found = staged(_verified(rows, members, clusters, apart, rule, thin), "verified")
-    told = found.filter("n_links IS NOT NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("n_links").alias("n_links"))
-    return members, found.filter("n_links IS NULL").select("a", "b"), told
-
-
-def _met(shared: DataFrame, rule: Rule) -> DataFrame:
-    """``a, b`` of the pairs of classes that share a signature with few others and are of linkable size; and
-    ``a, sig, scheme, spare, m`` (b null) of each class and signature shared by more than SMALL, m of them.
-
-    One exchange by signature, read in order; copies that several tasks sent are counted once. A task holds one
-    signature's group, 20 bytes a class.
+    sets = staged(_sets(rows, members, met, rule), "class-sets")
+    heads = met.groupBy(F.col("sig").alias("s")).agg(F.min("class_id").alias("a"))
+    stars = met.join(heads, met["sig"] == heads["s"]).filter("class_id > a").select("a", F.col("class_id").alias("b")).distinct()
+    first = staged(_paired(sets, stars, rule), "stars")
+    if thin:
+        known = components(first)
+        met = met.join(known, met["class_id"] == known["node"], "left").select(
+            "sig", "class_id", "n", F.coalesce("component", "class_id").alias("side"))
+    else:
+        met = met.select("sig", "class_id", "n", F.col("class_id").alias("side"))
+    open_ = staged(_open_pairs(met, rule), "open")
+    pairs = open_.filter("b IS NOT NULL").select("a", "b").distinct()
+    large = open_.filter("b IS NULL").select(F.col("a").alias("node"), F.col("group").alias("component")).distinct()
+    found = first.unionByName(_paired(sets, pairs, rule)).unionByName(_tiled(sets, large, rule, thin))
+    weights = members.filter(F.col("doc_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("weight"))
+    return members, staged(found if thin else found.distinct(), "verified"), weights
+
+
+def _groups(shared: DataFrame) -> DataFrame:
+    """The rows (sig, class_id, n, scheme, spare) whose signature several classes share, with the number ``m`` of them.
+
+    One exchange by signature, read in order; copies that several tasks sent are counted once.
     """
-    percent, small = rule.percent, SMALL
+    names = ["sig", "class_id", "n", "scheme", "spare"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        seen = np.zeros(0, [("a", np.int64), ("b", np.int64)])
-
-        def solve(columns: tuple) -> Iterator[pa.RecordBatch]:
-            nonlocal seen
-            sig, class_id, n, scheme, spare = columns
-            new = np.ones(len(sig), bool)
-            new[1:] = (np.diff(sig) != 0) | (np.diff(class_id) != 0)
-            sig, class_id, n, scheme, spare = (x[new] for x in columns)
-            first = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0) != 0) if len(sig) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(sig)))
-            of = np.repeat(size, size)
-            left, right = [], []
-            few = np.flatnonzero(of <= small)
-            group = np.repeat(np.arange(len(size)), size)
-            for gap in range(1, small):  # partners so many places behind in the same group
-                i = few[few + gap < len(sig)]
-                i = i[group[i] == group[i + gap]]
-                j = i + gap
-                fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)
-                left.append(class_id[i[fits]])
-                right.append(class_id[j[fits]])
-            a, b = np.concatenate(left), np.concatenate(right)
-            pairs = np.zeros(len(a), seen.dtype)
-            pairs["a"], pairs["b"] = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(pairs)
-            fresh = pairs[~np.isin(pairs, seen)] if len(seen) else pairs
-            seen = np.union1d(seen, fresh) if len(seen) < 2_000_000 else fresh  # what went out before, as far as held
-            yield _met_batch(fresh["a"], b=fresh["b"])
-            hot = np.flatnonzero(of > small)
-            yield _met_batch(class_id[hot], sig[hot], scheme[hot], spare[hot], of[hot])
+    def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
+        sig, class_id = columns[:2]
+        new = np.ones(len(sig), bool)
+        new[1:] = (np.diff(sig) != 0) | (np.diff(class_id) != 0)
+        columns = [x[new] for x in columns]
+        size = _sizes(columns[0])
+        of = np.repeat(size, size)
+        return pa.RecordBatch.from_arrays([pa.array(x[of > 1]) for x in (*columns, of)], [*names, "m"])
 
-        for batch in batches:
-            columns = tuple(batch[c].to_numpy() for c in ("sig", "class_id", "n", "scheme", "spare"))
-            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the batch's last group may go on
-            if last > 0:
-                held.append(tuple(x[:last] for x in columns))
-                yield from solve(tuple(np.concatenate(x) for x in zip(*held)))
-                held = []
-            elif held and held[-1][0][-1] != columns[0][0]:
-                yield from solve(tuple(np.concatenate(x) for x in zip(*held)))
-                held = []
-            held.append(tuple(x[last:] for x in columns))
-        if held:
-            yield from solve(tuple(np.concatenate(x) for x in zip(*held)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, names):
+            yield solve(columns)
 
     return shared.repartition("sig").sortWithinPartitions("sig", "class_id").mapInArrow(
-        run, "a long, b long, sig long, scheme short, spare short, m long")
+        run, "sig long, class_id long, n int, scheme short, spare short, m long")
 
 
-def _met_batch(a: np.ndarray, sig=None, scheme=None, spare=None, m=None, b=None) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.nulls(len(a), k) if x is None else pa.array(x, k)
-                                       for x, k in zip((a, b, sig, scheme, spare, m), kinds)],
-                                      ["a", "b", "sig", "scheme", "spare", "m"])
+def _sizes(key: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
+    return np.diff(np.append(starts, len(key)))
 
 
-def _hot_stars(hot: DataFrame) -> DataFrame:
-    """``a, b``: classes of large groups joined to the least of their group.
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, such that no group of the first column is cut; a group's rows are held together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[c].to_numpy() for c in names]
+        last = int(np.searchsorted(columns[0], columns[0][-1]))  # the batch's last group may go on
+        if held and (last > 0 or held[-1][0][-1] != columns[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [x[:last] for x in columns])]
+            held = []
+        elif last > 0:
+            yield [x[:last] for x in columns]
+        held.append([x[last:] for x in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _kept(groups: DataFrame) -> DataFrame:
+    """``sig, class_id, n``: the groups, less the ``spare`` most frequent signatures that a class has in a scheme.
+
+    Linkable sets share more signatures than either may spare, and the rarest of the shared ones is among the spare ones
+    of neither. So a passage that many documents hold does not make a group of them by the few signatures that
+    consist of it alone.
+    """
+    rank = F.row_number().over(Window.partitionBy("class_id", "scheme").orderBy(F.desc("m"), F.desc("sig")))
+    frequent = groups.filter(F.col("m") > RARE).withColumn("r", rank).filter(F.col("r") > F.col("spare"))
+    return groups.filter(F.col("m") <= RARE).select("sig", "class_id", "n").unionByName(frequent.select("sig", "class_id", "n"))
+
 
-    A class first gives up its ``spare`` most frequent signatures of a scheme: linkable sets share more than that, and
-    the rarest of the shared ones is among the spare ones of neither. So a passage that many documents hold does not
-    make a group of them by the few signatures that consist of it alone.
+def _open_pairs(met: DataFrame, rule: Rule) -> DataFrame:
+    """Of each group (sig, class_id, n, side) what is still to compare: ``a, b`` of the classes of linkable size on
+    different sides, or, of a group of more than LISTED classes, ``a, group`` (b null). The least class of a group has
+    been compared with the others. Groups of the same classes share their number.
     """
-    rank = F.row_number().over(Window.partitionBy("a", "scheme").orderBy(F.desc("m"), F.desc("sig")))
-    kept = hot.withColumn("r", rank).filter(F.col("r") > F.col("spare")).select("a", "sig")
-    heads = kept.groupBy(F.col("sig").alias("s")).agg(F.min("a").alias("b"))
-    return kept.join(heads, kept["sig"] == heads["s"]).select("a", "b").filter("a <> b").distinct()
+    percent, listed = rule.percent, LISTED
+
+    def solve(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, class_id, n, side = columns
+        size = _sizes(sig)
+        of, group = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
+        head = np.append(True, np.diff(sig) != 0)
+        low = np.minimum.reduceat(side, np.flatnonzero(head))
+        mixed = np.bincount(group, side != low[group]) > 0
+        use = ~head & mixed[group]
+        sig, class_id, n, side, of, group = (x[use] for x in (sig, class_id, n, side, of, group))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        few = np.flatnonzero(of <= listed)
+        for gap in range(1, min(listed, int(of[few].max(initial=1)))):  # partners so many places behind in the same group
+            i = few[few + gap < len(sig)]
+            i = i[group[i] == group[i + gap]]
+            j = i + gap
+            fits = (side[i] != side[j]) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]))
+            left.append(class_id[i[fits]])
+            right.append(class_id[j[fits]])
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+        many = np.flatnonzero(of > listed)
+        names = np.zeros(len(size), np.uint64)
+        np.add.at(names, group[many], mix(class_id[many].view(np.uint64)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(pairs[:, 0], class_id[many])), pa.array([*pairs[:, 1].tolist(), *[None] * len(many)], pa.int64()),
+             pa.array([*[None] * len(pairs), *names[group[many]].view(np.int64).tolist()], pa.int64())], ["a", "b", "group"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, ["sig", "class_id", "n", "side"]):
+            yield from solve(columns)
+
+    return met.repartition("sig").sortWithinPartitions("sig", "class_id").mapInArrow(run, "a long, b long, group long")
 
 
 def _first_of(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -355,15 +382,10 @@ def _once_per_row(row: np.ndarray, sig: np.ndarray, fresh: np.ndarray) -> np.nda
     return sig[new]
 
 
-def _verified(rows: DataFrame, members: DataFrame, clusters: DataFrame, pairs: DataFrame, rule: Rule, thin: bool) -> DataFrame:
-    """``a, b`` of links, and ``a, n_links`` of how many rows a class is linked to by one tile or pair.
-
-    Pairs are verified one by one. A cluster's classes are dealt, by size, into blocks of about TILE; each two blocks
-    that have linkable sizes are a task's tile. The text of one member stands for a class.
-    """
-    heads = members.groupBy("class_id").agg(F.min("key").alias("member"), F.count("doc_id").alias("weight"),
-                                            F.first("n_shingles").alias("n"))
-    wanted = clusters.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+def _sets(rows: DataFrame, members: DataFrame, met: DataFrame, rule: Rule) -> DataFrame:
+    """``class_id, n, data`` of the classes in ``met``: their shingles, rising. The text of one member stands for a class."""
+    wanted = met.select(F.col("class_id").alias("node")).distinct()
+    heads = members.groupBy("class_id").agg(F.min("key").alias("member"), F.first("n_shingles").alias("n"))
     head = heads.join(wanted, heads["class_id"] == wanted["node"], "left_semi")
     texts = head.join(rows.select(F.col("key").alias("member"), "text"), "member").dropDuplicates(["class_id"])
 
@@ -371,17 +393,19 @@ def _verified(rows: DataFrame, members: DataFrame, clusters: DataFrame, pairs: D
         for batch in batches:
             data = [found.values[i:j].tobytes() for _, _, found in set_slices(batch["text"], rule.n)
                     for i, j in zip(found.first[:-1], found.first[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("class_id", "weight", "n")), pa.array(data, pa.binary())],
-                                             ["class_id", "weight", "n", "data"])
+            yield pa.RecordBatch.from_arrays([batch["class_id"], batch["n"], pa.array(data, pa.binary())],
+                                             ["class_id", "n", "data"])
 
-    sets = staged(texts.select("class_id", "weight", "n", "text").mapInArrow(
-        to_set, "class_id long, weight long, n long, data binary"), "class-sets")
-    return _tiled(sets, clusters, rule, thin).unionByName(_paired(sets, pairs, rule))
+    return texts.select("class_id", "n", "text").mapInArrow(to_set, "class_id long, n long, data binary")
 
 
 def _paired(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    one = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("weight").alias("wa"), F.col("data").alias("da")), "a")
-    both = one.join(sets.select(F.col("class_id").alias("b"), F.col("weight").alias("wb"), F.col("data").alias("db")), "b")
+    """The pairs (a, b) that are links, compared one by one; pairs of other sizes go before sets are sent."""
+    sized = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("n").alias("na")), "a") \
+        .join(sets.select(F.col("class_id").alias("b"), F.col("n").alias("nb")), "b") \
+        .filter(100 * F.least("na", "nb") >= rule.percent * F.greatest("na", "nb")).select("a", "b")
+    one = sized.join(sets.select(F.col("class_id").alias("a"), F.col("data").alias("da")), "a")
+    both = one.join(sets.select(F.col("class_id").alias("b"), F.col("data").alias("db")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,36 +414,26 @@ def _paired(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 shared = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
                 linked.append(100 * shared >= rule.percent * (len(x) + len(y) - shared))
-            use = batch.filter(pa.array(linked, pa.bool_()))
-            yield from _link_batches(use["a"], use["b"], use["wa"], use["wb"])
-
-    return both.select("a", "b", "wa", "wb", "da", "db").mapInArrow(run, "a long, b long, n_links long")
-
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-def _link_batches(a: pa.Array, b: pa.Array, wa: pa.Array, wb: pa.Array) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b", "n_links"]
-    nothing = pa.nulls(len(a), pa.int64())
-    yield pa.RecordBatch.from_arrays([a, b, nothing], names)
-    yield pa.RecordBatch.from_arrays([a, nothing, wb], names)
-    yield pa.RecordBatch.from_arrays([b, nothing, wa], names)
+    return both.select("a", "b", "da", "db").mapInArrow(run, "a long, b long")
 
 
 def _tiled(sets: DataFrame, clusters: DataFrame, rule: Rule, thin: bool) -> DataFrame:
-    sized = clusters.groupBy("component").agg(F.count("*").alias("size")) \
-        .withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
-    placed = clusters.join(sized, "component").select(F.col("node").alias("class_id"), "component", "blocks")
-    own = sets.join(placed, "class_id")
+    """``a, b`` of links within clusters (node, component). A cluster's classes are dealt, by size, into blocks of about
+    TILE; each two blocks of linkable sizes are a task's tile. ``thin`` leaves out a tile's links that close a circle."""
+    sized = clusters.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size"))
+    own = clusters.join(sized, clusters["component"] == sized["c"]).withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")) \
+        .join(sets.select("class_id", "n"), F.col("node") == sets["class_id"]).select("class_id", "component", "blocks", "n")
     by_size = F.percent_rank().over(Window.partitionBy("component").orderBy("n", "class_id"))
-    order = own.select("class_id", by_size.alias("at"))
-    own = own.join(order, "class_id").withColumn("block", F.least(F.floor(F.col("at") * F.col("blocks")), F.col("blocks") - 1).cast("int"))
+    own = own.withColumn("block", F.least(F.floor(by_size * F.col("blocks")), F.col("blocks") - 1).cast("int"))
     spans = own.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = spans.toDF("component", "left", "low", "high"), spans.toDF("c2", "right", "low2", "high2")
-    near = one.join(two, (one["component"] == two["c2"]) & (F.col("left") <= F.col("right"))
+    tile = one.join(two, (one["component"] == two["c2"]) & (F.col("left") <= F.col("right"))
                     & (100 * F.col("high") >= rule.percent * F.col("low2")) & (100 * F.col("high2") >= rule.percent * F.col("low")))
-    tile = near.select("component", "left", "right")
-    sides = tile.withColumn("block", F.explode(F.array_distinct(F.array("left", "right"))))
-    tiles = own.select("component", "block", "class_id", "weight", "data").join(sides, ["component", "block"]) \
-        .select("component", "left", "right", "class_id", "block", "weight", "data")
+    sides = tile.select("component", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    tiles = own.select("component", "block", "class_id").join(sides, ["component", "block"]) \
+        .join(sets.select("class_id", "data"), "class_id").select("component", "left", "right", "class_id", "block", "data")
 
     def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
         a, b = (frame[frame["block"] == k] for k in key[1:])
@@ -427,15 +441,10 @@ def _tiled(sets: DataFrame, clusters: DataFrame, rule: Rule, thin: bool) -> Data
         if key[1] == key[2]:
             i, j = i[i < j], j[i < j]
         ia, ib = a["class_id"].to_numpy()[i], b["class_id"].to_numpy()[j]
-        wa, wb = a["weight"].to_numpy()[i], b["weight"].to_numpy()[j]
-        count = pd.DataFrame({"a": np.concatenate([ia, ib]), "n_links": np.concatenate([wb, wa])}).groupby("a", as_index=False).sum()
         kept = _forest(ia, ib) if thin else np.arange(len(ia))
-        low, high = np.minimum(ia, ib)[kept], np.maximum(ia, ib)[kept]
-        return pd.DataFrame({"a": np.concatenate([low, count["a"].to_numpy(np.int64)]),
-                             "b": pd.array([*high.tolist(), *[None] * len(count)], "Int64"),
-                             "n_links": pd.array([*[None] * len(low), *count["n_links"].tolist()], "Int64")})
+        return pd.DataFrame({"a": np.minimum(ia, ib)[kept], "b": np.maximum(ia, ib)[kept]})
 
-    return tiles.groupBy("component", "left", "right").applyInPandas(solve, "a long, b long, n_links long")
+    return tiles.groupBy("component", "left", "right").applyInPandas(solve, "a long, b long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -465,7 +474,7 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     null id (component null). Equal sets are linked, whatever their texts; repeated rows are answered each; an empty
     table gives no rows; other columns are ignored. ``count_links`` adds ``n_links``, the other rows a row is linked to.
     """
-    members, found, counts = links(docs, rule, doc_id, text, thin=True)
+    members, found, weights = links(docs, rule, doc_id, text, thin=not count_links)
     group = components(found)
     least = members.filter((F.col("class_id") != 0) & F.col("doc_id").isNotNull()) \
         .groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("own"))
@@ -476,7 +485,9 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     out = members.join(named, members["class_id"] == named["c"], "left")
     columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
     if count_links:
-        counts = counts.toDF("linked", "n_links")
+        both = found.select(F.col("a").alias("linked"), F.col("b").alias("other")).unionByName(
+            found.select(F.col("b").alias("linked"), F.col("a").alias("other")))
+        counts = both.join(weights, both["other"] == weights["class_id"]).groupBy("linked").agg(F.sum("weight").alias("n_links"))
         out = out.join(counts, out["class_id"] == counts["linked"], "left")
         mine = F.col("doc_id").isNotNull() & F.col("own").isNotNull()
         columns.append(F.when(mine, F.coalesce("n_links", F.lit(0)) + F.col("own") - 1).otherwise(0).cast("long").alias("n_links"))

@@ -126,6 +126,7 @@ def brute_groups(rows, n, percent):
 @pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
 def test_similar_groups(spark, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "LISTED", 6)
     rng = random.Random(9)
     rows = corpus(4)
     base = rows[0][1].split(" ") + [f"w{k}" for k in range(60)]
@@ -170,9 +171,10 @@ def brute_links(rows, n, percent):
     return sets, linked
 
 
-@pytest.mark.parametrize("small, tile", [(16, 64), (2, 4), (3, 7)])
-def test_every_link_and_its_count(spark, monkeypatch, small, tile):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
+@pytest.mark.parametrize("rare, listed, tile", [(3, 64, 64), (2, 4, 4), (100, 3, 7)])
+def test_every_link_and_its_count(spark, monkeypatch, rare, listed, tile):
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
+    monkeypatch.setattr(jaccard_join, "LISTED", listed)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     rng = random.Random(5)
     rows = corpus(6)
@@ -186,7 +188,7 @@ def test_every_link_and_its_count(spark, monkeypatch, small, tile):
     rows += [(len(rows) + k, rows[-1][1]) for k in range(3)]
     rule = jaccard_join.Rule(5, 80)
     sets, linked = brute_links(rows, 5, 80)
-    members, found, counts = jaccard_join.links(frame(spark, rows), rule)
+    members, found, _ = jaccard_join.links(frame(spark, rows), rule)
     of = {r["doc_id"]: r["class_id"] for r in members.collect()}
     got = [(r["a"], r["b"]) for r in found.collect()]
     assert len(got) == len(set(got)) and all(a < b for a, b in got)
