@@ -193,24 +193,73 @@ def find_slabs(rows: DataFrame, spans: DataFrame, window: int, slab: int) -> Dat
     return with_lists(rows, spans, "start", "n", "lead").mapInArrow(run, BLOCK_SCHEMA.format(kind))
 
 
+#: Blocks of one anchor hash that a task reads in order; anchors in more of them are counted by joins.
+CROWDED = 100_000
+_KNOWN = ["doc_id", "key", "start", "n", "lead", "gram", "copies", "kinds", "first"]
+
+
 def sorted_out(found: DataFrame, tag: str) -> DataFrame:
     """Of the staged blocks ``found`` (deleted here) those that matter, staged: ``copies`` of the whole block, ``kinds``
     of different blocks at its anchor hash (1 where none of them is single, so that none has anything to find), and
-    ``first``, true for one row of each block.
+    ``first``, true for one row of each block. Blocks whose anchor stands nowhere else are left out.
 
-    Counts are combined before each shuffle; joins are plain, so that the engine can split an anchor or a block that
-    stands in a large share of all texts.
+    Blocks go once to the task of their anchor hash and are read there in order. Anchors in more than CROWDED blocks, of
+    which there are at most the number of blocks divided by that, are told apart first and take plain joins, which the
+    engine can split.
     """
+    crowded = staged(found.groupBy("gram").count().filter(F.col("count") > CROWDED).select(F.col("gram").alias("g")), tag + "-crowded")
+    hot = F.broadcast(crowded)
+    rest = found.join(hot, found["gram"] == hot["g"], "left_anti")
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        gram, one, two = (table[c].to_numpy() for c in ("gram", "one", "two"))
+        new_gram = np.append(True, np.diff(gram) != 0)
+        new_block = new_gram | np.append(True, (np.diff(one) != 0) | (np.diff(two) != 0))
+        block = np.cumsum(new_block) - 1
+        copies = np.bincount(block)
+        of_block = np.flatnonzero(new_gram[new_block])  # each anchor's first block
+        kinds = np.diff(np.append(of_block, len(copies)))
+        kinds = np.where(np.minimum.reduceat(copies, of_block) == 1, kinds, 1)
+        at = np.cumsum(new_gram) - 1
+        use = np.bincount(at)[at] > 1
+        out = table.select(_KNOWN[:6]).append_column("copies", pa.array(copies[block])).append_column(
+            "kinds", pa.array(kinds[at])).append_column("first", pa.array(new_block))
+        yield from out.filter(pa.array(use)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram = batch["gram"].to_numpy()
+            last = int(np.searchsorted(gram, gram[-1]))  # the batch's last anchor may go on
+            if held and (last > 0 or held[-1]["gram"][-1].as_py() != gram[0]):
+                yield from solve([*held, batch.slice(0, last)])
+                held = []
+            elif last > 0:
+                yield from solve([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield from solve(held)
+
+    ordered = rest.select(*_KNOWN[:6], "one", "two", "at").repartition("gram").sortWithinPartitions("gram", "one", "two", "at")
+    whole = ordered.mapInArrow(run, f"doc_id {kind}, key long, start long, n long, lead long, gram long, copies long, kinds long, first boolean")
+    out = staged(whole.unionByName(_joined(found.join(hot, found["gram"] == hot["g"], "left_semi"))), tag)
+    drop_staged(found)
+    return out
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """The same for crowded anchors: counts combine before each shuffle, and joins may be split."""
     same = found.groupBy("gram", "one", "two").agg(F.count("*").alias("copies"), F.min("at").alias("least"))
     kinds = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total"), F.min("copies").alias("least_copies")) \
         .filter(F.col("total") > 1).select("gram", F.when(F.col("least_copies") == 1, F.col("kinds")).otherwise(1).alias("kinds"))
     known = same.join(kinds, "gram")
     known = known.select(F.col("gram").alias("g"), F.col("one").alias("o"), F.col("two").alias("t"), "copies", "least", "kinds")
     both = found.join(known, (found["gram"] == known["g"]) & (found["one"] == known["o"]) & (found["two"] == known["t"]))
-    out = staged(both.select("doc_id", "key", "start", "n", "lead", "gram", "copies", "kinds",
-                             (F.col("at") == F.col("least")).alias("first")), tag)
-    drop_staged(found)
-    return out
+    return both.select(*_KNOWN[:6], "copies", "kinds", (F.col("at") == F.col("least")).alias("first"))
 
 
 def with_lists(rows: DataFrame, spans: DataFrame, *columns: str, how: str = "inner") -> DataFrame:

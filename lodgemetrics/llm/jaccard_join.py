@@ -17,9 +17,11 @@ from lodgemetrics.llm.components import components
 from lodgemetrics.llm.shared import (
     LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, give_back_memory, keyed, mix, row_slices, staged, word_bounds)
 
-#: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed; up to
-#: which their signature is not among those that a set may do without.
-TILE, LISTED, RARE = 64, 64, 3
+#: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed; one
+#: part more than differences need for so many differences.
+TILE, LISTED, EXTRA = 64, 64, 8
+#: Rounds in which one class of every signature's group is compared with the others, at most.
+ROUNDS = 8
 
 
 class Rule(NamedTuple):
@@ -120,7 +122,7 @@ def signed(sets: Sets, rule: Rule = Rule()) -> Signed:
     for scheme in (band, band + 1):
         most = 2 * (edges[scheme + 1] - 1)
         k = most * (100 - rule.percent) // (100 + rule.percent)
-        parts = np.where(k == 0, 1, k // 2 + 1 + np.maximum(1, k // 16))
+        parts = np.where(k == 0, 1, k // 2 + 1 + np.maximum(1, k // EXTRA))
         cell0 = np.concatenate([[0], np.cumsum(3 * parts)])
         spread = mix(sets.values ^ mix(scheme.astype(np.uint64) + np.uint64(77))[owner])
         part = ((spread >> np.uint64(32)) % parts[owner].astype(np.uint64)).astype(np.int64)
@@ -189,8 +191,9 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     once, a < b; and ``class_id, weight``, the rows with an id in a class.
 
     A class is a distinct shingle set (class_id 0: empty set or null id, linked with nothing). ``thin`` leaves out links
-    that components do not need: first each class is compared with the least of every signature's group, then only
-    classes that this has not connected. All links of a group of near copies are as many as its size squared.
+    that components do not need: in rounds, some class of every signature's group is compared with the others, until few
+    new links come of it; then only classes that are still apart are compared each with each, so no link between them
+    is missed. All links of a group of near copies are as many as its size squared.
     """
     rows = keyed(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -247,18 +250,24 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     met = staged(_kept(_groups(shared)), "met")
     test.destroy()
     sets = staged(_sets(rows, members, met, rule), "class-sets")
-    heads = met.groupBy(F.col("sig").alias("s")).agg(F.min("class_id").alias("a"))
-    stars = met.join(heads, met["sig"] == heads["s"]).filter("class_id > a").select("a", F.col("class_id").alias("b")).distinct()
-    first = staged(_paired(sets, stars, rule), "stars")
-    if thin:
+    rest = met.select("sig", "class_id", "n", F.col("class_id").alias("side"))
+    first = None
+    for r in range(ROUNDS):
+        dealt = staged(_stars(rest, r, rule), "stars")
+        stars = staged(dealt.filter("b IS NOT NULL").select("a", "b").distinct(), "star-pairs")
+        fresh = staged(_paired(sets, stars, rule), "links")
+        first = fresh if first is None else first.unionByName(fresh)
+        rest = dealt.filter("b IS NULL").select("sig", F.col("a").alias("class_id"), "n", "side")
+        if not thin:
+            break
         known = components(first)
-        met = met.join(known, met["class_id"] == known["node"], "left").select(
+        rest = rest.join(known, rest["class_id"] == known["node"], "left").select(
             "sig", "class_id", "n", F.coalesce("component", "class_id").alias("side"))
-    else:
-        met = met.select("sig", "class_id", "n", F.col("class_id").alias("side"))
-    open_ = staged(_open_pairs(met, rule), "open")
+        if fresh.count() * 8 < stars.count() or not stars.count():
+            break
+    open_ = staged(_open_pairs(rest, rule), "open")
     pairs = open_.filter("b IS NOT NULL").select("a", "b").distinct()
-    large = open_.filter("b IS NULL").select(F.col("a").alias("node"), F.col("group").alias("component")).distinct()
+    large = open_.filter("b IS NULL").select(F.col("a").alias("node"), F.col("group").alias("component"), "side").distinct()
     found = first.unionByName(_paired(sets, pairs, rule)).unionByName(_tiled(sets, large, rule, thin))
     weights = members.filter(F.col("doc_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("weight"))
     return members, staged(found if thin else found.distinct(), "verified"), weights
@@ -317,29 +326,64 @@ def _kept(groups: DataFrame) -> DataFrame:
 
     Linkable sets share more signatures than either may spare, and the rarest of the shared ones is among the spare ones
     of neither. So a passage that many documents hold does not make a group of them by the few signatures that
-    consist of it alone.
+    consist of it alone. Signatures of one class alone are gone before, and the rarest.
     """
     rank = F.row_number().over(Window.partitionBy("class_id", "scheme").orderBy(F.desc("m"), F.desc("sig")))
-    frequent = groups.filter(F.col("m") > RARE).withColumn("r", rank).filter(F.col("r") > F.col("spare"))
-    return groups.filter(F.col("m") <= RARE).select("sig", "class_id", "n").unionByName(frequent.select("sig", "class_id", "n"))
+    return groups.withColumn("r", rank).filter(F.col("r") > F.col("spare")).select("sig", "class_id", "n")
+
+
+def _mixed(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows (sig, class_id, n, side) of groups with several sides, and the first row of each such group."""
+    sig, _, _, side = columns
+    size = _sizes(sig)
+    first = np.cumsum(size) - size
+    group = np.repeat(np.arange(len(size)), size)
+    mixed = (np.bincount(group, side != side[first][group], len(size)) > 0)[group] if len(sig) else np.zeros(0, bool)
+    columns = [x[mixed] for x in columns]
+    size = _sizes(columns[0])
+    return columns, np.cumsum(size) - size
+
+
+def _stars(rest: DataFrame, turn: int, rule: Rule) -> DataFrame:
+    """Of the groups (sig, class_id, n, side) with several sides: ``a, b`` of one class, another one each turn, with those
+    of other sides and linkable size, and the groups' rows ``a, sig, n, side`` (b null)."""
+    percent = rule.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_groups(batches, ["sig", "class_id", "n", "side"]):
+            (sig, class_id, n, side), first = _mixed(columns)
+            if not len(sig):
+                continue
+            size = _sizes(sig)
+            group = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((mix(class_id.view(np.uint64) + np.uint64(turn)), group))
+            head = order[first][group]
+            fits = (side != side[head]) & (100 * np.minimum(n, n[head]).astype(np.int64) >= percent * np.maximum(n, n[head]))
+            a, b = np.minimum(class_id, class_id[head])[fits], np.maximum(class_id, class_id[head])[fits]
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            gone, none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(sig), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), gone, gone.cast(pa.int32()), gone],
+                                             ["a", "b", "sig", "n", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(class_id), none, pa.array(sig), pa.array(n), pa.array(side)],
+                                             ["a", "b", "sig", "n", "side"])
+
+    return rest.repartition("sig").sortWithinPartitions("sig", "class_id").mapInArrow(
+        run, "a long, b long, sig long, n int, side long")
 
 
 def _open_pairs(met: DataFrame, rule: Rule) -> DataFrame:
     """Of each group (sig, class_id, n, side) what is still to compare: ``a, b`` of the classes of linkable size on
-    different sides, or, of a group of more than LISTED classes, ``a, group`` (b null). The least class of a group has
-    been compared with the others. Groups of the same classes share their number.
+    different sides, or, of a group with more than LISTED of them a class, ``a, group, side`` (b null). Groups of the same
+    classes share their number.
     """
     percent, listed = rule.percent, LISTED
 
     def solve(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, class_id, n, side = columns
+        columns, _ = _mixed(columns)
         sig, class_id, n, side = columns
         size = _sizes(sig)
         of, group = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
-        head = np.append(True, np.diff(sig) != 0)
-        low = np.minimum.reduceat(side, np.flatnonzero(head))
-        mixed = np.bincount(group, side != low[group]) > 0
-        use = ~head & mixed[group]
-        sig, class_id, n, side, of, group = (x[use] for x in (sig, class_id, n, side, of, group))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         few = np.flatnonzero(of <= listed)
         for gap in range(1, min(listed, int(of[few].max(initial=1)))):  # partners so many places behind in the same group
@@ -350,18 +394,33 @@ def _open_pairs(met: DataFrame, rule: Rule) -> DataFrame:
             left.append(class_id[i[fits]])
             right.append(class_id[j[fits]])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-        many = np.flatnonzero(of > listed)
+        tiled = []
+        for g in np.unique(group[of > listed]).tolist():
+            own = np.flatnonzero(group == g)
+            sides, at, count = np.unique(side[own], return_inverse=True, return_counts=True)
+            if len(own) ** 2 - (count.astype(np.int64) ** 2).sum() > 2 * listed * len(own):
+                tiled.append(own)
+                continue
+            for i in own[at != np.argmax(count)]:  # the few that are not on the largest side, with all others
+                j = own[(side[own] != side[i])]
+                j = j[100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j])]
+                few_pairs = np.stack([np.minimum(class_id[j], class_id[i]), np.maximum(class_id[j], class_id[i])], axis=1)
+                pairs = np.concatenate([pairs, few_pairs])
+        pairs = np.unique(pairs, axis=0)
+        many = np.concatenate([np.zeros(0, np.int64), *tiled])
         names = np.zeros(len(size), np.uint64)
         np.add.at(names, group[many], mix(class_id[many].view(np.uint64)))
+        blank = [None] * len(pairs)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(pairs[:, 0], class_id[many])), pa.array([*pairs[:, 1].tolist(), *[None] * len(many)], pa.int64()),
-             pa.array([*[None] * len(pairs), *names[group[many]].view(np.int64).tolist()], pa.int64())], ["a", "b", "group"])
+             pa.array([*blank, *names[group[many]].view(np.int64).tolist()], pa.int64()),
+             pa.array([*blank, *side[many].tolist()], pa.int64())], ["a", "b", "group", "side"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, ["sig", "class_id", "n", "side"]):
             yield from solve(columns)
 
-    return met.repartition("sig").sortWithinPartitions("sig", "class_id").mapInArrow(run, "a long, b long, group long")
+    return met.repartition("sig").sortWithinPartitions("sig", "class_id").mapInArrow(run, "a long, b long, group long, side long")
 
 
 def _first_of(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -420,11 +479,11 @@ def _paired(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _tiled(sets: DataFrame, clusters: DataFrame, rule: Rule, thin: bool) -> DataFrame:
-    """``a, b`` of links within clusters (node, component). A cluster's classes are dealt, by size, into blocks of about
+    """``a, b`` of links between sides within clusters (node, component, side). A cluster's classes are dealt, by size, into blocks of about
     TILE; each two blocks of linkable sizes are a task's tile. ``thin`` leaves out a tile's links that close a circle."""
     sized = clusters.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size"))
     own = clusters.join(sized, clusters["component"] == sized["c"]).withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")) \
-        .join(sets.select("class_id", "n"), F.col("node") == sets["class_id"]).select("class_id", "component", "blocks", "n")
+        .join(sets.select("class_id", "n"), F.col("node") == sets["class_id"]).select("class_id", "component", "side", "blocks", "n")
     by_size = F.percent_rank().over(Window.partitionBy("component").orderBy("n", "class_id"))
     own = own.withColumn("block", F.least(F.floor(by_size * F.col("blocks")), F.col("blocks") - 1).cast("int"))
     spans = own.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -432,14 +491,16 @@ def _tiled(sets: DataFrame, clusters: DataFrame, rule: Rule, thin: bool) -> Data
     tile = one.join(two, (one["component"] == two["c2"]) & (F.col("left") <= F.col("right"))
                     & (100 * F.col("high") >= rule.percent * F.col("low2")) & (100 * F.col("high2") >= rule.percent * F.col("low")))
     sides = tile.select("component", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    tiles = own.select("component", "block", "class_id").join(sides, ["component", "block"]) \
-        .join(sets.select("class_id", "data"), "class_id").select("component", "left", "right", "class_id", "block", "data")
+    tiles = own.select("component", "block", "class_id", "side").join(sides, ["component", "block"]) \
+        .join(sets.select("class_id", "data"), "class_id").select("component", "left", "right", "class_id", "side", "block", "data")
 
     def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
         a, b = (frame[frame["block"] == k] for k in key[1:])
         i, j = _tile_links(*([np.frombuffer(d, np.uint64) for d in x["data"]] for x in (a, b)), rule)
         if key[1] == key[2]:
             i, j = i[i < j], j[i < j]
+        apart = a["side"].to_numpy()[i] != b["side"].to_numpy()[j]
+        i, j = i[apart], j[apart]
         ia, ib = a["class_id"].to_numpy()[i], b["class_id"].to_numpy()[j]
         kept = _forest(ia, ib) if thin else np.arange(len(ia))
         return pd.DataFrame({"a": np.minimum(ia, ib)[kept], "b": np.maximum(ia, ib)[kept]})

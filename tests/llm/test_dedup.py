@@ -74,6 +74,18 @@ def test_byte_windows(spark, monkeypatch, hot):
         assert all(a["end"] < b["start"] for a, b in zip(r["removed"], r["removed"][1:]))
 
 
+@pytest.mark.parametrize("crowded", [5, 25])
+def test_crowded_anchors(spark, monkeypatch, crowded):
+    from lodgemetrics.llm import anchors
+
+    monkeypatch.setattr(anchors, "CROWDED", crowded)
+    rows = corpus(5) + [(900 + i, corpus(5)[0][1]) for i in range(30)]
+    got = substring_dedup.remove_repeats(frame(spark, rows), window=8, k=3)
+    want = [(i, n, n - len(k), " ".join(k)) for i, n, k in
+            brute_remove(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), 8)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.remove_repeats(none).count() == 0
@@ -171,9 +183,8 @@ def brute_links(rows, n, percent):
     return sets, linked
 
 
-@pytest.mark.parametrize("rare, listed, tile", [(3, 64, 64), (2, 4, 4), (100, 3, 7)])
-def test_every_link_and_its_count(spark, monkeypatch, rare, listed, tile):
-    monkeypatch.setattr(jaccard_join, "RARE", rare)
+@pytest.mark.parametrize("listed, tile", [(64, 64), (3, 7)])
+def test_every_link_and_its_count(spark, monkeypatch, listed, tile):
     monkeypatch.setattr(jaccard_join, "LISTED", listed)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     rng = random.Random(5)
