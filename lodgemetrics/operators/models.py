@@ -1,20 +1,20 @@
-"""Cancellation and rate models on Spark ML."""
+"""Cancellation and rate models: histogram forests, and boosted trees and isotonic steps of Spark ML."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
 from lodgemetrics.functions.distribution import describe_by
 from lodgemetrics.functions.exprs import ratio
+from lodgemetrics.operators.policy import roc_auc
+from lodgemetrics.operators.trees import ForestModel, fit_forest
 from lodgemetrics.schema import LEAKAGE_COLUMNS, SCORE_CATEGORICAL, SCORE_NUMERIC
 from lodgemetrics.session import cut_lineage
 
@@ -58,12 +58,11 @@ def stratified_split(df: DataFrame, seed: int = 42, test: float = 0.2, label: st
 
 
 def _encoded(learner) -> Pipeline:
+    """Categories as numbers, which trees split as sets of levels."""
     indexed = [f"{c}_ix" for c in SCORE_CATEGORICAL]
-    onehot = [f"{c}_oh" for c in SCORE_CATEGORICAL]
     return Pipeline(stages=[
         StringIndexer(inputCols=SCORE_CATEGORICAL, outputCols=indexed, handleInvalid="keep"),
-        OneHotEncoder(inputCols=indexed, outputCols=onehot, handleInvalid="keep"),
-        VectorAssembler(inputCols=[*onehot, *SCORE_NUMERIC], outputCol="features", handleInvalid="keep"), learner])
+        VectorAssembler(inputCols=[*indexed, *SCORE_NUMERIC], outputCol="features", handleInvalid="keep"), learner])
 
 
 def _class_weights(train: DataFrame) -> DataFrame:
@@ -72,32 +71,42 @@ def _class_weights(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.when(F.col(LABEL) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
 
 
-def fit_rf(train: DataFrame, trees: int = 200, depth: int = 12, seed: int = 42) -> PipelineModel:
-    learner = RandomForestClassifier(labelCol=LABEL, featuresCol="features", weightCol="weight", numTrees=trees,
-                                     maxDepth=depth, seed=seed)
-    return _encoded(learner).fit(cut_lineage(_class_weights(train)))
+def fit_rf(train: DataFrame, trees: int = 200, depth: int = 12, least: int = 20, seed: int = 42) -> ForestModel:
+    """Histogram forest with balanced classes, grown level by level (see ``trees``)."""
+    return fit_forest(train, SCORE_CATEGORICAL, SCORE_NUMERIC, LABEL, trees, depth, least, seed)
 
 
 def fit_gbt(train: DataFrame, rounds: int = 100, depth: int = 6, step: float = 0.06, seed: int = 42) -> PipelineModel:
     learner = GBTClassifier(labelCol=LABEL, featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth,
-                            stepSize=step, subsamplingRate=0.8, seed=seed)
+                            stepSize=step, subsamplingRate=0.8, seed=seed, maxBins=256, maxMemoryInMB=1024)
     return _encoded(learner).fit(cut_lineage(_class_weights(train)))
 
 
-def tune_cv(train: DataFrame, trees: list[int] = (50, 100), depths: list[int] = (6, 10), folds: int = 5, seed: int = 42
-            ) -> tuple[PipelineModel, DataFrame]:
-    """Grid search on ROC AUC; returns the best model and the score of every setting."""
-    learner = RandomForestClassifier(labelCol=LABEL, featuresCol="features", weightCol="weight", seed=seed)
-    grid = ParamGridBuilder().addGrid(learner.numTrees, list(trees)).addGrid(learner.maxDepth, list(depths)).build()
-    cv = CrossValidator(estimator=_encoded(learner), estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                        evaluator=BinaryClassificationEvaluator(labelCol=LABEL), parallelism=2)
-    fitted = cv.fit(cut_lineage(_class_weights(train)))
-    rows = [(p[learner.numTrees], p[learner.maxDepth], float(m)) for p, m in zip(grid, fitted.avgMetrics)]
-    return fitted.bestModel, train.sparkSession.createDataFrame(rows, "trees int, depth int, roc_auc double")
-
+def tune_cv(train: DataFrame, trees: list[int] = (50, 100), depths: list[int] = (6, 10), folds: int = 5, seed: int = 42,
+            key: list[str] | None = None) -> tuple[ForestModel, DataFrame]:
+    """Grid search on ROC AUC over hash folds; returns the best model and the mean score of every setting.
 
-def predict(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
+    The forests of all folds grow in shared passes, and a setting with fewer trees or levels is read off the largest
+    forest of its fold: what it would grow on its own is the same. ``key`` tells rows apart (all columns by default).
+    """
+    fold = F.pmod(F.xxhash64(F.lit(seed), *(key or train.columns)), F.lit(folds)).cast("int")
+    grid = [(t, d) for t in trees for d in depths]
+    cv = fit_forest(train, SCORE_CATEGORICAL, SCORE_NUMERIC, LABEL, max(trees), max(depths), seed=seed, folds=folds, fold=fold)
+    names = [f"_s{i}" for i in range(len(grid))]
+    scored = cv.scored(train.withColumn("_fold", fold), names, grid, F.col("_fold"))
+    long = scored.select(LABEL, "_fold", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("trees"), F.lit(d).alias("depth"), F.col(n).alias("p")) for n, (t, d) in zip(names, grid)]))
+        .alias("s")).select(LABEL, "_fold", "s.*")
+    table = cut_lineage(roc_auc(long, by=["trees", "depth", "_fold"]).groupBy("trees", "depth").agg(
+        F.avg("roc_auc").alias("roc_auc")))
+    best = table.orderBy(F.desc("roc_auc"), "trees", "depth").first()
+    return fit_rf(train, best["trees"], best["depth"], seed=seed), table
+
+
+def predict(model: ForestModel | PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
     """Add the cancellation probability; intermediate vectors are dropped."""
+    if isinstance(model, ForestModel):
+        return model.transform(df, name)
     scored = model.transform(df).withColumn(name, vector_to_array("probability")[1])
     return scored.select(*df.columns, name)
 
@@ -116,15 +125,13 @@ def calibrate_isotonic(train: DataFrame, df: DataFrame, score: str = "p", name:
     return model.transform(df.withColumn("feature", F.col(score))).drop("feature")
 
 
-def feature_importance(model: PipelineModel, spark) -> DataFrame:
-    """Importance per source column: one-hot slots are added up."""
-    sizes = model.stages[1].categorySizes
-    weights = model.stages[-1].featureImportances.toArray()
-    rows, at = [], 0
-    for name, size in [*zip(SCORE_CATEGORICAL, sizes), *[(c, 1) for c in SCORE_NUMERIC]]:
-        rows.append((name, float(weights[at:at + size].sum())))
-        at += size
-    return spark.createDataFrame(rows, "variable string, importance double").orderBy(F.desc("importance"))
+def feature_importance(model: ForestModel | PipelineModel, spark) -> DataFrame:
+    """Share of each source column in the splits' gain."""
+    if isinstance(model, ForestModel):
+        weights = model.importance()
+    else:
+        weights = dict(zip([*SCORE_CATEGORICAL, *SCORE_NUMERIC], model.stages[-1].featureImportances.toArray().tolist()))
+    return spark.createDataFrame(list(weights.items()), "variable string, importance double").orderBy(F.desc("importance"))
 
 
 # --- rate model on the monthly panel

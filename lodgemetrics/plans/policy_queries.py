@@ -81,6 +81,16 @@ def _evaluated(x, fit):
         P.roc_auc(scored).withColumn("k", F.lit(1)), "k").drop("k")
 
 
+def _fit_totals(x):
+    """What SQL can state of a fitted forest: scored rows by class, and importances that add up to 1."""
+    train, test = _train_test(x)
+    model = M.fit_rf(train)
+    scored = P.confusion_at(M.predict(model, test), 0.35).select(
+        (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives"))
+    parts = M.feature_importance(model, x.spark).agg(F.count(F.lit(1)).alias("variables"), F.sum("importance").alias("importance"))
+    return scored.withColumn("k", F.lit(1)).join(parts.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def _calibrated(x):
     train, test = _train_test(x)
     model = M.fit_rf(train)
@@ -188,6 +198,10 @@ def register(cat: Catalog) -> None:
             bookings(), F.sum("is_test").alias("test_rows")),
         """SELECT is_canceled, count(*) AS bookings, CAST(floor((count(*) - 1) * 0.2) + 1 AS BIGINT) AS test_rows FROM b GROUP BY 1""")
     add("fit_rf", lambda x: _evaluated(x, M.fit_rf))
+    held = "CAST(floor((count(*) FILTER (is_canceled = {c}) - 1) * 0.2) + 1 AS BIGINT)"
+    add("fit_rf_totals", _fit_totals,
+        f"SELECT {held.format(c=0)} AS negatives, {held.format(c=1)} AS positives, CAST(17 AS BIGINT) AS variables, 1.0 AS importance FROM b ",
+        r6="importance")
     add("fit_gbt", lambda x: _evaluated(x, M.fit_gbt))
     add("tune_cv", _tuned)
     add("calibrate_isotonic", _calibrated)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -25,11 +26,12 @@ def get_session(app: str = "lodgemetrics", master: str | None = None, **extra: s
 
 
 def cut_lineage(df):
-    """Checkpoint to the shared folder the cluster names; where none is named, keep the rows in memory and on disk."""
+    """Write to the shared folder the cluster names (where none is named, the warehouse) and read back: lost executors
+    read the rows again, and plans that look twice at them do not grow. The files go when the session's JVM ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not folder:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
