@@ -1,9 +1,15 @@
 """Exact order statistics that stay distributed.
 
 Rows are first collapsed to value counts, so a hot group costs one row per distinct value.
-Values then fall into fixed-width buckets; only the bucket histogram is scanned in order per
+Values then fall into buckets; only the bucket histogram is scanned in order per
 group, and ranks inside a bucket are resolved per (group, bucket). No task ever holds a whole
 group.
+
+Buckets follow the scale of the values: 64 for each power of two, so a column within [0, 1] spreads like one a
+billion wide. A number gives buckets of that width instead. Values crowded in a narrow band far from zero need edges
+from the data: ``equi_depth`` finds them, and no bucket then holds more than about the stated share of the rows,
+unless one value does. Means and deviations are summed from the edge of each bucket; a spread below a millionth of the
+values' size wants such edges, or a width, as well.
 """
 
 from __future__ import annotations
@@ -17,11 +23,57 @@ from pyspark.sql import functions as F
 from lodgemetrics.functions.exprs import any_of
 
 
-def value_counts(df: DataFrame, by: list[str], value: str, width: float = 1.0,
+#: How values fall into buckets: by scale (None), by a width, or by rising edges.
+Width = float | list[float] | None
+STEPS = 64
+
+
+def equi_depth(df: DataFrame, value: str, share: float = 1 / 256) -> list[float]:
+    """Rising edges with about ``share`` of the rows between two of them, from one aggregate over all rows."""
+    n = max(2, round(1 / share))
+    found = df.where(F.col(value).isNotNull()).agg(
+        F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], 20 * n)).first()[0]
+    return sorted(set(found or []))
+
+
+def bucket_of(v: Column, width: Width = None) -> Column:
+    """Bucket number, rising with the value; NaN is in a last one."""
+    if isinstance(width, list):
+        def place(low: int, high: int) -> Column:  # edges[low:high] are not yet told apart
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(v <= width[mid], place(low, mid)).otherwise(place(mid + 1, high))
+        return F.when(v.isNotNull(), place(0, len(width))).cast("long")
+    if width is not None:
+        return F.floor(v / width).cast("long")
+    size = F.abs(v)
+    octave = F.greatest(F.floor(F.log2(size)), F.lit(-1000))  # what is smaller still shares the lowest steps
+    step = F.pow(F.lit(2.0), octave.cast("double")) / STEPS
+    at = (octave + 1100) * STEPS + F.floor(size / step) - STEPS + 1
+    last = F.lit(2 ** 40)
+    return (F.when(F.isnan(v), last + 1).when(size == float("inf"), last * F.signum(v)).when(v == 0, 0)
+            .otherwise(at * F.signum(v))).cast("long")
+
+
+def edge_of(bucket: Column, width: Width = None) -> Column:
+    """A value at the edge of a bucket."""
+    if isinstance(width, list):
+        edges = F.array(*[F.lit(float(e)) for e in width or [0.0]])
+        return F.get(edges, F.least(bucket, F.lit(max(0, len(width) - 1))).cast("int"))
+    if width is not None:
+        return bucket * F.lit(float(width))
+    at = F.abs(bucket) - 1
+    octave = F.floor(at / STEPS) - 1100
+    size = (at - (octave + 1100) * STEPS + STEPS) * F.pow(F.lit(2.0), octave.cast("double")) / STEPS
+    return F.when((bucket == 0) | (F.abs(bucket) >= 2 ** 40), 0.0).otherwise(size * F.signum(bucket.cast("double")))
+
+
+def value_counts(df: DataFrame, by: list[str], value: str, width: Width = None,
                  extra: list[Column] = ()) -> DataFrame:
     """(by, bucket, value, cnt, extra aggregates) with NULL values left out."""
     v = F.col(value).cast("double")
-    bucket = F.floor(v / width).cast("long")
+    bucket = bucket_of(v, width)
     # the bucket filter is implied; stated here, both readers of the counts share one exchange
     return (df.where(v.isNotNull() & bucket.isNotNull())
             .groupBy(*by, bucket.alias("_bucket"), v.alias("_value"))
@@ -42,10 +94,10 @@ def merge_counts(counts: DataFrame, by: list[str], extra: list[Column] = ()) ->
     return counts.groupBy(*by, "_bucket", "_value").agg(F.sum("_cnt").alias("_cnt"), *extra)
 
 
-def _histogram(counts: DataFrame, by: list[str], width: float = 1.0) -> DataFrame:
+def _histogram(counts: DataFrame, by: list[str], width: Width = None) -> DataFrame:
     """Bucket totals with running totals and group moments: one row per (group, bucket)."""
     v, c = F.col("_value"), F.col("_cnt")
-    edge = F.col("_bucket") * F.lit(float(width))  # deviations from it are small, so squares lose no digits
+    edge = edge_of(F.col("_bucket"), width)  # deviations from it are small, so squares lose no digits
     hist = counts.groupBy(*by, "_bucket").agg(
         F.sum(c).alias("_c"), F.sum(v * c).alias("_s1"), F.sum((v - edge) * c).alias("_d1"),
         F.sum((v - edge) * (v - edge) * c).alias("_d2"), F.min(edge).alias("_edge"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
@@ -77,7 +129,7 @@ def ranked_counts(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def describe_by(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                width: float = 1.0, counts: DataFrame | None = None) -> DataFrame:
+                width: Width = None, counts: DataFrame | None = None) -> DataFrame:
     """Per group: n, mean, std, min, max and exact linear-interpolation percentiles.
 
     ``probs`` maps output names to probabilities, e.g. {"median": .5}.

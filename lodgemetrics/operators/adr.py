@@ -9,16 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
-from lodgemetrics.functions.distribution import describe_by, merge_counts, value_counts
+from lodgemetrics.functions.distribution import describe_by, equi_depth, merge_counts, value_counts
 from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, ratio, spread, stayed
 from lodgemetrics.schema import CITY, RESORT
 
 SPREAD = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 
 
-def adr_stats_by(stays: DataFrame, dims: list[str]) -> DataFrame:
-    """n, mean, median, std, quartiles of ADR per category."""
-    return describe_by(stays, dims, "adr", SPREAD)
+def adr_stats_by(stays: DataFrame, dims: list[str], share: float | None = None) -> DataFrame:
+    """n, mean, median, std, quartiles of ADR per category; ``share`` bounds the buckets."""
+    return describe_by(stays, dims, "adr", SPREAD, equi_depth(stays, "adr", share) if share else None)
 
 
 def season_adr_index(stays: DataFrame) -> DataFrame:

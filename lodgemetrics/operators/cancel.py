@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
-from lodgemetrics.functions.distribution import describe_by, merge_counts, value_counts
+from lodgemetrics.functions.distribution import describe_by, equi_depth, merge_counts, value_counts
 from lodgemetrics.functions.exprs import (
     CANCELED, CHECK_OUT, NO_SHOW, bookings, cancel_rate, count_if, lost_revenue, ratio,
     revenue_sum, stay_adr, stayed, spread,
@@ -79,9 +79,9 @@ def adr_by_cancel_label(df: DataFrame) -> DataFrame:
         F.max("adr").alias("adr_max"))
 
 
-def boxplot_stats(df: DataFrame, by: list[str], value: str = "adr", width: float = 1.0) -> DataFrame:
+def boxplot_stats(df: DataFrame, by: list[str], value: str = "adr", share: float | None = None) -> DataFrame:
     """Exact n, min, q1, median, q3, max and mean per group, over all rows."""
-    return describe_by(df, by, value, QUARTILES, width).drop("std")
+    return describe_by(df, by, value, QUARTILES, equi_depth(df, value, share) if share else None).drop("std")
 
 
 def lead_cancel_rate_samples(cube: DataFrame, min_bookings: int = 15) -> DataFrame:

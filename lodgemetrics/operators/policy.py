@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
-from lodgemetrics.functions.distribution import ranked_counts, ranked_rows, value_counts
+from lodgemetrics.functions.distribution import equi_depth, ranked_counts, ranked_rows, value_counts
 from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, literal_rows, ratio
 from lodgemetrics.functions.special import mcnemar_exact, normal_two_sided
 
@@ -48,11 +48,12 @@ def confusion_at(df: DataFrame, threshold: float, score: str = "p", label: str =
     return out.select(*by, *CONFUSION, *metrics(*[F.col(c) for c in CONFUSION]))
 
 
-def roc_auc(df: DataFrame, score: str = "p", label: str = LABEL, by: list[str] = ()) -> DataFrame:
-    """Exact rank-based AUC; ties count half."""
+def roc_auc(df: DataFrame, score: str = "p", label: str = LABEL, by: list[str] = (), share: float | None = None) -> DataFrame:
+    """Exact rank-based AUC; ties count half. Buckets are 1e-5 wide, as fits probabilities; ``share`` bounds them for
+    scores on another scale."""
     by = list(by)
     ones = F.sum(F.col(label)).alias("_ones")
-    r = ranked_counts(value_counts(df, by, score, 1e-5, [ones]), by)
+    r = ranked_counts(value_counts(df, by, score, equi_depth(df, score, share) if share else 1e-5, [ones]), by)
     aggs = [F.sum("_ones").cast("double").alias("n1"), F.sum("_cnt").cast("double").alias("_all"),
             F.sum(F.col("_midrank") * F.col("_ones")).alias("_r1")]
     g = r.groupBy(*by).agg(*aggs) if by else r.agg(*aggs)

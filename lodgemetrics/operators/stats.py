@@ -5,17 +5,19 @@ from __future__ import annotations
 from functools import lru_cache
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodgemetrics.functions.distribution import describe_by, ranked_counts, value_counts
+from lodgemetrics.functions.distribution import bucket_of, describe_by, equi_depth, ranked_counts, value_counts
 from lodgemetrics.functions.exprs import ratio
+from lodgemetrics.functions.medians import difference_quantiles, resampled_median
 from lodgemetrics.functions.special import (
     chi2_sf, fisher_two_sided, normal_two_sided, poisson_draw, t_two_sided,
 )
+from lodgemetrics.operators.logit import factor_logits, logit_terms
 from lodgemetrics.schema import LEAKAGE_COLUMNS
 
 
@@ -46,10 +48,11 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def spearman_vs(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
+def spearman_vs(df: DataFrame, target: str, cols: list[str], share: float | None = None) -> DataFrame:
     """Mean-rank correlation of each column with the target; pairs with a NULL are left out.
 
-    Works on joint value counts, so ranks are computed over distinct values.
+    Works on joint value counts, so ranks are computed over distinct values. ``share`` bounds the buckets (see
+    ``functions.distribution``).
     """
     long = df.select(_num(target).alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), _num(c).alias("_x")) for c in cols])).alias("s"))
@@ -58,7 +61,8 @@ def spearman_vs(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
 
     def ranks(side: str) -> DataFrame:
         v = F.col(side)
-        counts = joint.groupBy("variable", F.floor(v).cast("long").alias("_bucket"), v.alias("_value")).agg(
+        edges = equi_depth(joint, side, share) if share else None
+        counts = joint.groupBy("variable", bucket_of(v, edges).alias("_bucket"), v.alias("_value")).agg(
             F.sum("_cnt").alias("_cnt"))
         return ranked_counts(counts, ["variable"]).select(
             "variable", F.col("_value").alias(side), F.col("_midrank").alias(f"{side}r"), F.col("_n").alias(f"{side}n"))
@@ -200,12 +204,12 @@ def fisher_2x2(df: DataFrame, x: str, y: str, by: list[str] = (), p_value: bool
 
 # --- two samples
 
-def mann_whitney(df: DataFrame, x: str, group: str, by: list[str] = (), width: float = 1.0,
+def mann_whitney(df: DataFrame, x: str, group: str, by: list[str] = (), share: float | None = None,
                  p_value: bool = True) -> DataFrame:
-    """U of group 0 against group 1 with tie-corrected z and rank-biserial effect size."""
+    """U of group 0 against group 1 with tie-corrected z and rank-biserial effect size; ``share`` bounds the buckets."""
     by = list(by)
     ones = F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("_ones")
-    counts = value_counts(df.where(F.col(group).isin(0, 1)), by, x, width, [ones])
+    counts = value_counts(df.where(F.col(group).isin(0, 1)), by, x, equi_depth(df, x, share) if share else None, [ones])
     r = ranked_counts(counts, by)
     zeros = F.col("_cnt") - F.col("_ones")
     t = F.col("_cnt").cast("double")
@@ -237,14 +241,17 @@ def welch_t(df: DataFrame, x: str, group: str, by: list[str] = (), p_value: bool
     return g.withColumn("p_value", t_two_sided("t_stat", "dof")) if p_value else g
 
 
-def bootstrap_median_diff(df: DataFrame, x: str, group: str, n_boot: int = 500, seed: int = 42, by: list[str] = ()
-                          ) -> DataFrame:
-    """Percentile interval of median(group 1) - median(group 0).
+def bootstrap_median_diff(df: DataFrame, x: str, group: str, n_boot: int | None = None, seed: int = 42,
+                          by: list[str] = ()) -> DataFrame:
+    """Percentile interval of median(group 1) - median(group 0) under resampling.
 
-    Poisson bootstrap on value counts: a replicate redraws how often each distinct value occurs,
-    from a hash of (replicate, value), so bookings are read once and a retry redraws the same.
+    Exact by default: the median of a resample follows from the ranks of the distinct values and binomial
+    probabilities, so no replicate is drawn (see ``median_diff_interval``). With ``n_boot`` replicates, a Poisson
+    bootstrap on value counts redraws how often each distinct value occurs, from a hash of (replicate, value).
     """
     by = list(by)
+    if n_boot is None:
+        return median_diff_interval(df, x, group, by)
     counts = value_counts(df, [*by, group], x)
     reps = counts.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
 
@@ -261,43 +268,66 @@ def bootstrap_median_diff(df: DataFrame, x: str, group: str, n_boot: int = 500,
     return out.select(*by, F.col("n").alias("replicates"), "median_diff", "ci_low", "ci_high")
 
 
-def tests_by_hotel(df: DataFrame, p_value: bool = True) -> DataFrame:
-    """Lead-time U test and chi-square of lead bin, deposit and segment, per hotel.
+def median_diff_interval(df: DataFrame, x: str, group: str, by: list[str] = ()) -> DataFrame:
+    """``by, n0, n1, median_diff, ci_low, ci_high``: quantiles .5, .025 and .975 of the difference of resampled medians.
 
-    ``df`` needs lead_time_bin and deposit_type.
+    A resample's median is a value of rank about n / 2, so only distinct values whose rank lies within sqrt(19 n) of
+    the middle matter (all others together have a chance below 1e-15); they alone are brought together, one task for
+    each group of ``by``. Groups without values on both sides have NULLs.
     """
+    by = list(by)
+    key = by or ["_one"]
+    rows = df.where(F.col(group).isin(0, 1)).withColumn("_side", F.col(group).cast("int"))
+    rows = rows if by else rows.withColumn("_one", F.lit(1))
+    ranked = ranked_counts(value_counts(rows, [*key, "_side"], x), [*key, "_side"])
+    reach = F.sqrt(19.0 * F.col("_n"))
+    central = ranked.where((F.col("_start") + F.col("_cnt") >= F.col("_n") / 2 - reach)
+                           & (F.col("_start") <= F.col("_n") / 2 + reach))
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in central.select(*key).schema.fields]
+
+    def solve(name: tuple, table: pa.Table) -> pa.Table:
+        side = table["_side"].to_numpy()
+        value, start, cnt, n = (table[c].to_numpy().astype(float) for c in ("_value", "_start", "_cnt", "_n"))
+        sides, sizes = [], []
+        for s in (0, 1):
+            own = np.flatnonzero(side == s)
+            own = own[np.argsort(value[own])]
+            sizes.append(int(n[own[0]]) if len(own) else 0)
+            if len(own):
+                sides.append(resampled_median(value[own], start[own], start[own] + cnt[own], sizes[s]))
+        answer = difference_quantiles(sides[1], sides[0], [0.5, 0.025, 0.975]) if len(sides) == 2 else [None] * 3
+        data = {k: pa.array([v.as_py()], v.type) for k, v in zip(key, name)}
+        data |= {"n0": pa.array([sizes[0]], pa.int64()), "n1": pa.array([sizes[1]], pa.int64())}
+        data |= {c: pa.array([v], pa.float64()) for c, v in zip(("median_diff", "ci_low", "ci_high"), answer)}
+        return pa.table(data)
+
+    out = central.select(*key, "_side", "_value", "_start", "_cnt", "_n").groupBy(*key).applyInArrow(
+        solve, ", ".join([*types, "n0 long, n1 long, median_diff double, ci_low double, ci_high double"]))
+    return out.select(*by, "n0", "n1", "median_diff", "ci_low", "ci_high")
+
+
+def tests_by_hotel(df: DataFrame, p_value: bool = True, logits: bool = True) -> DataFrame:
+    """Lead-time U test, and chi-square and logit of lead bin, deposit and segment, per hotel.
+
+    ``df`` needs lead_time_bin and deposit_type. A logit's statistic is its likelihood ratio, its effect the pseudo R2.
+    """
+    factors = ["lead_time_bin", "deposit_type", "market_segment"]
     mw = mann_whitney(df, "lead_time", "is_canceled", ["hotel"], p_value=p_value).select(
         "hotel", F.lit("lead_time").alias("variable"), F.lit("mann_whitney").alias("test"),
         F.col("u_stat").alias("statistic"), F.col("rank_biserial").alias("effect"), *(["p_value"] if p_value else []))
-    chi = chi_square_test(df, ["lead_time_bin", "deposit_type", "market_segment"], "is_canceled", ["hotel"], p_value)
-    return mw.unionByName(chi.select(
+    chi = chi_square_test(df, factors, "is_canceled", ["hotel"], p_value)
+    out = mw.unionByName(chi.select(
         "hotel", "variable", F.lit("chi_square").alias("test"), F.col("chi2").alias("statistic"),
         F.col("cramers_v").alias("effect"), *(["p_value"] if p_value else [])))
+    if not logits:
+        return out
+    return out.unionByName(factor_logits(contingency(df, factors, "is_canceled", ["hotel"]), ["hotel"], p_value))
 
 
 def odds_ratio_logit(df: DataFrame, numeric: list[str], categorical: dict[str, list[str]],
-                     target: str = "is_canceled") -> DataFrame:
-    """Logistic regression with odds ratios, Wald intervals, LR chi-square and pseudo R2.
+                     target: str = "is_canceled", by: list[str] = ()) -> DataFrame:
+    """Logistic regression, per group if wanted, with odds ratios, Wald intervals, LR chi-square and pseudo R2.
 
-    ``categorical`` gives each factor's levels with the baseline first. Bookings collapse to
-    distinct covariate rows with a weight, which leaves the likelihood unchanged.
+    ``categorical`` gives each factor's levels with the baseline first (see ``logit_terms``).
     """
-    spark = df.sparkSession
-    dummies = {f"{c}={level}": (F.col(c) == level).cast("double") for c, levels in categorical.items()
-               for level in levels[1:]}
-    grouped = df.groupBy(*numeric, *categorical, target).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    design = grouped.select(F.col(target).cast("double").alias("label"), "weight",
-                            *[_num(c).alias(c) for c in numeric], *[v.alias(f"_d{i}") for i, v in enumerate(dummies.values())])
-    inputs = [*numeric, *[f"_d{i}" for i in range(len(dummies))]]
-    data = VectorAssembler(inputCols=inputs, outputCol="features").transform(design)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", maxIter=50).fit(data)
-    s = model.summary
-    lr = s.nullDeviance - s.deviance
-    names = [*numeric, *dummies, "(intercept)"]
-    coefs = [*model.coefficients.toArray().tolist(), model.intercept]
-    rows = [(n, float(b), float(e), float(z), float(p), lr, len(names) - 1, 1 - s.deviance / s.nullDeviance)
-            for n, b, e, z, p in zip(names, coefs, s.coefficientStandardErrors, s.tValues, s.pValues)]
-    out = spark.createDataFrame(rows, "term string, coef double, std_err double, z double, p_value double,"
-                                      " lr_chi2 double, lr_df int, pseudo_r2 double")
-    return out.withColumns({"odds_ratio": F.exp("coef"), "or_ci_low": F.exp(F.col("coef") - 1.96 * F.col("std_err")),
-                            "or_ci_high": F.exp(F.col("coef") + 1.96 * F.col("std_err"))})
+    return logit_terms(df, numeric, categorical, target, by)

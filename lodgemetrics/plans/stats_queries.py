@@ -76,6 +76,60 @@ Z_SQL = """SELECT a.g AS group_a, b2.g AS group_b, 100.0 * a.c / a.n AS rate_a_p
   (a.n - a.c) * b2.c / (a.c * (b2.n - b2.c)) AS odds_ratio FROM g a JOIN g b2 ON a.g < b2.g"""
 
 
+def _median_sql(by: str = "") -> str:
+    """Chances of a resample's median by binomial sums over ranks, their difference, and its quantiles."""
+    k = f"{by}, " if by else ""
+    using = f"USING ({by})" if by else "ON true"
+
+    def log_power(base: str) -> str:
+        return f"CASE WHEN {base} > 0 THEN j * ln({base}) + (n - j) * ln(1 - {base}) ELSE -1e6 END"
+
+    def tail(base: str) -> str:
+        return f"""CASE WHEN {base} <= 0 THEN 0.0 WHEN {base} >= 1 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1)
+          - lgamma(n - j + 1) + {log_power(f'least({base}, 0.9999999999)')})) FROM (SELECT unnest(range(h, least(n, h + CAST(14 * sqrt(n) AS BIGINT)) + 1)) AS j)) END"""
+
+    return f"""WITH counted AS (SELECT {k}is_canceled AS side, CAST(lead_time AS DOUBLE) AS v, count(*) AS c FROM b GROUP BY ALL),
+      ranked AS (SELECT {k}side, v, c, CAST(sum(c) OVER (PARTITION BY {k}side ORDER BY v) AS BIGINT) AS hi,
+        CAST(sum(c) OVER (PARTITION BY {k}side) AS BIGINT) AS n FROM counted),
+      mid AS (SELECT *, CAST(ceil(n / 2) AS BIGINT) AS h, (hi - c) / n AS p, hi / n AS q FROM ranked
+        WHERE hi >= n / 2 - sqrt(19 * n) AND hi - c <= n / 2 + sqrt(19 * n)),
+      tails AS (SELECT *, {tail('p')} AS tp, {tail('q')} AS tq, lgamma(n + 1) - lgamma(h + 1) - lgamma(n - h + 1) AS lc,
+        h * ln(q) + CASE WHEN p > 0 THEN ln(1 - exp(h * (ln(p) - ln(q)))) ELSE 0 END AS la,
+        h * ln(1 - p) + CASE WHEN q < 1 THEN ln(1 - exp(h * (ln(1 - q) - ln(1 - p)))) ELSE 0 END AS lb FROM mid),
+      chances AS (
+        SELECT {k}side, n, v, tq - tp - CASE WHEN n % 2 = 0 AND q < 1 THEN exp(lc + la + h * ln(1 - q)) ELSE 0 END AS w FROM tails
+        UNION ALL SELECT {'x.' + by + ', ' if by else ''}x.side, x.n, (x.v + y.v) / 2, exp(x.lc + x.la + y.lb) FROM tails x JOIN tails y
+          ON {f'x.{by} = y.{by} AND' if by else ''} x.side = y.side AND x.v < y.v AND x.n % 2 = 0),
+      diffs AS (SELECT {k}x.n AS n0, y.n AS n1, y.v - x.v AS d, sum(x.w * y.w) AS w FROM (SELECT * FROM chances WHERE side = 0) x
+        JOIN (SELECT * FROM chances WHERE side = 1) y {using} GROUP BY ALL),
+      upto AS (SELECT *, sum(w) OVER ({f'PARTITION BY {by}' if by else ''} ORDER BY d) / sum(w) OVER ({f'PARTITION BY {by}' if by else ''}) AS u FROM diffs)
+      SELECT {k}n0, n1, min(d) FILTER (u >= 0.5 - 1e-12) AS median_diff, min(d) FILTER (u >= 0.025 - 1e-12) AS ci_low,
+        min(d) FILTER (u >= 0.975 - 1e-12) AS ci_high FROM upto GROUP BY {k}n0, n1"""
+
+
+def _factor_sql(var: str, expr: str | None = None) -> str:
+    """Likelihood ratio of a one-factor logit per hotel, and the deviance of its constant."""
+    return f"""SELECT hotel, 2 * sum(o * ln(CAST(o AS DOUBLE) * n / (r * c))) AS g, count(DISTINCT x) - 1 AS dof,
+        any_value(dev) AS dev FROM (
+      SELECT o.hotel, o.x, o.o, sum(o.o) OVER (PARTITION BY o.hotel, o.x) AS r, sum(o.o) OVER (PARTITION BY o.hotel, o.y) AS c,
+        sum(o.o) OVER (PARTITION BY o.hotel) AS n, dev
+      FROM (SELECT hotel, CAST({expr or var} AS VARCHAR) AS x, is_canceled AS y, count(*) AS o FROM b GROUP BY ALL) o
+      JOIN (SELECT hotel, -2 * (sum(is_canceled) * ln(avg(is_canceled)) + sum(1 - is_canceled) * ln(1 - avg(is_canceled))) AS dev
+        FROM b GROUP BY hotel) d USING (hotel)) GROUP BY hotel"""
+
+
+def _one_factor_logit_sql() -> str:
+    return f"""WITH cell AS (SELECT hotel, deposit_type AS x, CAST(sum(is_canceled) AS DOUBLE) AS a, CAST(sum(1 - is_canceled) AS DOUBLE) AS z
+        FROM b GROUP BY ALL),
+      base AS (SELECT hotel, ln(a / z) AS l, 1 / a + 1 / z AS s FROM cell WHERE x = 'No Deposit'),
+      terms AS (SELECT hotel, 'deposit_type=' || x AS term, ln(a / z) - l AS coef, sqrt(1 / a + 1 / z + s) AS std_err
+          FROM cell JOIN base USING (hotel) WHERE x <> 'No Deposit'
+        UNION ALL SELECT hotel, '(intercept)', l, sqrt(s) FROM base)
+      SELECT hotel, term, coef, std_err, coef / std_err AS z, {normal_p('(coef / std_err)')} AS p_value, g AS lr_chi2,
+        CAST(dof AS INTEGER) AS lr_df, g / dev AS pseudo_r2, exp(coef) AS odds_ratio, exp(coef - 1.96 * std_err) AS or_ci_low,
+        exp(coef + 1.96 * std_err) AS or_ci_high FROM terms JOIN ({_factor_sql('deposit_type')}) USING (hotel)"""
+
+
 def register(cat: Catalog) -> None:
     add = cat.add
     flags = ", ".join(f"('{c}', corr({c}, is_canceled), {int(c in LEAKAGE_COLUMNS)})" for c in NUMERIC)
@@ -142,17 +196,26 @@ def register(cat: Catalog) -> None:
         var_samp(lead_time) FILTER (is_canceled = 0) AS v0, var_samp(lead_time) FILTER (is_canceled = 1) AS v1
         FROM b GROUP BY hotel))""", r6="n0 n1 mean0 mean1 t_stat", r4="dof")
     add("welch_t_p_value", lambda x: T.welch_t(x.bookings(), "lead_time", "is_canceled", ["hotel"]))
-    add("bootstrap_median_diff", lambda x: T.bootstrap_median_diff(x.bookings(), "lead_time", "is_canceled"))
+    add("bootstrap_median_diff", lambda x: T.bootstrap_median_diff(x.bookings(), "lead_time", "is_canceled"), _median_sql(),
+        r6="median_diff ci_low ci_high")
+    add("bootstrap_median_diff_by_hotel", lambda x: T.bootstrap_median_diff(x.bookings(), "lead_time", "is_canceled", by=["hotel"]),
+        _median_sql("hotel"), r6="median_diff ci_low ci_high")
     parts = [f"""SELECT hotel, 'lead_time' AS variable, 'mann_whitney' AS test, u_stat AS statistic, rank_biserial AS effect
       FROM ({_mw_sql('hotel')})"""]
-    for c, e in (("lead_time_bin", LEAD_EDA), ("deposit_type", None), ("market_segment", None)):
+    factors = (("lead_time_bin", LEAD_EDA), ("deposit_type", None), ("market_segment", None))
+    for c, e in factors:
         parts.append(f"SELECT hotel, variable, 'chi_square', chi2, {V} FROM ({_assoc_sql(c, e, 'hotel')})")
+        parts.append(f"SELECT hotel, '{c}', 'logit', g, g / dev FROM ({_factor_sql(c, e)})")
     tailed = [f"""SELECT hotel, 'lead_time' AS variable, 'mann_whitney' AS test, u_stat AS statistic, rank_biserial AS effect,
       least({normal_p('z_stat')}, 1.0) AS p_value FROM ({_mw_sql('hotel')})"""]
-    for c, e in (("lead_time_bin", LEAD_EDA), ("deposit_type", None), ("market_segment", None)):
+    for c, e in factors:
         tailed.append(f"SELECT hotel, variable, 'chi_square', chi2, {V}, {chi2_p('chi2', 'dof')} FROM ({_assoc_sql(c, e, 'hotel')})")
+        tailed.append(f"SELECT hotel, '{c}', 'logit', g, g / dev, {chi2_p('g', 'dof')} FROM ({_factor_sql(c, e)})")
     add("tests_by_hotel", lambda x: T.tests_by_hotel(_with_bins(x), p_value=False), " UNION ALL ".join(parts),
         r6="effect", r4="statistic")
     add("tests_by_hotel_p_value", lambda x: T.tests_by_hotel(_with_bins(x)), " UNION ALL ".join(tailed),
         r6="effect p_value", r4="statistic")
+    add("odds_ratio_logit_by_hotel", lambda x: T.odds_ratio_logit(x.bookings(part=True), [], {"deposit_type": LEVELS["deposit_type"]},
+                                                                  by=["hotel"]), _one_factor_logit_sql(),
+        r6="coef std_err z p_value lr_chi2 pseudo_r2 odds_ratio or_ci_low or_ci_high")
     add("odds_ratio_logit", lambda x: T.odds_ratio_logit(x.bookings(part=True), ["lead_time"], LEVELS))
