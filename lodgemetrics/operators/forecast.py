@@ -117,23 +117,28 @@ def seasonal_naive(series: DataFrame, h: int = 6, period: int = SEASON) -> DataF
 
 
 def holt_fit(series: DataFrame, grid: list[float] = tuple(i / 10 for i in range(1, 10))) -> DataFrame:
-    """Additive-trend smoothing; level and trend weights picked by squared one-step error."""
-    ordered = F.array_sort(F.collect_list(F.struct("t", "value")))
-    runs = (series.where(F.col("value").isNotNull()).groupBy(*SERIES)
-            .agg(ordered.alias("_o"), F.max("t").alias("last_t"))
-            .withColumn("_y", F.transform("_o", lambda r: r["value"])).where(F.size("_y") >= 2))
+    """Additive-trend smoothing; level and trend weights picked by squared one-step error.
+
+    A missing month, absent or NULL, moves the level along the trend and leaves the rest; the same goes for months
+    missing at the end, so forecasts start behind the last month of the series.
+    """
+    known = F.when(F.col("value").isNotNull(), F.struct(F.col("t").cast("long").alias("t"), "value"))
+    runs = (series.groupBy(*SERIES).agg(F.array_sort(F.collect_list(known)).alias("_y"), F.max("t").alias("last_t"))
+            .where(F.size("_y") >= 2))
     weights = F.array(*[F.lit(float(g)) for g in grid])
     runs = (runs.withColumn("alpha", F.explode(weights)).withColumn("beta", F.explode(weights)))
     a, b = F.col("alpha"), F.col("beta")
-    start = F.struct(F.col("_y")[0].alias("level"), (F.col("_y")[1] - F.col("_y")[0]).alias("trend"),
-                     F.lit(0.0).alias("sse"))
+    y0, y1 = F.col("_y")[0], F.col("_y")[1]
+    start = F.struct(y0["t"].alias("t"), y0["value"].alias("level"),
+                     ((y1["value"] - y0["value"]) / (y1["t"] - y0["t"])).alias("trend"), F.lit(0.0).alias("sse"))
 
     def step(s: Column, y: Column) -> Column:
-        guess = s["level"] + s["trend"]
-        level = a * y + (1 - a) * guess
-        error = y - guess
-        return F.struct(level.alias("level"),
-                        (b * (level - s["level"]) + (1 - b) * s["trend"]).alias("trend"),
+        base = s["level"] + (y["t"] - s["t"] - 1) * s["trend"]  # the level of the month before
+        guess = base + s["trend"]
+        level = a * y["value"] + (1 - a) * guess
+        error = y["value"] - guess
+        return F.struct(y["t"].alias("t"), level.alias("level"),
+                        (b * (level - base) + (1 - b) * s["trend"]).alias("trend"),
                         (s["sse"] + error * error).alias("sse"))
 
     rest = F.slice("_y", 2, F.size("_y") - 1)
@@ -141,15 +146,32 @@ def holt_fit(series: DataFrame, grid: list[float] = tuple(i / 10 for i in range(
                        F.aggregate(rest, start, step).alias("_s"))
     best = F.min_by(F.struct("alpha", "beta", "n", "last_t", "_s"), F.struct(F.col("_s.sse"), a, b))
     return (fits.groupBy(*SERIES).agg(best.alias("_b"))
-            .select(*SERIES, "_b.alpha", "_b.beta", "_b.n", "_b.last_t", "_b._s.level",
+            .select(*SERIES, "_b.alpha", "_b.beta", "_b.n", "_b.last_t",
+                    (F.col("_b._s.level") + (F.col("_b.last_t") - F.col("_b._s.t")) * F.col("_b._s.trend")).alias("level"),
                     "_b._s.trend", "_b._s.sse"))
 
 
+def _margin(z: float, weight: Column | None = None, period: int = SEASON) -> Column:
+    """Half width of the interval at ``step``: one-step errors reach later months by the smoothing weights.
+
+    An error moves the forecast j months on by alpha * (1 + beta * j), and at whole seasons by the season's share of
+    it, so the error variance grows by the squares of these effects.
+    """
+    def effect(j: Column) -> Column:
+        moved = F.col("alpha") * (1 + F.col("beta") * j)
+        if weight is None:
+            return moved
+        return moved + F.when(j % period == 0, weight * (1 - F.col("alpha"))).otherwise(0.0)
+
+    before = F.filter(F.sequence(F.lit(1), F.col("step")), lambda j: j < F.col("step"))
+    growth = F.aggregate(before, F.lit(1.0), lambda s, j: s + effect(j) * effect(j))
+    return F.lit(z) * F.sqrt(F.col("sse") / (F.col("n") - 1) * growth)
+
+
 def holt_forecast(fit: DataFrame, h: int = 6, z: float = 1.96) -> DataFrame:
-    """Straight-line forecast with an interval from the one-step error."""
+    """Straight-line forecast; the interval widens with the step (see ``_margin``)."""
     out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
-    point = F.col("level") + F.col("step") * F.col("trend")
-    margin = F.lit(z) * F.sqrt(F.col("sse") / (F.col("n") - 1))
+    point, margin = F.col("level") + F.col("step") * F.col("trend"), _margin(z)
     return out.select(*SERIES, "step", (F.col("last_t") + F.col("step")).alias("t"),
                       point.alias("forecast"), (point - margin).alias("lower"),
                       (point + margin).alias("upper")).withColumns(calendar())
@@ -197,10 +219,10 @@ def holt_winters_fit(series: DataFrame, grid: list[float] = (0.1, 0.3, 0.5, 0.7,
 
 
 def holt_winters_forecast(fit: DataFrame, h: int = 6, z: float = 1.96, period: int = SEASON) -> DataFrame:
-    """Trend plus the last season's pattern, with an interval from the one-step error."""
+    """Trend plus the last season's pattern; the interval widens with the step (see ``_margin``)."""
     out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
     point = F.col("level") + F.col("step") * F.col("trend") + F.get("season", F.pmod(F.col("step") - 1, F.lit(period)))
-    margin = F.lit(z) * F.sqrt(F.col("sse") / (F.col("n") - 1))
+    margin = _margin(z, F.col("gamma"), period)
     return out.select(*SERIES, "step", (F.col("last_t") + F.col("step")).alias("t"), point.alias("forecast"),
                       (point - margin).alias("lower"), (point + margin).alias("upper")).withColumns(calendar())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodgemetrics.functions import bands
+from lodgemetrics.functions.distribution import describe_by
 from lodgemetrics.functions.exprs import col, count_if, paid_stay, stayed
 from lodgemetrics.schema import BUSINESS_KEY
 
@@ -40,13 +41,17 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def describe_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, max per numeric column in one pass."""
+    """count, mean, std, min, exact quartiles and max per numeric column; a column without values has NULLs."""
     rows = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"),
                      F.avg(F.col(c).cast("double")).alias("mean"),
                      F.stddev_samp(F.col(c).cast("double")).alias("std"),
                      F.min(F.col(c).cast("double")).alias("min"),
                      F.max(F.col(c).cast("double")).alias("max")) for c in columns]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    moments = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+                                         for c in columns])).alias("s")).select("s.*")
+    quartiles = describe_by(long, ["column_name"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return moments.join(quartiles.select("column_name", "q25", "median", "q75"), "column_name", "left")
 
 
 def fill_missing(df: DataFrame) -> DataFrame:

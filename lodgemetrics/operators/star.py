@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,16 +11,22 @@ from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
 from lodgemetrics.functions.exprs import bookings, count_if, paid_stay, ratio, stayed
+from lodgemetrics.session import cut_lineage
 
 
 def build_dim(df: DataFrame, cols: list[str], key: str, nulls: bool = False) -> DataFrame:
     """Distinct values with a dense 1..n key in sort order; with ``nulls``, NULL is a member like any other and first.
 
-    The ordered window runs on the distinct values only, never on facts.
+    Members are dealt by ranges and numbered within each; the sizes of the ranges before give the offset, so no task
+    orders all members. The ranges are written, since a second look at the data might draw them elsewhere.
     """
     values = df.select(*cols) if nulls else df.select(*cols).na.drop()
-    values = values.distinct()
-    return values.select(F.row_number().over(W.orderBy(*cols)).alias(key), *cols)
+    ranges = cut_lineage(values.distinct().repartitionByRange(*cols).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())  # one per partition
+    before = [(r, n) for (r, _), n in zip(sizes, accumulate([0, *[n for _, n in sizes]]))]
+    offsets = df.sparkSession.createDataFrame(before, "_range int, _before long")
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*cols))
+    return ranges.join(F.broadcast(offsets), "_range").select((F.col("_before") + place).cast("int").alias(key), *cols)
 
 
 def build_dim_room_union(df: DataFrame, key: str = "room_key") -> DataFrame:

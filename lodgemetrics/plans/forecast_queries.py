@@ -11,16 +11,17 @@ HOLT = """
 WITH RECURSIVE {train} v AS (SELECT hotel, metric, t, value, row_number() OVER (PARTITION BY hotel, metric ORDER BY t) AS rn
     FROM {source} WHERE value IS NOT NULL),
   g AS (SELECT i / 10.0 AS alpha, j / 10.0 AS beta FROM generate_series(1, 9) x(i), generate_series(1, 9) y(j)),
-  h AS (SELECT a.hotel, a.metric, alpha, beta, CAST(1 AS BIGINT) AS rn, a.value AS level, c.value - a.value AS trend,
-      CAST(0 AS DOUBLE) AS sse FROM v a JOIN v c ON c.hotel = a.hotel AND c.metric = a.metric AND c.rn = 2, g WHERE a.rn = 1
+  h AS (SELECT a.hotel, a.metric, alpha, beta, CAST(1 AS BIGINT) AS rn, a.t, a.value AS level,
+      (c.value - a.value) / (c.t - a.t) AS trend, CAST(0 AS DOUBLE) AS sse
+      FROM v a JOIN v c ON c.hotel = a.hotel AND c.metric = a.metric AND c.rn = 2, g WHERE a.rn = 1
     UNION ALL
-    SELECT h.hotel, h.metric, alpha, beta, v.rn, alpha * v.value + (1 - alpha) * (level + trend),
-      beta * (alpha * v.value + (1 - alpha) * (level + trend) - level) + (1 - beta) * trend,
-      sse + (v.value - (level + trend)) * (v.value - (level + trend))
-    FROM h JOIN v ON v.hotel = h.hotel AND v.metric = h.metric AND v.rn = h.rn + 1),
-  ends AS (SELECT hotel, metric, max(rn) AS n, max(t) AS last_t FROM v GROUP BY hotel, metric)
-SELECT h.hotel, h.metric, alpha, beta, e.n, e.last_t, level, trend, sse FROM h JOIN ends e ON e.hotel = h.hotel
-  AND e.metric = h.metric AND e.n = h.rn
+    SELECT hotel, metric, alpha, beta, rn, t, l, beta * (l - base) + (1 - beta) * trend, sse + (value - base - trend) ** 2
+    FROM (SELECT *, alpha * value + (1 - alpha) * (base + trend) AS l FROM (
+      SELECT h.hotel, h.metric, alpha, beta, v.rn, v.t, v.value, trend, sse, level + (v.t - h.t - 1) * trend AS base
+      FROM h JOIN v ON v.hotel = h.hotel AND v.metric = h.metric AND v.rn = h.rn + 1))),
+  ends AS (SELECT hotel, metric, count(value) AS n, max(t) AS last_t FROM {source} GROUP BY hotel, metric)
+SELECT h.hotel, h.metric, alpha, beta, e.n, e.last_t, level + (e.last_t - h.t) * trend AS level, trend, sse
+  FROM h JOIN ends e ON e.hotel = h.hotel AND e.metric = h.metric AND e.n = h.rn
   QUALIFY row_number() OVER (PARTITION BY h.hotel, h.metric ORDER BY sse, alpha, beta) = 1"""
 HOLT_ALL = HOLT.format(train="", source="ser ")
 TRAIN = """SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY hotel, metric) AS end_t FROM ser ) WHERE t <= end_t - 6"""
@@ -51,15 +52,24 @@ WINTERS_ALL = WINTERS.format(train="", source="ser ")
 WINTERS_TRAIN = WINTERS.format(train=f"tr AS ({TRAIN}),", source="tr ")
 
 
+def _wide(effect: str) -> str:
+    """Half width of the interval: squares of an error's effects on the months between, added up."""
+    return f"1.96 * sqrt(sse / (n - 1) * (1 + coalesce(list_sum(list_transform(range(1, step), lambda j: ({effect}) ** 2)), 0)))"
+
+
+HOLT_WIDE = _wide("alpha * (1 + beta * j)")
+WINTERS_WIDE = _wide("alpha * (1 + beta * j) + CASE WHEN j % 12 = 0 THEN gamma * (1 - alpha) ELSE 0 END")
+
+
 def _winters_steps(fit: str) -> str:
     return f"""SELECT hotel, metric, CAST(step AS INTEGER) AS step, CAST(last_t + step AS INTEGER) AS t, p AS forecast,
-      p - 1.96 * sqrt(sse / (n - 1)) AS lower, p + 1.96 * sqrt(sse / (n - 1)) AS upper
+      p - {WINTERS_WIDE} AS lower, p + {WINTERS_WIDE} AS upper
       FROM (SELECT *, level + step * trend + season[(step - 1) % 12 + 1] AS p FROM ({fit}), generate_series(1, 6) s(step))"""
 
 
 def _holt_steps(fit: str) -> str:
     return f"""SELECT hotel, metric, CAST(step AS INTEGER) AS step, CAST(last_t + step AS INTEGER) AS t, level + step * trend AS forecast,
-      level + step * trend - 1.96 * sqrt(sse / (n - 1)) AS lower, level + step * trend + 1.96 * sqrt(sse / (n - 1)) AS upper
+      level + step * trend - {HOLT_WIDE} AS lower, level + step * trend + {HOLT_WIDE} AS upper
       FROM ({fit}), generate_series(1, 6) s(step)"""
 
 

@@ -35,7 +35,8 @@ def _profile_sql() -> str:
 def _describe_sql() -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, "
-        f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM b " for c in DESCRIBED)
+        f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, quantile_cont({c}, 0.25) AS q25, "
+        f"quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q75 FROM b " for c in DESCRIBED)
 
 
 def _spread(df, *cols):
@@ -108,7 +109,7 @@ def register(cat: Catalog) -> None:
         "SELECT hotel, country, market_segment, deposit_type, meal, count(*) AS bookings FROM b GROUP BY ALL")
     add("null_profile", lambda x: P.null_profile(x.raw()), _profile_sql())
     add("describe_table", lambda x: P.describe_table(x.bookings(), DESCRIBED), _describe_sql(),
-        r6="mean std min max")
+        r6="mean std min max q25 median q75")
     add("fill_missing",
         lambda x: P.fill_missing(x.raw()).groupBy("country", "children", "agent").agg(bookings()),
         """SELECT coalesce(country, 'Unknown') AS country, CAST(coalesce(children, 0) AS BIGINT) AS children,
