@@ -22,11 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles with a similarity of 0.8 or more: the least doc_id.
 
-    Documents without words are linked with nothing and stay; rows of one doc_id count as one document.
+    Documents without words and rows without an id are linked with nothing and stay. Rows are told apart by id and text, so
+    a repeated id loses only the texts that a smaller id has; rows that share the least id stay.
     """
-    groups = jaccard_join.similar_groups(docs, jaccard_join.Rule(n=5, percent=80))
-    extra = groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("extra")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["extra"], "left_anti")
+    groups = jaccard_join.similar_groups(docs, jaccard_join.Rule(n=5, percent=80), with_key=True)
+    return without_rows(docs, groups.filter(F.col("component_id") < F.col("doc_id")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
