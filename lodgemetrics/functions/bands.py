@@ -36,7 +36,7 @@ def lead_time_bin_order(c: str | Column = "lead_time", scheme: str = "dashboard"
 
 def season(month: str | Column, scheme: str = "rate") -> Column:
     """rate: Peak / Shoulder / Low; calendar: the four seasons; window: ADR season groups."""
-    m = col(month)
+    m = col(month)  # fixed values: months and names of each scheme
     if scheme == "rate":
         return (F.when(m.isin(7, 8), "Peak").when(m.isin(4, 5, 6, 9, 10), "Shoulder")
                 .otherwise("Low"))

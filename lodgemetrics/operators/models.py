@@ -136,6 +136,8 @@ def feature_importance(model: ForestModel | PipelineModel, spark) -> DataFrame:
 
 # --- rate model on the monthly panel
 
+# The covariates of the rate model, and how a rolling mean is blended towards the forecast.
+ROLL_WEIGHT, FORECAST_WEIGHT = 0.4, 0.6
 RATE_FEATURES = [
     "hotel_code", "month_number", "demand_lag1", "adr_lag1", "revpar_lag1", "occ_lag1", "lead_mean_lag1",
     "demand_lag12", "adr_lag12", "revpar_lag12", "adr_roll3", "demand_roll3", "share_online_ta", "share_groups",
@@ -221,7 +223,7 @@ def rate_model(features: DataFrame, bundle: DataFrame) -> DataFrame:
     rows = rows.withColumn("_s", F.coalesce("_same", "_last")).drop("_same", "_last")
     rows = rows.select("*", *[F.col(f"_s.{c}").alias(c) for c in state_cols]).drop("_s")
     for c, fc in (("demand_roll3", "fc_demand"), ("adr_roll3", "fc_adr")):
-        rows = rows.withColumn(c, F.coalesce(0.4 * F.col(c) + 0.6 * F.col(fc), F.col(fc)))
+        rows = rows.withColumn(c, F.coalesce(ROLL_WEIGHT * F.col(c) + FORECAST_WEIGHT * F.col(fc), F.col(fc)))
     rows = rows.na.fill(0.0, subset=state_cols)
     scored = _vector().transform(rows)
     scored = next_adr.transform(scored).withColumnRenamed("prediction", "ml_adr_raw")
