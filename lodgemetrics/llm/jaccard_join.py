@@ -528,8 +528,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text",
-                   count_links: bool = False) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: the least doc_id that links reach, itself included.
+                   count_links: bool = False, with_key: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` (and ``key``) of every row: the least doc_id that links reach, itself included.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing, as are rows with a
     null id (component null). Equal sets are linked, whatever their texts; repeated rows are answered each; an empty
@@ -544,7 +544,7 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(heads, "component").select(F.col("class_id").alias("c"), "component_id", "own")
     out = members.join(named, members["class_id"] == named["c"], "left")
-    columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
+    columns = ["doc_id", *["key"] * with_key, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
     if count_links:
         both = found.select(F.col("a").alias("linked"), F.col("b").alias("other")).unionByName(
             found.select(F.col("b").alias("linked"), F.col("a").alias("other")))

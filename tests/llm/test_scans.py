@@ -303,3 +303,16 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in nxt.select("doc_id").collect()} == seen
     text = " ".join(r["text"] or "" for r in docs.select("text").collect())
     assert not re.search(r"@mail\d", text)
+
+
+def test_similar_rows_go_by_id_and_text(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(1, base), (2, base + " more"), (2, other), (None, base), (None, other), (3, other), (3, None), (4, ""), (1, base)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, key string, component_id long")
+    got = corpus_pipeline.keep_one_of_similar(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, base), (1, base), (2, other), (None, base), (None, other), (3, None), (4, "")], key=str)
