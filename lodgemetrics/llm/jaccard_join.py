@@ -19,7 +19,7 @@ from lodgemetrics.llm.shared import (
 
 #: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed; one
 #: part more than differences need for so many differences.
-TILE, LISTED, EXTRA = 64, 64, 8
+TILE, LISTED, EXTRA = 64, 4, 8
 #: Rounds in which one class of every signature's group is compared with the others, at most.
 ROUNDS = 8
 
@@ -267,7 +267,10 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
             break
     open_ = staged(_open_pairs(rest, rule), "open")
     pairs = open_.filter("b IS NOT NULL").select("a", "b").distinct()
-    large = open_.filter("b IS NULL").select(F.col("a").alias("node"), F.col("group").alias("component"), "side").distinct()
+    many = open_.filter("b IS NULL AND group IS NOT NULL").select("a", F.col("group").alias("b"))
+    sides = open_.filter("b IS NULL AND side IS NOT NULL").select(F.col("a").alias("c"), "side").distinct()
+    clusters = components(many)
+    large = clusters.join(sides, clusters["node"] == sides["c"]).select("node", "component", "side")
     found = first.unionByName(_paired(sets, pairs, rule)).unionByName(_tiled(sets, large, rule, thin))
     weights = members.filter(F.col("doc_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("weight"))
     return members, staged(found if thin else found.distinct(), "verified"), weights
@@ -373,8 +376,8 @@ def _stars(rest: DataFrame, turn: int, rule: Rule) -> DataFrame:
 
 def _open_pairs(met: DataFrame, rule: Rule) -> DataFrame:
     """Of each group (sig, class_id, n, side) what is still to compare: ``a, b`` of the classes of linkable size on
-    different sides, or, of a group with more than LISTED of them a class, ``a, group, side`` (b null). Groups of the same
-    classes share their number.
+    different sides, or, of a group of more than LISTED classes, ``a, group, side`` (b null), where group is the least of
+    its classes.
     """
     percent, listed = rule.percent, LISTED
 
@@ -394,27 +397,14 @@ def _open_pairs(met: DataFrame, rule: Rule) -> DataFrame:
             left.append(class_id[i[fits]])
             right.append(class_id[j[fits]])
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-        tiled = []
-        for g in np.unique(group[of > listed]).tolist():
-            own = np.flatnonzero(group == g)
-            sides, at, count = np.unique(side[own], return_inverse=True, return_counts=True)
-            if len(own) ** 2 - (count.astype(np.int64) ** 2).sum() > 2 * listed * len(own):
-                tiled.append(own)
-                continue
-            for i in own[at != np.argmax(count)]:  # the few that are not on the largest side, with all others
-                j = own[(side[own] != side[i])]
-                j = j[100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j])]
-                few_pairs = np.stack([np.minimum(class_id[j], class_id[i]), np.maximum(class_id[j], class_id[i])], axis=1)
-                pairs = np.concatenate([pairs, few_pairs])
-        pairs = np.unique(pairs, axis=0)
-        many = np.concatenate([np.zeros(0, np.int64), *tiled])
-        names = np.zeros(len(size), np.uint64)
-        np.add.at(names, group[many], mix(class_id[many].view(np.uint64)))
+        many = np.flatnonzero(of > listed)
+        least = class_id[np.flatnonzero(np.append(True, np.diff(sig) != 0))] if len(sig) else class_id
+        stars = np.unique(np.stack([class_id[many], least[group[many]], side[many]], axis=1), axis=0)
         blank = [None] * len(pairs)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(pairs[:, 0], class_id[many])), pa.array([*pairs[:, 1].tolist(), *[None] * len(many)], pa.int64()),
-             pa.array([*blank, *names[group[many]].view(np.int64).tolist()], pa.int64()),
-             pa.array([*blank, *side[many].tolist()], pa.int64())], ["a", "b", "group", "side"])
+            [pa.array(np.append(pairs[:, 0], stars[:, 0])), pa.array([*pairs[:, 1].tolist(), *[None] * len(stars)], pa.int64()),
+             pa.array([*blank, *stars[:, 1].tolist()], pa.int64()), pa.array([*blank, *stars[:, 2].tolist()], pa.int64())],
+            ["a", "b", "group", "side"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, ["sig", "class_id", "n", "side"]):
@@ -479,16 +469,18 @@ def _paired(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _tiled(sets: DataFrame, clusters: DataFrame, rule: Rule, thin: bool) -> DataFrame:
-    """``a, b`` of links between sides within clusters (node, component, side). A cluster's classes are dealt, by size, into blocks of about
-    TILE; each two blocks of linkable sizes are a task's tile. ``thin`` leaves out a tile's links that close a circle."""
+    """``a, b`` of links between sides within clusters (node, component, side). A cluster's classes are dealt, by side and size, into blocks of
+    about TILE; each two blocks of linkable sizes and more than one side are a task's tile. ``thin`` leaves out a tile's links that close a circle."""
     sized = clusters.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size"))
     own = clusters.join(sized, clusters["component"] == sized["c"]).withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")) \
         .join(sets.select("class_id", "n"), F.col("node") == sets["class_id"]).select("class_id", "component", "side", "blocks", "n")
-    by_size = F.percent_rank().over(Window.partitionBy("component").orderBy("n", "class_id"))
-    own = own.withColumn("block", F.least(F.floor(by_size * F.col("blocks")), F.col("blocks") - 1).cast("int"))
-    spans = own.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one, two = spans.toDF("component", "left", "low", "high"), spans.toDF("c2", "right", "low2", "high2")
-    tile = one.join(two, (one["component"] == two["c2"]) & (F.col("left") <= F.col("right"))
+    in_order = F.percent_rank().over(Window.partitionBy("component").orderBy("side", "n", "class_id"))
+    own = own.withColumn("block", F.least(F.floor(in_order * F.col("blocks")), F.col("blocks") - 1).cast("int"))
+    spans = own.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"),
+                                                  F.min("side").alias("s"), F.max("side").alias("t"))
+    one, two = spans.toDF("component", "left", "low", "high", "s", "t"), spans.toDF("c2", "right", "low2", "high2", "s2", "t2")
+    one_side = (F.col("s") == F.col("t")) & (F.col("s2") == F.col("t2")) & (F.col("s") == F.col("s2"))
+    tile = one.join(two, (one["component"] == two["c2"]) & (F.col("left") <= F.col("right")) & ~one_side
                     & (100 * F.col("high") >= rule.percent * F.col("low2")) & (100 * F.col("high2") >= rule.percent * F.col("low")))
     sides = tile.select("component", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     tiles = own.select("component", "block", "class_id", "side").join(sides, ["component", "block"]) \
