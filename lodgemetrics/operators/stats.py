@@ -19,6 +19,7 @@ from lodgemetrics.functions.special import (
 )
 from lodgemetrics.operators.logit import factor_logits, logit_terms
 from lodgemetrics.schema import LEAKAGE_COLUMNS
+from lodgemetrics.session import cut_lineage
 
 
 def _num(c: str) -> Column:
@@ -153,7 +154,10 @@ def cramers_v_all(df: DataFrame, cols: list[str], target: str = "is_canceled") -
 def chi_square_test(df: DataFrame, cols: list[str], target: str, by: list[str] = (), p_value: bool = True
                     ) -> DataFrame:
     """Independence test per column with the number of expected counts below 5."""
-    cells = contingency(df, cols, target, by)
+    return _independence(contingency(df, cols, target, by), by, p_value)
+
+
+def _independence(cells: DataFrame, by: list[str], p_value: bool) -> DataFrame:
     key = [*by, "variable"]
     rows = cells.groupBy(*key, "x").agg(F.sum("o").alias("_r"))
     columns = cells.groupBy(*key, "y").agg(F.sum("o").alias("_c"))
@@ -312,16 +316,18 @@ def tests_by_hotel(df: DataFrame, p_value: bool = True, logits: bool = True) ->
     ``df`` needs lead_time_bin and deposit_type. A logit's statistic is its likelihood ratio, its effect the pseudo R2.
     """
     factors = ["lead_time_bin", "deposit_type", "market_segment"]
+    df = cut_lineage(df.select("hotel", "lead_time", "is_canceled", *factors))  # several passes, over narrow rows
+    cells = cut_lineage(contingency(df, factors, "is_canceled", ["hotel"]))
     mw = mann_whitney(df, "lead_time", "is_canceled", ["hotel"], p_value=p_value).select(
         "hotel", F.lit("lead_time").alias("variable"), F.lit("mann_whitney").alias("test"),
         F.col("u_stat").alias("statistic"), F.col("rank_biserial").alias("effect"), *(["p_value"] if p_value else []))
-    chi = chi_square_test(df, factors, "is_canceled", ["hotel"], p_value)
+    chi = _independence(cells, ["hotel"], p_value)
     out = mw.unionByName(chi.select(
         "hotel", "variable", F.lit("chi_square").alias("test"), F.col("chi2").alias("statistic"),
         F.col("cramers_v").alias("effect"), *(["p_value"] if p_value else [])))
     if not logits:
         return out
-    return out.unionByName(factor_logits(contingency(df, factors, "is_canceled", ["hotel"]), ["hotel"], p_value))
+    return out.unionByName(factor_logits(cells, ["hotel"], p_value))
 
 
 def odds_ratio_logit(df: DataFrame, numeric: list[str], categorical: dict[str, list[str]],
