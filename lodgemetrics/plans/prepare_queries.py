@@ -11,6 +11,7 @@ from lodgemetrics.operators import star as S
 from lodgemetrics.plans.bridge_sql import LEAD_BIN, LEAD_EDA, LEAD_ORDER, season_of
 from lodgemetrics.plans.catalog import Catalog, Inputs
 from lodgemetrics.schema import RAW_BOOKING
+from lodgemetrics.session import cut_lineage
 from lodgemetrics.sources.bridge import table
 
 DESCRIBED = ["booking_key", "is_canceled", "lead_time", "stays_in_weekend_nights", "stays_in_week_nights", "adults",
@@ -56,31 +57,22 @@ def _dedup_sql(keys: str) -> str:
       WHERE rn = 1 GROUP BY hotel, customer_type"""
 
 
-def _dims(x: Inputs):
-    b = x.bookings(part=True, nation=True)
-    return b, {
-        "dim_hotel": S.build_dim(b, ["hotel"], "hotel_key"),
-        "dim_status": S.build_dim(b, ["reservation_status"], "status_key"),
-        "dim_deposit": S.build_dim(b, ["deposit_type"], "deposit_key"),
-        "dim_country": S.build_dim(b, ["country"], "country_key"),
-        "dim_room_type": S.build_dim_room_union(b),
-    }
-
-
 def _star_join(x: Inputs):
-    b, d = _dims(x)
-    joined = S.star_join(S.build_fact_booking(b), [
-        (d["dim_hotel"].withColumnRenamed("hotel", "hotel_name"), "hotel", "hotel_name", "inner"),
-        (d["dim_deposit"].withColumnRenamed("deposit_type", "deposit_name"), "deposit_type",
-         "deposit_name", "inner"),
-        (d["dim_country"].withColumnRenamed("country", "country_code"), "country", "country_code",
-         "left")])
+    # written once: each dimension and the join would bring all tables together again
+    fact = cut_lineage(S.build_fact_booking(x.bookings(part=True, nation=True))
+                       .select("hotel", "deposit_type", "country", "revenue"))
+    joined = S.star_join(fact, [
+        (S.build_dim(fact, ["hotel"], "hotel_key").withColumnRenamed("hotel", "hotel_name"), "hotel", "hotel_name", "inner"),
+        (S.build_dim(fact, ["deposit_type"], "deposit_key").withColumnRenamed("deposit_type", "deposit_name"),
+         "deposit_type", "deposit_name", "inner"),
+        (S.build_dim(fact, ["country"], "country_key").withColumnRenamed("country", "country_code"), "country",
+         "country_code", "left")])
     return joined.groupBy("hotel_key", "hotel_name", "deposit_key", "deposit_name", "country_key",
                           "country_code").agg(bookings(), F.sum("revenue").alias("revenue"))
 
 
 def _role_join(x: Inputs, role: str):
-    b = x.bookings(part=True)
+    b = cut_lineage(x.bookings(part=True).select("reserved_room_type", "assigned_room_type", "revenue"))
     joined = S.role_join(b, S.build_dim_room_union(b), role)
     return joined.groupBy(f"{role}_room_key", "room_type").agg(bookings(),
                                                                F.sum("revenue").alias("revenue"))
@@ -93,10 +85,10 @@ def _fk_sql(name: str, key: str, source: str) -> str:
 
 
 def _fk(x: Inputs):
-    b, d = _dims(x)
-    checks = [S.fk_check(b, d["dim_hotel"], "hotel", "hotel", "fk_hotel"),
-              S.fk_check(b, d["dim_country"], "country", "country", "fk_country"),
-              S.fk_check(b, d["dim_room_type"].where("room_type <> 'I'"), "assigned_room_type",
+    b = cut_lineage(x.bookings(part=True, nation=True).select("hotel", "country", "reserved_room_type", "assigned_room_type"))
+    checks = [S.fk_check(b, S.build_dim(b, ["hotel"], "hotel_key"), "hotel", "hotel", "fk_hotel"),
+              S.fk_check(b, S.build_dim(b, ["country"], "country_key"), "country", "country", "fk_country"),
+              S.fk_check(b, S.build_dim_room_union(b).where("room_type <> 'I'"), "assigned_room_type",
                          "room_type", "fk_assigned_room_without_i")]
     return checks[0].unionByName(checks[1]).unionByName(checks[2])
 
