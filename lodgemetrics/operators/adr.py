@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodgemetrics.functions import bands
-from lodgemetrics.functions.distribution import describe_by, equi_depth, merge_counts, value_counts
+from lodgemetrics.functions.distribution import bucket_of, describe_by, equi_depth, merge_counts, value_counts
 from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, ratio, spread, stayed
 from lodgemetrics.schema import CITY, RESORT
+from lodgemetrics.session import cut_lineage
 
 SPREAD = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 
@@ -79,13 +80,15 @@ def rolling_median_by_lead(stays: DataFrame, by: list[str] = ("hotel",), min_win
     """Centred rolling median of ADR along lead time, one point per lead day.
 
     The window is max(min_window, n / share) stays wide and takes whole lead days: every day
-    whose mid-rank lies within half a window. Only day totals are ordered per group; the medians
-    come from (day, rate) counts.
+    whose mid-rank lies within half a window. Windows add up the buckets of their days; rows are
+    opened only in the buckets that hold a window's median.
     """
     by = list(by)
     keys = ", ".join(by)
-    per_day = value_counts(stays, [*by, "lead_time"], "adr")
-    days = per_day.groupBy(*by, "lead_time").agg(F.sum("_cnt").alias("_n"))
+    rate = F.col("adr").cast("double")
+    rows = cut_lineage(stays.where(rate.isNotNull()).select(*by, "lead_time", bucket_of(rate).alias("_bucket"), rate.alias("_value")))
+    binned = cut_lineage(rows.groupBy(*by, "lead_time", "_bucket").agg(F.count(F.lit(1)).alias("_cnt")))
+    days = binned.groupBy(*by, "lead_time").agg(F.sum("_cnt").alias("_n"))
     upto = W.partitionBy(*by).orderBy("lead_time").rowsBetween(W.unboundedPreceding, W.currentRow)
     total = F.sum("_n").over(W.partitionBy(*by))
     mid = F.sum("_n").over(upto) - F.col("_n") / 2
@@ -95,12 +98,24 @@ def rolling_median_by_lead(stays: DataFrame, by: list[str] = ("hotel",), min_win
     spans = placed.selectExpr(*by, "lead_time AS _centre", f"min(lead_time) {frame} AS _from",
                               f"max(lead_time) {frame} AS _to")
     member = spans.select(*by, "_centre", F.explode(F.sequence("_from", "_to")).alias("lead_time"))
-    counts = (per_day.join(member, [*by, "lead_time"]).groupBy(*by, "_centre", "_bucket", "_value")
-              .agg(F.sum("_cnt").alias("_cnt")))
-    stats = describe_by(stays, [*by, "_centre"], "adr", {"rolling_median": 0.5}, counts=counts)
-    return (stats.where(F.col("n") >= min_periods)
-            .select(*by, F.col("_centre").alias("lead_time"), F.col("n").alias("window_rows"),
-                    "rolling_median"))
+    window = W.partitionBy(*by, "_centre")
+    rising = window.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hist = binned.join(member, [*by, "lead_time"]).groupBy(*by, "_centre", "_bucket").agg(F.sum("_cnt").alias("_c")) \
+        .withColumns({"_before": F.sum("_c").over(rising) - F.col("_c"), "_n": F.sum("_c").over(window)})
+    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    middle = hist.where((F.col("_n") >= min_periods) & (F.col("_before") <= high) & (F.col("_before") + F.col("_c") > low))
+    opened = cut_lineage(middle.select(*by, "_centre", "_bucket", "_before", "_n").join(member, [*by, "_centre"]))
+    inside = W.partitionBy(*by, "_centre", "_bucket").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = (rows.join(opened, [*by, "lead_time", "_bucket"]).groupBy(*by, "_centre", "_bucket", "_value", "_before", "_n")
+              .agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_end", F.col("_before") + F.sum("_cnt").over(inside)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_end") - F.col("_cnt") <= rank) & (rank < F.col("_end")), F.col("_value")))
+
+    ends = counts.groupBy(*by, "_centre", "_n").agg(at(low).alias("_low"), at(high).alias("_high"))
+    median = F.col("_low") + (F.col("_high") - F.col("_low")) * ((F.col("_n") - 1) * 0.5 - low)
+    return ends.select(*by, F.col("_centre").alias("lead_time"), F.col("_n").alias("window_rows"),
+                       median.alias("rolling_median"))
 
 
 def room_counts(stays: DataFrame, by: list[str] = ()) -> DataFrame:
