@@ -109,11 +109,12 @@ def _tuned(x):
 
 
 def _rate_features(x):
-    return R.stance_labels_hist(R.lag_features(R.monthly_panel(x.bookings())))
+    return R.stance_labels_hist(R.lag_features(M.cut_lineage(R.monthly_panel(x.bookings()))))
 
 
 def _rate_model(x):
-    series = O.monthly_series(x.bookings(), metrics=["demand", "adr", "revpar"])
+    # months are few and read by every step; left lazy, each reading joins all bookings again
+    series = M.cut_lineage(O.monthly_series(x.bookings(), metrics=["demand", "adr", "revpar"]))
     bundle = O.forecast_bundle(series, O.seasonal_naive(series))
     return M.rate_model(_rate_features(x), bundle).select(
         "hotel", "year_month", "fc_adr", "ml_adr_raw", "ml_adr_adj", "ml_pct_vs_season", "ml_adr", "ml_stance")

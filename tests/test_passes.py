@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
-@pytest.mark.parametrize("name", ["tests_by_hotel", "star_join", "fk_check", "rolling_median_by_lead"])
+@pytest.mark.parametrize("name", ["tests_by_hotel", "star_join", "fk_check", "rolling_median_by_lead", "rate_model"])
 def test_tables_are_joined_once(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
