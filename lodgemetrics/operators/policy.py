@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from lodgemetrics.functions import bands
 from lodgemetrics.functions.distribution import equi_depth, ranked_counts, ranked_rows, value_counts
 from lodgemetrics.functions.exprs import bookings, cancel_rate, count_if, literal_rows, ratio
 from lodgemetrics.functions.special import mcnemar_exact, normal_two_sided
+from lodgemetrics.session import cut_lineage
 
 LABEL = "is_canceled"
 
@@ -154,25 +156,54 @@ def model_compare(df: DataFrame, score_a: str, t_a: float, score_b: str, t_b: fl
     return out.withColumns({"mcnemar_p": mcnemar_exact("n01", "n10"), "fpr_p": normal_two_sided("fpr_z")})
 
 
-#: Cells of one range of scores, and cells drawn at once for all replicates.
-_RANGE, _CHUNK = 50_000, 2_000
+#: Cells of one range of scores, and cells drawn at once for all replicates (their draws stay in a core's cache).
+_RANGE, _CHUNK = 50_000, 256
+
+
+@lru_cache(maxsize=64)
+def _poisson_table(mean: int) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of a Poisson distribution, and the draw of every number by its leading 16 bits, -1 where a step cuts them."""
+    k = np.arange(1, int(mean + 12 * np.sqrt(mean) + 25))
+    steps = np.cumsum(np.exp(np.concatenate([[0.0], np.cumsum(np.log(mean / k))]) - mean))
+    drawn = np.searchsorted(steps, np.arange(2 ** 16 + 1) / 2.0 ** 16, "right")
+    return steps, np.where(drawn[:-1] == drawn[1:], drawn[:-1], -1).astype(float)
 
 
 def _poisson_weights(cell: np.ndarray, n: np.ndarray, n_boot: int) -> np.ndarray:
     """Poisson draw of mean n for each cell and replicate, a function of the cell's hash and the replicate alone."""
     x = cell.view(np.uint64)[:, None] + np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
-    out = np.empty(u.shape)
-    for mean in np.unique(n):
-        k = np.arange(1, int(mean + 12 * np.sqrt(mean) + 25))
-        log_p = np.concatenate([[0.0], np.cumsum(np.log(mean / k))]) - mean
-        rows = n == mean
-        out[rows] = np.searchsorted(np.cumsum(np.exp(log_p)), u[rows], "right")
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    out = np.empty(x.shape)
+    for mean in np.unique(n).tolist():
+        rows = slice(None) if n[0] == mean == n[-1] and (n == mean).all() else n == mean
+        own = x[rows]
+        steps, table = _poisson_table(mean)
+        drawn = table.take((own >> np.uint64(48)).view(np.int64))
+        cut = drawn < 0
+        if cut.any():
+            drawn[cut] = np.searchsorted(steps, (own[cut] >> np.uint64(11)).astype(float) * 2.0 ** -53, "right")
+        out[rows] = drawn
     return out
 
 
+def _won(w: np.ndarray, s: np.ndarray, y: np.ndarray, below_q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positives, negatives and won pairs of each replicate over whole scores, with ``below_q`` negatives below them."""
+    zero = y == 0
+    under = np.vstack([np.zeros(w.shape[1]), np.cumsum(w[zero], axis=0)])
+    before = np.concatenate([[0], np.cumsum(zero)])
+    starts = np.concatenate([[True], s[1:] != s[:-1]])
+    first = np.flatnonzero(starts)
+    place = (np.cumsum(starts) - 1)[y == 1]
+    low, high = before[first][place], before[np.append(first[1:], len(s))][place]
+    ones = w[y == 1]
+    less = under[low] if (low == high).all() else (under[low] + under[high]) / 2
+    p = ones.sum(axis=0)
+    return p, under[-1], p * below_q + np.einsum("ij,ij->j", ones, less)
+
+
 def _auc_parts(batches: Iterator[pd.DataFrame], n_boot: int) -> Iterator[pd.DataFrame]:
     """For each score of a range (rows sorted by m, s): its least value, drawn positives and negatives and won pairs of
     each replicate inside the range. Memory does not follow the range."""
@@ -183,24 +214,23 @@ def _auc_parts(batches: Iterator[pd.DataFrame], n_boot: int) -> Iterator[pd.Data
     for batch in batches:
         for at in range(0, len(batch), _CHUNK):
             for name, part in batch.iloc[at:at + _CHUNK].groupby("m", sort=False):
-                s = part["s"].to_numpy()
+                s, y = part["s"].to_numpy(), part["y"].to_numpy()
                 if name != m:
                     if m is not None:
                         yield told(m, low, below_p + p, below_q + q, won + p * (below_q + q / 2))
                     m, low, last = name, s[0], s[0]
                     below_p, below_q, won, p, q = (np.zeros(n_boot) for _ in range(5))
                 w = _poisson_weights(part["cell"].to_numpy(), part["n"].to_numpy(), n_boot)
-                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                y = part["y"].to_numpy()[:, None]
-                ps, qs = np.add.reduceat(w * (y == 1), first), np.add.reduceat(w * (y == 0), first)
-                if s[0] == last:
-                    ps[0] += p
-                    qs[0] += q
-                else:
-                    ps, qs = np.vstack([p, ps]), np.vstack([q, qs])
-                under = below_q + np.cumsum(qs, axis=0) - qs  # all but the last score are complete
-                won = won + (ps[:-1] * (under[:-1] + qs[:-1] / 2)).sum(axis=0)
-                below_p, below_q, p, q, last = below_p + ps[:-1].sum(axis=0), under[-1], ps[-1], qs[-1], s[-1]
+                a, b = np.searchsorted(s, last, "right"), np.searchsorted(s, s[-1], "left")  # scores a:b are complete
+                p, q = p + w[:a][y[:a] == 1].sum(axis=0), q + w[:a][y[:a] == 0].sum(axis=0)
+                if a == len(s):
+                    continue
+                won, below_p, below_q = won + p * (below_q + q / 2), below_p + p, below_q + q
+                if a < b:
+                    more = _won(w[a:b], s[a:b], y[a:b], below_q)
+                    below_p, below_q, won = below_p + more[0], below_q + more[1], won + more[2]
+                p, q = w[b:][y[b:] == 1].sum(axis=0), w[b:][y[b:] == 0].sum(axis=0)
+                last = s[-1]
     if m is not None:
         yield told(m, low, below_p + p, below_q + q, won + p * (below_q + q / 2))
 
@@ -216,8 +246,8 @@ def bootstrap_delta_auc(df: DataFrame, score_a: str, score_b: str, n_boot: int =
     def slot(c: str) -> Column:
         return F.col(c).cast("double") if bins is None else F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("double")
 
-    cells = df.groupBy(slot(score_a).alias("a"), slot(score_b).alias("b"), F.col(LABEL).alias("y")).agg(
-        F.count(F.lit(1)).alias("n")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("y").isin(0, 1))
+    cells = cut_lineage(df.groupBy(slot(score_a).alias("a"), slot(score_b).alias("b"), F.col(LABEL).alias("y")).agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("y").isin(0, 1)))
     side = F.explode(F.array(F.struct(F.lit("a").alias("m"), F.col("a").alias("s")),
                              F.struct(F.lit("b").alias("m"), F.col("b").alias("s")))).alias("e")
     sides = cells.select(F.xxhash64(F.lit(seed), "a", "b", "y").alias("cell"), F.col("y").cast("int").alias("y"), "n", side) \
