@@ -30,3 +30,22 @@ def test_poisson_weights_are_those_of_the_whole_number():
         steps = policy._poisson_table(mean)[0]
         want[n == mean] = np.searchsorted(steps, u[n == mean], "right")
     assert np.array_equal(policy._poisson_weights(cell, n, 40), want)
+
+
+def test_drawn_rows_are_those_of_the_whole_number():
+    from lodgemetrics.operators import trees
+
+    key = np.random.default_rng(3).integers(0, 2 ** 63, 50_000).astype(np.uint64)
+    counts = np.random.default_rng(4).integers(0, 60, 50_000)
+    want = [np.searchsorted(trees._STEPS[m], u, "right") if m else 0 for m, u in zip(counts.tolist(), trees._uniform(key))]
+    assert np.array_equal(trees.redrawn(counts, key), want)
+
+
+def test_counts_travel_in_narrow_numbers():
+    from lodgemetrics.operators import trees
+
+    n0, n1 = np.arange(640.0) % 200, np.zeros(640)
+    packed = trees._packed(n0, n1)
+    assert sum(map(len, packed)) <= 2 * 640
+    sparse = trees._packed(np.where(n0 == 7, 70_000.0, 0), n1)
+    assert sum(map(len, sparse)) < 100
