@@ -20,6 +20,8 @@ from lodgemetrics.llm.shared import (
 #: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed; one
 #: part more than differences need for so many differences.
 TILE, LISTED, EXTRA = 64, 4, 8
+#: Bytes of text whose sets are made at once; longer texts alone.
+PIECE = SLICE // 4
 #: Rounds in which one class of every signature's group is compared with the others, at most.
 ROUNDS = 8
 
@@ -54,7 +56,7 @@ def set_slices(column: pa.Array, n: int) -> Iterator[tuple[int, int, Sets]]:
     """(first row, end row, shingle sets) of whole texts, A-Z lower-cased, words [^\\x20\\x09-\\x0D]+; in slices of
     bounded size, so that memory does not follow the number of rows in a batch."""
     raw, offsets = buffers(column)
-    for a, b in row_slices(offsets):
+    for a, b in row_slices(offsets, PIECE):
         part, off = LOWER[raw[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a]
         if len(part) > SLICE:  # one long text
             words = long_text_words(part)
@@ -204,7 +206,13 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     names = ["doc_id", "key", "n", "class_id", "line", "shard", "lot", "once", "more"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, known = [], np.zeros(0, np.uint64)
+        lots, known = sketch.Lots(width), np.zeros(0, np.uint64)
+
+        def fragments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                blank = [pa.nulls(part.num_rows, t) for t in (rows_type, pa.int64(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(blank + part.columns, names)
+
         for batch in batches:
             for a, b, sets in set_slices(batch["text"], rule.n):
                 ids = set_hash(sets)
@@ -215,10 +223,9 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
                 row, sig = signatures(sets, rule)
                 fresh = _first_of(ids, known)
                 known = np.union1d(known, ids)
-                sigs.append(_once_per_row(row, sig, fresh))
-        part = sketch.partition_sketch(sigs, width)
-        blank = [pa.nulls(part.num_rows, t) for t in (rows_type, pa.int64(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(blank + part.columns, names)
+                yield from fragments(lots.add(_once_per_row(row, sig, fresh)))
+        yield from fragments(lots.rest())
+        give_back_memory()
 
     one = staged(rows.mapInArrow(first_pass, f"doc_id {kind}, key long, n long, class_id long{fragment}"), "sets")
     members = staged(one.filter(F.col("line").isNull()).select("doc_id", "key", F.col("n").alias("n_shingles"), "class_id"),
@@ -245,6 +252,7 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
                 [pa.array(found.sig.view(np.int64)), pa.array(ids[found.row].view(np.int64)),
                  pa.array(np.diff(sets.first)[found.row].astype(np.int32)), pa.array(found.scheme.astype(np.int16)),
                  pa.array(np.minimum(found.spare, 30_000).astype(np.int16))], ["sig", "class_id", "n", "scheme", "spare"])
+        give_back_memory()
 
     shared = rows.mapInArrow(second_pass, "sig long, class_id long, n int, scheme short, spare short")
     met = staged(_kept(_groups(shared)), "met")

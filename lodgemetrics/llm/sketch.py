@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Hash rows; cells of a shard; largest and least width as powers of two; partition sketches merged at once.
-ROWS, SHARD, WIDEST, NARROWEST, FAN = 2, 20, 28, 20, 64
+#: Hash rows; cells of a shard; largest and least width as powers of two; partition sketches merged at once; hashes that a
+#: task sketches at once.
+ROWS, SHARD, WIDEST, NARROWEST, FAN, LOT = 2, 20, 28, 20, 64, 1 << 20
 _NAMES = ["line", "shard", "lot", "once", "more"]
 SCHEMA = "line int, shard int, lot int, once binary, more binary"
 
@@ -58,12 +59,15 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def partition_sketch(parts: list[np.ndarray], width: int) -> pa.RecordBatch:
-    """One task's sketch, by shard: cells counted once, and cells counted more often, as sorted positions."""
+    """A sketch of one task's hashes, by shard: cells counted once, and cells counted more often, as sorted positions."""
     hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     lot = TaskContext.get().partitionId()
     out: list[tuple] = []
     for line in range(ROWS):
-        cell, n = np.unique(cells(hashes, line, width), return_counts=True)
+        cell = cells(hashes, line, width).astype(np.uint32)
+        cell.sort()
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        n, cell = np.diff(np.append(first, len(cell))), cell[first].astype(np.int64)
         shard = cell >> SHARD
         cuts = np.flatnonzero(np.diff(shard)) + 1
         for c, k in zip(np.split(cell, cuts), np.split(n, cuts)):
@@ -74,6 +78,27 @@ def partition_sketch(parts: list[np.ndarray], width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], _NAMES)
 
 
+class Lots:
+    """Sketches of one task, of LOT hashes or few more each, so that its memory does not follow its rows."""
+
+    def __init__(self, width: int):
+        self.width, self.parts, self.many = width, [], 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A sketch, where there are enough hashes for one."""
+        self.parts.append(hashes)
+        self.many += len(hashes)
+        if self.many >= LOT:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """A sketch of the hashes that are left, if any."""
+        if self.many:
+            found = partition_sketch(self.parts, self.width)
+            self.parts, self.many = [], 0
+            yield found
+
+
 def merged(fragments: DataFrame, width: int, partitions: int) -> Repeated:
     """Merge partition sketches FAN at a time, shard by shard; only the merged bits reach the driver.
 
@@ -115,9 +140,10 @@ def merged(fragments: DataFrame, width: int, partitions: int) -> Repeated:
 def sketch(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int) -> Repeated:
     """Sketch of the hashes that ``hashes`` yields for each batch of ``rows``; one pass over all rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        lots = Lots(width)
         for batch in batches:
-            parts += list(hashes(batch))
-        yield partition_sketch(parts, width)
+            for found in hashes(batch):
+                yield from lots.add(found)
+        yield from lots.rest()
 
     return merged(rows.mapInArrow(run, SCHEMA), width, rows.rdd.getNumPartitions())

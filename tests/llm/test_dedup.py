@@ -262,3 +262,30 @@ def test_windows_of_rows_behind_an_adaptive_skewed_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_a_task_sketches_in_lots(spark, monkeypatch):
+    """What a task holds does not follow its rows, and hashes that meet in two of its lots are told."""
+    from lodgemetrics.llm import sketch
+    from lodgemetrics.llm.shared import mix
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(sketch, "TaskContext", Task)
+    monkeypatch.setattr(sketch, "LOT", 120)
+    lots, hashes, found = sketch.Lots(20), mix(np.arange(2000, dtype=np.uint64)), []
+    for part in [*np.split(hashes, 40), hashes[:300]]:
+        found += lots.add(part)
+        assert lots.many < 120
+    found += lots.rest()
+    assert len(found) >= 13
+    rows = [tuple(r.values()) for batch in found for r in batch.to_pylist()]
+    test = sketch.merged(spark.createDataFrame(rows, sketch.SCHEMA), 20, 1)
+    assert test(hashes[:300]).all() and test(hashes[300:]).mean() < 0.05
