@@ -15,11 +15,12 @@ from lodgemetrics.llm import sketch
 from lodgemetrics.llm.anchors import long_text_words
 from lodgemetrics.llm.components import components
 from lodgemetrics.llm.shared import (
-    LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, give_back_memory, keyed, mix, row_slices, staged, word_bounds)
+    LOWER, SLICE, SpanHash, buffers, byte_symbols, drop_staged, give_back_memory, keyed, measured, mix, row_slices, staged,
+    word_bounds)
 
-#: Classes of one side of a verification tile; classes that share a signature up to which their pairs are listed; one
-#: part more than differences need for so many differences.
-TILE, LISTED, EXTRA = 64, 4, 8
+#: Classes, and shingles, of one side of a verification tile; classes that share a signature up to which their pairs are
+#: listed; one part more than differences need for so many differences.
+TILE, TILE_SHINGLES, LISTED, EXTRA = 256, 1 << 19, 4, 8
 #: Bytes of text whose sets are made at once; longer texts alone.
 PIECE = SLICE // 4
 #: Rounds in which one class of every signature's group is compared with the others, at most.
@@ -259,29 +260,41 @@ def links(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: st
     test.destroy()
     sets = staged(_sets(rows, members, met, rule), "class-sets")
     rest = met.select("sig", "class_id", "n", F.col("class_id").alias("side"))
-    first = None
+    found, before = None, met
     for r in range(ROUNDS):
-        dealt = staged(_stars(rest, r, rule), "stars")
-        stars = staged(dealt.filter("b IS NOT NULL").select("a", "b").distinct(), "star-pairs")
-        fresh = staged(_paired(sets, stars, rule), "links")
-        first = fresh if first is None else first.unionByName(fresh)
+        dealt = staged(_stars(rest, r, rule), "dealt")
+        drop_staged(before)
+        before = dealt
+        stars, tried = measured(dealt.filter("b IS NOT NULL").select("a", "b").distinct(), "star-pairs", n=F.count("*"))
+        fresh, linked = measured(_paired(sets, stars, rule), "links", n=F.count("*"))
+        drop_staged(stars)
+        found = fresh if found is None else found.unionByName(fresh)
         rest = dealt.filter("b IS NULL").select("sig", F.col("a").alias("class_id"), "n", "side")
         if not thin:
             break
-        known = components(first)
-        rest = rest.join(known, rest["class_id"] == known["node"], "left").select(
-            "sig", "class_id", "n", F.coalesce("component", "class_id").alias("side"))
-        if fresh.count() * 8 < stars.count() or not stars.count():
+        if linked["n"]:  # else all sides are as before
+            known = components(found)
+            rest = rest.join(known, rest["class_id"] == known["node"], "left").select(
+                "sig", "class_id", "n", F.coalesce("component", "class_id").alias("side"))
+        if linked["n"] * 8 < tried["n"] or not tried["n"]:
             break
-    open_ = staged(_open_pairs(rest, rule), "open")
-    pairs = open_.filter("b IS NOT NULL").select("a", "b").distinct()
-    many = open_.filter("b IS NULL AND group IS NOT NULL").select("a", F.col("group").alias("b"))
-    sides = open_.filter("b IS NULL AND side IS NOT NULL").select(F.col("a").alias("c"), "side").distinct()
-    clusters = components(many)
-    large = clusters.join(sides, clusters["node"] == sides["c"]).select("node", "component", "side")
-    found = first.unionByName(_paired(sets, pairs, rule)).unionByName(_tiled(sets, large, rule, thin))
+    listed, grouped = F.col("b").isNotNull(), F.col("b").isNull() & F.col("group").isNotNull()
+    open_, left = measured(_open_pairs(rest, rule), "open", pairs=F.count_if(listed), many=F.count_if(grouped))
+    drop_staged(before)
+    more = []
+    if left["pairs"]:
+        more.append(_paired(sets, open_.filter(listed).select("a", "b").distinct(), rule))
+    if left["many"]:
+        clusters = components(open_.filter(grouped).select("a", F.col("group").alias("b")))
+        sides = open_.filter(grouped).select(F.col("a").alias("c"), "side").distinct()
+        large = clusters.join(sides, clusters["node"] == sides["c"]).select("node", "component", "side")
+        more.append(_tiled(sets, large, rule, thin))
+    for links_ in more:
+        found = found.unionByName(staged(links_, "verified"))
+    drop_staged(open_)
+    drop_staged(sets)
     weights = members.filter(F.col("doc_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("weight"))
-    return members, staged(found if thin else found.distinct(), "verified"), weights
+    return members, found if thin else staged(found.distinct(), "all-links"), weights
 
 
 def _groups(shared: DataFrame) -> DataFrame:
@@ -478,12 +491,14 @@ def _paired(sets: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 def _tiled(sets: DataFrame, clusters: DataFrame, rule: Rule, thin: bool) -> DataFrame:
     """``a, b`` of links between sides within clusters (node, component, side). A cluster's classes are dealt, by side and size, into blocks of
-    about TILE; each two blocks of linkable sizes and more than one side are a task's tile. ``thin`` leaves out a tile's links that close a circle."""
-    sized = clusters.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size"))
-    own = clusters.join(sized, clusters["component"] == sized["c"]).withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")) \
-        .join(sets.select("class_id", "n"), F.col("node") == sets["class_id"]).select("class_id", "component", "side", "blocks", "n")
+    about TILE, or of fewer large ones; each two blocks of linkable sizes and more than one side are a task's tile. A class is sent once for each
+    tile it is in, so rows grow with a cluster's size times its blocks. ``thin`` leaves out a tile's links that close a circle."""
+    named = clusters.join(sets.select("class_id", "n"), F.col("node") == sets["class_id"]).select("class_id", "component", "side", "n")
+    sized = named.groupBy(F.col("component").alias("c")).agg(
+        F.least(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)), F.count("*")).cast("int").alias("blocks"))
     in_order = F.percent_rank().over(Window.partitionBy("component").orderBy("side", "n", "class_id"))
-    own = own.withColumn("block", F.least(F.floor(in_order * F.col("blocks")), F.col("blocks") - 1).cast("int"))
+    block = F.least(F.floor(in_order * F.col("blocks")), F.col("blocks") - 1).cast("int")
+    own = staged(named.join(sized, named["component"] == sized["c"]).select("class_id", "component", "side", "n", block.alias("block")), "blocks")
     spans = own.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"),
                                                   F.min("side").alias("s"), F.max("side").alias("t"))
     one, two = spans.toDF("component", "left", "low", "high", "s", "t"), spans.toDF("c2", "right", "low2", "high2", "s2", "t2")

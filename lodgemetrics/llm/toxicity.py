@@ -18,8 +18,8 @@ FIT_ROWS = 20_000
 #: Distinct labelled texts a term must occur in to count.
 LEAST_TEXTS = 4
 THRESHOLD = 0.7
-#: Gradient steps at least, so that few labelled rows are fitted as well.
-LEAST_STEPS = 3000
+#: Gradient steps at least, so that few labelled rows are fitted as well; terms counted at once, as the driver's memory is small.
+LEAST_STEPS, LOT = 3000, 1 << 18
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,20 +76,25 @@ def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, epochs: int = 60
         return Machine(place, 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     sets: dict[tuple[int, int], int] = {}
     mark = np.zeros(n, bool)
-    sums = np.bincount(row, ((bucket * 2654435761) % 1000003).astype(float), n)
+    sums, df, pos = np.zeros(n), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    lots = [slice(a, a + LOT) for a in range(0, len(row), LOT)]  # whole numbers, so lots add up to the same
+    for lot in lots:
+        sums += np.bincount(row[lot], ((bucket[lot].astype(np.int64) * 2654435761) % 1000003).astype(float), n)
     for i, s in enumerate(zip(np.bincount(row, minlength=n), sums)):
         if s not in sets:
             sets[s] = i
             mark[i] = True
-    use = mark[row]
     y1, n1 = label[mark].sum(), mark.sum()
-    df = np.bincount(bucket[use], minlength=BUCKETS)
-    pos = np.bincount(bucket[use], label[row[use]], BUCKETS)
+    for lot in lots:
+        use = mark[row[lot]]
+        df += np.bincount(bucket[lot][use], minlength=BUCKETS)
+        pos += np.bincount(bucket[lot][use], label[row[lot][use]], BUCKETS)
     rate1 = y1 / n1
     chi = np.where(df >= LEAST_TEXTS, (pos - df * rate1) ** 2 / np.maximum(df * rate1 * (1 - rate1), 1e-9), 0.0)
     chosen = np.argsort(-chi, kind="stable")[:TERMS]
     chosen = chosen[chi[chosen] > 10.83]  # 0.1 % level of one degree of freedom
     place[chosen] = np.arange(len(chosen))
+    del sets, sums, df, pos, chi
     keep = place[bucket] >= 0
     row, term = row[keep], place[bucket[keep]]
     prior = np.clip(label.mean(), 1e-3, 1 - 1e-3)
@@ -103,7 +108,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, epochs: int = 60
     block = 256
     for _ in range(max(epochs, -(-LEAST_STEPS * block // n))):
         for lot in np.array_split(rng.permutation(n), max(1, n // block)):
-            where = np.full(n, -1, np.int64)
+            where = np.full(n, -1, np.int32)
             where[lot] = np.arange(len(lot))
             r = where[row]
             sel = r >= 0
@@ -151,10 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str
     kind = joined.schema["doc_id"].dataType.simpleString()
     got = sorted(((r["doc_id"], r["terms"], r["label"]) for r in joined.select("doc_id", "text", "label").mapInArrow(
         run, f"doc_id {kind}, label double, terms binary").toLocalIterator()), key=lambda r: r[:2])
-    sets = [np.frombuffer(r[1], "<i4").astype(np.int64) for r in got]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    machine = fit(row, np.concatenate([np.zeros(0, np.int64), *sets]), np.array([float(r[2] > 0) for r in got]))
-    del got, sets, row
+    label_ = np.array([float(r[2] > 0) for r in got])
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r[1]) // 4 for r in got])
+    bucket = np.frombuffer(b"".join(r[1] for r in got), "<i4")
+    del got
+    machine = fit(row, bucket, label_)
+    del row, bucket
     give_back_memory()
     return machine
 

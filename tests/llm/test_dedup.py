@@ -2,12 +2,13 @@
 
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from lodgemetrics.llm import jaccard_join, substring_dedup, suffix_dedup
+from lodgemetrics.llm import jaccard_join, shared, substring_dedup, suffix_dedup
 from lodgemetrics.llm.components import components
 from lodgemetrics.llm.shared import sliding_min
 
@@ -172,6 +173,48 @@ def test_components(spark):
     assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], 1), **dict.fromkeys([20, 21], 20), **dict.fromkeys(range(30, 61), 30)}
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """No plan that a round writes holds a table more than twice, and no links take no round: driver memory follows plans."""
+    scans, plain = [], shared.staged
+
+    def spy(df, tag):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return plain(df, tag)
+
+    monkeypatch.setattr(shared, "staged", spy)
+    monkeypatch.setattr(sys.modules[components.__module__], "staged", spy)
+    none = spark.createDataFrame([], "a long, b long")
+    assert components(none).count() == 0 and len(scans) == 1
+    got = dict(map(tuple, components(spark.createDataFrame([(k, k + 1) for k in range(6)], "a long, b long")).collect()))
+    assert got == dict.fromkeys(range(7), 0)
+    assert len(scans) > 2 and max(scans) <= 2
+
+
+def test_tiles_of_large_sets_are_smaller(spark, monkeypatch):
+    """Blocks are bounded by shingles as well as by classes; results do not change."""
+    monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", 300)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randint(2, 7)):
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 9)}"
+        rows.append((i, " ".join(words)))
+    blocks, plain = [], jaccard_join.staged
+
+    def spy(df, tag):
+        out = plain(df, tag)
+        if tag == "blocks":
+            blocks.append(out.select("component", "block").distinct().count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", spy)
+    got = jaccard_join.similar_groups(frame(spark, rows), jaccard_join.Rule(4, 85))
+    assert sorted(map(tuple, got.collect())) == brute_groups(rows, 4, 85)
+    assert blocks and blocks[0] > 1
+
+
 def brute_links(rows, n, percent):
     """Links between different sets and how many other rows each row is linked to."""
     sets = {}

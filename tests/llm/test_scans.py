@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,19 @@ def test_factorization_machine_learns_a_pair():
     assert min(places) >= 0 and model.factors[places[0]] @ model.factors[places[1]] > 0
 
 
+def test_terms_are_counted_in_lots():
+    """Choosing terms takes memory for few of them at once (the driver holds them all as four-byte buckets)."""
+    n, each = 4000, 500
+    row = np.repeat(np.arange(n, dtype=np.int32), each)
+    bucket = np.random.default_rng(2).integers(0, toxicity.BUCKETS, n * each).astype("<i4")
+    tracemalloc.start()
+    machine = toxicity.fit(row, bucket, np.zeros(n))  # no label, so no term is chosen
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(machine.linear)
+    assert peak < 55e6
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     texts, labels = [], []
