@@ -105,14 +105,15 @@ def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, epochs: int = 60
         return m
     order = np.argsort(row, kind="stable")
     row, term = row[order], term[order]
+    first = np.searchsorted(row, np.arange(n + 1))
     block = 256
     for _ in range(max(epochs, -(-LEAST_STEPS * block // n))):
         for lot in np.array_split(rng.permutation(n), max(1, n // block)):
-            where = np.full(n, -1, np.int32)
-            where[lot] = np.arange(len(lot))
-            r = where[row]
-            sel = r >= 0
-            r, t = r[sel], term[sel]
+            place_of = np.argsort(lot)  # terms of the lot's rows, by row
+            own = lot[place_of]
+            many = first[own + 1] - first[own]
+            r = np.repeat(place_of, many)
+            t = term[np.arange(len(r)) + np.repeat(first[own] - np.cumsum(many) + many, many)]
             p = 1 / (1 + np.exp(-np.clip(m.raw(r, t, len(lot)), -30, 30)))
             err = p - label[lot]
             d0 = err.mean()
