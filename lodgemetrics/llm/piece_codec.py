@@ -9,16 +9,18 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodgemetrics.llm.shared import SLICE, buffers, keyed, row_slices
 
 SPACE = "▁"
-#: Segments a task keeps the ids of; the longest that agendas take in lockstep; characters of a long text encoded at once.
-KEPT, SHORT, PIECE = 500_000, 32, 1 << 20
+#: Segments a task keeps the ids of; the longest that agendas take in lockstep; how many advance together; characters of
+#: a long text encoded at once.
+KEPT, SHORT, LOT, PIECE = 500_000, 32, 8_000, 1 << 20
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-_NONE = np.float64(-np.inf)
 
 
 class Vocabulary:
@@ -54,24 +56,37 @@ class Vocabulary:
         self._forget()
 
     def _pairs(self) -> None:
-        """Symbols (pieces, then characters that are none) and the sorted table of the pairs that form a piece.
+        """Symbols (pieces, then characters that are none, then one for no symbol) and the table of the pairs that form a
+        piece, each with the rank of its score; its last row stands for all other pairs. ``slot`` has a pair's row at its
+        hash or, where that is taken, behind it.
 
         ``id_of`` has a symbol's id: the byte's of an ASCII character, -1 for others that take several bytes."""
         symbol = dict(self.id)
         more = sorted({c for p in self.score for c in p}.union(map(chr, range(128))) - set(symbol))
         symbol.update({c: self.size + i for i, c in enumerate(more)})
-        self.symbols = self.size + len(more)
-        self.id_of = np.append(np.arange(self.size), [self.byte[ord(c)] if ord(c) < 128 else -1 for c in more]).astype(np.int64)
-        self.of_char = np.full(0x110000, -1, np.int64)
+        self.nothing = self.size + len(more)
+        self.id_of = np.array([*range(self.size), *(self.byte[ord(c)] if ord(c) < 128 else -1 for c in more), -1], np.int32)
+        self.of_char = np.full(0x110000, self.nothing, np.int32)
         for p, i in symbol.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
-        found = [(symbol[p[:i]] * self.symbols + symbol[p[i:]], self.id[p], s) for p, s in self.score.items()
+        found = [(symbol[p[:i]] * (self.nothing + 1) + symbol[p[i:]], self.id[p], s) for p, s in self.score.items()
                  for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol]
-        found.sort()
-        self.pair = np.array([f[0] for f in found], np.int64)
-        self.pair_id = np.array([f[1] for f in found], np.int64)
-        self.pair_score = np.array([f[2] for f in found], np.float64)
+        self.pair = np.array([f[0] for f in found] + [np.iinfo(np.int64).max], np.int64)
+        self.pair_id = np.array([f[1] for f in found] + [-1], np.int32)
+        rank = np.unique([f[2] for f in found], return_inverse=True)[1]
+        self.pair_rank = np.append(rank, -1).astype(np.int32)
+        bits = len(self.pair).bit_length() + 3
+        self.shift, self.slot = np.uint64(64 - bits), np.full(1 << bits, len(found), np.int32)
+        todo, at = np.arange(len(found)), self._hash(self.pair[:-1])
+        while len(todo):
+            free = self.slot[at] == len(found)
+            self.slot[at[free]] = todo[free]
+            left = self.slot[at] != todo
+            todo, at = todo[left], (at[left] + 1) % len(self.slot)
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _ODD) >> self.shift).view(np.int64)
 
     def _forget(self) -> None:
         self.kept: dict[str | tuple[str], int] = {}
@@ -119,49 +134,64 @@ class Vocabulary:
         return out
 
     def _offers(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and piece of each pair of symbols; no score where they form none."""
-        key = np.where((a >= 0) & (b >= 0), a * self.symbols + b, -1)
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        hit = self.pair[at] == key
-        return np.where(hit, self.pair_score[at], _NONE), self.pair_id[at]
+        """Rank and piece of each pair of symbols; rank -1 where they form none."""
+        key = a * np.int64(self.nothing + 1) + b
+        none = len(self.pair) - 1
+        place = self._hash(key)
+        at = self.slot[place]
+        open_ = np.flatnonzero((self.pair[at] != key) & (at != none))
+        while len(open_):
+            place[open_] = (place[open_] + 1) % len(self.slot)
+            there = at[open_] = self.slot[place[open_]]
+            open_ = open_[(self.pair[there] != key[open_]) & (there != none)]
+        return self.pair_rank[at], self.pair_id[at]
 
     def together(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number per segment) of segments of at most SHORT characters, whose agendas advance in lockstep:
-        in each step, every segment merges its pair of highest score."""
-        chars = np.array([len(s) for s in segments])
-        width = int(chars.max(initial=0))
-        row, col = np.repeat(np.arange(len(segments)), chars), np.arange(chars.sum()) - np.repeat(np.cumsum(chars) - chars, chars)
-        symbol = np.full((len(segments), width + 2), -1, np.int64)
-        symbol[row, col] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")]
-        odd = np.zeros(len(segments), bool)  # holds a character that no piece holds
-        odd[row[symbol[row, col] < 0]] = True
-        alive = np.zeros(symbol.shape, bool)
-        alive[row, col] = True
-        after = np.tile(np.arange(1, width + 3), (len(segments), 1))
-        before = after - 2
-        score, made = (np.full(symbol.shape, x) for x in (_NONE, -1))
-        score[:, :-1], made[:, :-1] = self._offers(symbol[:, :-1], symbol[:, 1:])
-        rows = np.flatnonzero(score.max(axis=1) > _NONE)
-        while len(rows):
-            open_ = score[rows]
-            a = np.argmax(open_, axis=1)
-            some = open_[np.arange(len(rows)), a] > _NONE
-            rows, a = rows[some], a[some]
-            b = after[rows, a]
-            then = after[rows, b]
-            symbol[rows, a] = made[rows, a]
-            alive[rows, b] = False
-            score[rows, b] = _NONE
-            after[rows, a] = then
-            before[rows, np.minimum(then, width + 1)] = a
-            score[rows, a], made[rows, a] = self._offers(symbol[rows, a], symbol[rows, then])
-            left = before[rows, a] >= 0
-            r, p, a = rows[left], before[rows, a][left], a[left]
-            score[r, p], made[r, p] = self._offers(symbol[r, p], symbol[r, a])
-        symbol = self.id_of[symbol]
+        in each step, every segment merges its pair of highest score.
+
+        A segment is a column, framed by cells without a symbol. ``offer`` has, at a pair's left cell, its score's rank
+        and then how far left it is, so that a column's maximum is its next merge."""
+        m, chars = len(segments), np.array([len(s) for s in segments])
+        deep = int(chars.max(initial=0)) + 2
+        column = np.repeat(np.arange(m), chars)
+        cell = (np.arange(len(column)) - np.repeat(np.cumsum(chars) - chars, chars)) * m + column
+        symbol = np.full(deep * m, self.nothing, np.int32)
+        symbol[cell] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")]
+        odd = np.zeros(m, bool)  # holds a character that no piece holds
+        odd[column[symbol[cell] == self.nothing]] = True
+        alive = np.zeros(deep * m, bool)
+        alive[cell] = True
+        after = np.arange(deep * m) + m
+        before = after - 2 * m  # above the first row: cells of the last one, which have no symbol
+        offer, made = np.full(deep * m, -1, np.int32), np.full(deep * m, -1, np.int32)
+
+        def offers(at: np.ndarray, then: np.ndarray) -> None:
+            rank, made[at] = self._offers(symbol[at], symbol[then])
+            offer[at] = np.where(rank >= 0, rank * deep + (deep - 1 - at // m), -1)
+
+        first = cell[alive[cell + m]]
+        offers(first, first + m)
+        while True:
+            best = offer.reshape(deep, m).max(axis=0)
+            columns = np.flatnonzero(best >= 0)
+            if not len(columns):
+                break
+            a = (deep - 1 - best[columns] % deep) * m + columns
+            b = after[a]
+            then = after[b]
+            symbol[a] = made[a]
+            alive[b] = False
+            offer[b] = -1
+            after[a] = then
+            before[then] = a
+            left = before[a]
+            offers(np.concatenate([a, left[left >= 0]]), np.concatenate([then, a[left >= 0]]))
+        symbol = self.id_of[symbol].reshape(deep, m).T
+        alive = alive.reshape(deep, m).T
         odd |= (alive & (symbol < 0)).any(axis=1)
         alive[odd] = False
-        ids, n = symbol[alive].astype(np.int32), alive.sum(axis=1)
+        ids, n = symbol[alive], alive.sum(axis=1)
         if odd.any():
             own = [np.array(self._one(segments[i]), np.int32) for i in np.flatnonzero(odd).tolist()]
             at = np.cumsum(n)[odd]
@@ -173,11 +203,12 @@ class Vocabulary:
         """Keep the ids of segments (told by their text behind one space, or as a tuple where there is none)."""
         texts = [SPACE + k if isinstance(k, str) else k[0] for k in fresh]
         size = np.array([len(t) for t in texts])
-        for low, high in ((0, 6), (6, 10), (10, 16), (16, SHORT)):
-            for at in np.array_split(lot := np.flatnonzero((size > low) & (size <= high)), len(lot) // 20_000 + 1):
-                if len(at):
-                    self._keep([fresh[i] for i in at.tolist()], *self.together([texts[i] for i in at.tolist()]))
-        for i in np.flatnonzero(size > SHORT).tolist():
+        order = np.argsort(size, kind="stable")
+        short = int(np.searchsorted(size[order], SHORT, "right"))
+        for a in range(0, short, LOT):
+            lot = order[a:min(a + LOT, short)].tolist()
+            self._keep([fresh[i] for i in lot], *self.together([texts[i] for i in lot]))
+        for i in order[short:].tolist():
             ids = np.array(self._one(texts[i]), np.int32)
             self._keep([fresh[i]], ids, np.array([len(ids)]))
 
@@ -196,28 +227,48 @@ class Vocabulary:
         """A normalised text cut before each run of spaces, where no piece reaches across."""
         if not self.words_apart:
             return [(text,)] if text else []
-        if text.startswith(SPACE) and SPACE * 2 not in text:
-            return text.split(SPACE)[1:]
         return [x[1:] if x[0] == SPACE else (x,) for x in _SEGMENT.findall(text)]
 
+    def _cut(self, texts: list[str]) -> tuple[list[str | tuple[str]], np.ndarray, np.ndarray]:
+        """(distinct segments, the number of each segment's one, how many segments each text has).
+
+        Texts of words behind single spaces are cut and told apart by Arrow."""
+        plain = [self.words_apart and t.startswith(SPACE) and SPACE * 2 not in t for t in texts]
+        lists = pc.split_pattern(pa.array([t[1:] for t, p in zip(texts, plain) if p], pa.large_string()), SPACE)
+        coded = lists.flatten().dictionary_encode()
+        names, n = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.zeros(len(texts), np.int64)
+        plain = np.array(plain, bool)
+        n[plain] = pc.list_value_length(lists).to_numpy()
+        code = coded.indices.to_numpy()
+        if not plain.all():
+            cut = [self._segments(texts[i]) for i in np.flatnonzero(~plain).tolist()]
+            n[~plain] = [len(x) for x in cut]
+            number: dict[str | tuple[str], int] = {}
+            odd = [number.setdefault(x, len(names) + len(number)) for x in chain.from_iterable(cut)]
+            names += number
+            own, every = np.repeat(plain, n), np.zeros(n.sum(), np.int64)
+            every[own], every[~own] = code, odd
+            code = every
+        return names, code, n
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each normalised text."""
-        cut = [self._segments(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        code = np.fromiter(map(self.kept.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(code < 0).tolist()
-        fresh = list(dict.fromkeys(flat[i] for i in missing))
+        names, code, n = self._cut(texts)
+        there = np.fromiter(map(self.kept.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(there < 0).tolist()
+        fresh = list(dict.fromkeys(names[i] for i in missing))
         if len(self.kept) + len(fresh) > KEPT:
             self._forget()
-            missing, fresh = range(len(flat)), list(dict.fromkeys(flat))
+            missing, fresh = range(len(names)), list(dict.fromkeys(names))
         if fresh:
             self._learn(fresh)
-            code[missing] = [self.kept[flat[i]] for i in missing]
-        begin = self.ends[code]
-        n = self.ends[code + 1] - begin
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
-        ends = total[np.cumsum([0, *(len(x) for x in cut)])]
+            there[missing] = [self.kept[names[i]] for i in missing]
+        begin = self.ends[there]
+        long = self.ends[there + 1] - begin
+        begin, long = begin[code], long[code]
+        total = np.concatenate([[0], np.cumsum(long)])
+        ids = self.ids[np.repeat(begin - total[:-1], long) + np.arange(total[-1])]
+        ends = total[np.cumsum([0, *n])]
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def pieces(self, text: str) -> list[str]:
@@ -290,7 +341,7 @@ def encoded(docs: DataFrame, model: str, check: bool = True, decode: bool = Fals
                 columns = [batch["doc_id"].slice(a, b - a), _lists(ids)]
                 if check:
                     own = words.library.encode(texts, out_type=int, num_threads=1)
-                    columns.append(pa.array([bool(np.array_equal(x, y)) for x, y in zip(ids, own)], pa.bool_()))
+                    columns.append(pa.array([x.tolist() == y for x, y in zip(ids, own)], pa.bool_()))
                 if decode:
                     columns.append(pa.array([words.decode(p) for p in pieces], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)

@@ -83,6 +83,40 @@ def test_many_texts_at_once(words, texts):
     assert [x.tolist() for x in got] == [words.library.encode(t) for t in texts]
 
 
+class Counted(dict):
+    asked = 0
+
+    def get(self, *a):
+        self.asked += 1
+        return super().get(*a)
+
+
+def test_repeated_segments_are_not_looked_up_again(words, monkeypatch):
+    kept = Counted(words.kept)
+    monkeypatch.setattr(words, "kept", kept)
+    texts = ["the cat " * 500, "the  dog the", "", " the cat"] * 3
+    got = words.encode_all([words.library.normalize(t) for t in texts])
+    assert [x.tolist() for x in got] == [words.library.encode(t) for t in texts]
+    assert kept.asked <= 8  # of about 3,000 segments; those of texts with runs of spaces are told apart on their own
+
+
+@pytest.mark.parametrize("lot", [1, 3, 7])
+def test_segments_are_learned_in_lots(words, monkeypatch, lot):
+    monkeypatch.setattr(piece_codec, "LOT", lot)
+    words._forget()
+    text = " ".join(["a", "Zusammenhang", "é", "🙂x", "b" * 31, "c" * 32, "d" * 33, "0a1", *(f"learn{i}" for i in range(20))])
+    assert ids_of(words, text)[0] == words.library.encode(text)
+
+
+def test_every_pair_is_found_and_no_other(words):
+    one = words.nothing + 1
+    rng = np.random.default_rng(3)
+    key = np.concatenate([words.pair[:-1], rng.integers(0, one * one, 50_000), words.nothing * one + np.arange(50)])
+    a, b = (x.astype(np.int32) for x in (key // one, key % one))
+    there = {int(k): (int(r), int(i)) for k, r, i in zip(words.pair[:-1], words.pair_rank, words.pair_id)}
+    assert list(zip(*(x.tolist() for x in words._offers(a, b)))) == [there.get(int(k), (-1, -1)) for k in key]
+
+
 def test_rows(spark, words):
     rows = [(1, "hello  world", 5), (None, "x", 6), (2, None, 7), (3, "", 8), (1, "hello  world", 9), (4, " é<s>\n", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids long").repartition(3)
